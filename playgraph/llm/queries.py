@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playgraph.catalog import table
 from playgraph.llm import consensus as cons
-from playgraph.llm import cooccur, knn, topn
+from playgraph.llm import cooccur, knn, looks, topn
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,10 @@ def p7_agreement(spark: SparkSession, d: str) -> DataFrame:
     return severity.select(F.col("item").alias("row_id"), F.col("value").alias("severity"), "n_labels", F.round("belief", 6).alias("belief"), F.round("agreement", 6).alias("agreement"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return looks.alike_pairs(table(spark, d, "documents"), "doc_id", "text").select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_reliability": p7_reliability,
     "p7_agreement": p7_agreement,
+    "p10_found": p10_found,
 }
 
 ORACLE: dict[str, str] = {
