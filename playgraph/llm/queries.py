@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playgraph.catalog import table
 from playgraph.llm import consensus as cons
-from playgraph.llm import cooccur, knn, looks, topn
+from playgraph.llm import cooccur, knn, looks, mojibake, topn
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,18 @@ def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return labels, severity, who, mode, who_mode
 
 
+TEXT_FIELDS = ["artist_name", "song_title", "release_title"]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.detect(table(spark, d, "flowsheet_entry"), "id", "entry_type_code", TEXT_FIELDS).select("entry_id", "field_name")
+
+
+def p6_repairs(spark: SparkSession, d: str) -> DataFrame:
+    found = mojibake.detect(table(spark, d, "flowsheet_entry"), "id", "entry_type_code", TEXT_FIELDS)
+    return found.select("entry_id", "field_name", "chain", "repaired", "readable", F.round("posterior", 6).alias("posterior"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     _, severity, _, mode, _ = _verdicts(spark, d)
     s = severity.where("n_labels >= 3").select(F.col("item").alias("row_id"), F.col("value").alias("severity"))
@@ -65,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_repairs": p6_repairs,
     "p7_found": p7_found,
     "p7_reliability": p7_reliability,
     "p7_agreement": p7_agreement,
