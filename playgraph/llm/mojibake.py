@@ -33,7 +33,7 @@ NEVER = re.compile("[\x80-\x9f\ufffd]")
 NEVER_COST = 40.0
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
-_HIGH_BLANK = re.compile(r"[^\x00-\x7f]+ ?")
+_HIGH_BLANK = re.compile(r"[^\x00-\x7f]+(?: (?= |\Z))?")
 _EDGE = re.compile(r"\A(\W*)(.*?)(\W*)\Z", re.S)
 _TRIM = "\"'()[]{},.;:!*/-_+&"
 
@@ -53,7 +53,8 @@ def _table(codec: str) -> dict[str, int]:
 
 def _undo_utf8(text: str, codec: str, blank: bool = False) -> str | None:
     """UTF-8 bytes read as ``codec``, read rightly; run by run of high characters, so that a partly garbled text is mended
-    where it can be; with ``blank`` a blank may stand for a non-breaking one. None when nothing can be."""
+    where it can be; with ``blank`` a blank before another, or last,
+    may stand for a non-breaking one. None when nothing can be."""
     table, hit = _table(codec), False
 
     def run(m: re.Match) -> str:
