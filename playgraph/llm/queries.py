@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from playgraph.catalog import table
 from playgraph.llm import consensus as cons
-from playgraph.llm import cooccur, knn, looks, mojibake, topn
+from playgraph.llm import canon, cooccur, knn, looks, mojibake, topn
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    ref = table(spark, d, "library_code").select("id", "presentation_name")
+    typed = table(spark, d, "flowsheet_entry").where("entry_type_code < 7").select(F.col("id").alias("entry_id"), F.col("artist_name").alias("name"))
+    typed = typed.where(r"name rlike '\\S'").join(ref.select(F.col("presentation_name").alias("name")), "name", "left_anti")
+    mapped = canon.map_to_list(typed, "name", ref, "id", "presentation_name")
+    return typed.join(mapped, "name").select("entry_id", F.col("entry").alias("library_code_id"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +82,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
