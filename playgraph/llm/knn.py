@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from playgraph.session import cut
 
 #: The clusters that lay out the blocks are fitted on at most this many vectors; every vector is assigned, searched and found.
-FIT_ROWS = 65_536
+FIT_ROWS = 16_384
 #: Vectors per cluster aimed at, and the most clusters (their centroids are broadcast: at most MAX_CLUSTERS x dim doubles).
 PER_CLUSTER, MAX_CLUSTERS = 400, 4096
 #: Rows of either side of one tile; a larger cluster is cut into several tiles.
@@ -55,6 +55,13 @@ def _unit(col: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _slices(frames: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Parts of at most ``rows`` rows: a row meets up to MAX_CLUSTERS centroids at once."""
+    for f in frames:
+        for a in range(0, len(f), rows):
+            yield f.iloc[a : a + rows]
+
+
 def _quantise(r: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """int8 values (held in float32, in which the tile product is exact), their scale, and each row's exact error norm."""
     s = float(np.abs(r).max()) / 127 or 1.0
@@ -73,7 +80,7 @@ def tile_top(ids: np.ndarray, u: np.ndarray, base_ids: np.ndarray, w: np.ndarray
     qw, sw, ew = _quantise(rw)
     nu, nw = np.linalg.norm(ru, axis=1), np.linalg.norm(rw, axis=1)
     parts = []
-    step = max(1, 4_000_000 // max(1, len(base_ids)))
+    step = max(1, 1_000_000 // max(1, len(base_ids)))
     for a in range(0, len(ids), step):
         z = slice(a, a + step)
         dot = (qu[z] @ qw.T).astype(np.float64) * (su * sw)
@@ -88,8 +95,8 @@ def tile_top(ids: np.ndarray, u: np.ndarray, base_ids: np.ndarray, w: np.ndarray
             floor = np.full(len(low), -np.inf)
         i, j = np.nonzero((sim + err >= floor[:, None] - _SLACK) & ~own)
         exact = np.empty(len(i))
-        for b in range(0, len(i), 500_000):
-            y = slice(b, b + 500_000)
+        for b in range(0, len(i), 100_000):
+            y = slice(b, b + 100_000)
             exact[y] = np.einsum("ij,ij->i", u[z][i[y]], w[j[y]])
         parts.append(pd.DataFrame({"id": ids[z][i], "other": base_ids[j], "sim": np.round(exact, 9)}))
     out = pd.concat(parts).sort_values(["id", "sim", "other"], ascending=[True, False, True], kind="stable")
@@ -130,10 +137,9 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                near, d = _nearest(_unit(f["v"]), shared.value, PROBES)
-                yield pd.DataFrame({"id": f["id"], "v": f["v"], "own": near[:, 0], "d": d[:, 0], "near": near.tolist()})
+        for f in _slices(frames):
+            near, d = _nearest(_unit(f["v"]), shared.value, PROBES)
+            yield pd.DataFrame({"id": f["id"], "v": f["v"], "own": near[:, 0], "d": d[:, 0], "near": near.tolist()})
 
     placed = cut(reps.mapInPandas(assign, "id long, v array<double>, own int, d double, near array<int>"))
     # at most MAX_CLUSTERS rows: size, and the ring of distances that a cluster's members fill
@@ -174,9 +180,7 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
 
     def more(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filled = size > 0
-        for f in frames:
-            if not len(f):
-                continue
+        for f in _slices(frames):
             d = _distances(_unit(f["v"]), shared.value)
             reach = np.sqrt(np.maximum(0, 2 - 2 * (f["kth"].to_numpy() - _SLACK)))[:, None] + 1e-7
             visit = filled & (d - hi <= reach) & (lo - d <= reach)

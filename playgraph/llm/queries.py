@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playgraph.catalog import table
 from playgraph.llm import consensus as cons
-from playgraph.llm import canon, cooccur, knn, looks, mojibake, topn
+from playgraph.llm import canon, cooccur, knn, looks, mojibake, topn, variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("artist_id_a"), F.col("b").alias("artist_id_b"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = variants.variant_pairs(table(spark, d, "artist"), "id", "canonical_name")
+    return pairs.select(F.col("id_a").alias("artist_id_a"), F.col("id_b").alias("artist_id_b"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, d, "dj_transition"), "source_id", "target_id", "pmi", "raw_count", 10).select("source_id", "target_id")
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_repairs": p6_repairs,
