@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playgraph.catalog import table
 from playgraph.llm import consensus as cons
-from playgraph.llm import canon, cooccur, knn, looks, mojibake, topn, variants
+from playgraph.llm import canon, cooccur, knn, looks, mixing, mojibake, packing, tokens, topn, variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +86,28 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return looks.alike_pairs(table(spark, d, "documents"), "doc_id", "text").select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", "source", tokens.n_tokens(F.col("text")).alias("n_tokens"))
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sized(spark, d), "doc_id", "n_tokens", table(spark, d, "pack_capacity"), "container", "capacity_tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    used = p8_packing(spark, d).where("bin is not null").groupBy("container", "capacity").agg(F.countDistinct("bin").alias("bins"), F.sum("size").alias("tokens"))
+    return used.select("container", "capacity", "bins", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("filled"))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_target"))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -97,6 +119,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_reliability": p7_reliability,
     "p7_agreement": p7_agreement,
+    "p8_packing": p8_packing,
+    "p8_fill": p8_fill,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
