@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,7 @@ LOSSY = ["question", "question_bytes", "replacement", "replacement_bytes", "drop
 CLEAN = "clean"
 DEPTH = 3
 #: Candidates this many nats behind a value's best by the character model alone are not scored further.
-BEAM = 25.0
+BEAM = 18.0
 
 #: A word seen this often counts half by its count, half by its characters.
 RARE = 3.0
@@ -243,11 +244,86 @@ class CharModel:
 
 
 def _parts(text: str) -> list[tuple[str, str, str]]:
-    """(leading marks, core word, trailing marks) of each blank-separated token; with marks the token itself is a word too, told
-    from a core by a line end. Words are counted in lower case."""
+    """(leading marks, core word, trailing marks) of each blank-separated token."""
     return [_EDGE.match(t).groups() for t in text.split(" ") if t]
 
 
+def _hash(word: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def word_parts(text: str) -> list[tuple[int, int, bool, str, str, str]]:
+    """(token number, word hash, whole token?, leading marks, core, trailing marks) of each word: the core of every token and,
+    where it has marks, the token itself, told from a core by a line end. Words are counted in lower case."""
+    out = []
+    for i, (a, core, b) in enumerate(_parts(text)):
+        if core:
+            out.append((i, _hash(core.lower()), False, a, core, b))
+        if a or b:
+            out.append((i, _hash((a + core + b + "\n").lower()), True, a, core, b))
+    return out
+
+
+def own_words(strong: bool, r, p) -> dict[int, float]:
+    """What a value gives to the word counts: its readings' words by posterior. Words that only stand in the garbled look of an
+    undoable text don't support it."""
+    out: dict[int, float] = {}
+    for x, q in zip(r, p):
+        bare = x["chain"] == CLEAN and strong
+        for _, h, whole, a, core, b in word_parts(x["text"]):
+            if not bare or (a + core + b if whole else core).isascii():
+                out[h] = out.get(h, 0) + q
+    return out
+
+
+def likelihood(chain: str, text: str, m: CharModel, known: dict[int, float], mine: dict[int, float], mass: float) -> float:
+    """Log likelihood of a reading: each token by the better of word counts and characters. A rare word leans on its
+    characters too: else two rare forms, one garbled from the other, would support each other alike."""
+    best: dict[int, float] = {}
+    for i, h, whole, a, core, b in word_parts(text):
+        marks = m.score(a) + m.score(b + " ", char_class(core[-1]) if core else "_")
+        before = char_class(a[-1]) if a else "_"
+        floor = marks + m.score(core, before) - 1
+        off = m.move("_", (a + core + b)[0]) if whole else marks + m.move(before, core[0])
+        others = max(known.get(h, 0.0) - mine.get(h, 0.0), 1e-9)
+        trust = others / (others + RARE)
+        best[i] = max(best.get(i, -1e9), floor, trust * (math.log(others / mass) + off) + (1 - trust) * floor)
+    return sum(best.values()) - NEVER_COST * bool(NEVER.search(text)) - MIXED_COST * mixed_words(text) - GIVEN_UP_COST * (chain == "lost:unknown")
+
+
+def readings(value: str, losses) -> list[tuple[str, str, bool]]:
+    """(chain, text, readable) of one value, the clean one first. ``losses``: words of the corpus that a loss could have left
+    as words of this value."""
+    out = [(CLEAN, value, True)] + [(c, t, True) for c, t in invertible(value).items()]
+    known: dict[str, dict[str, str]] = {}
+    for x in losses if losses is not None else []:
+        known.setdefault(x["kind"], {})[x["left"]] = x["word"]
+    for kind in _lossy_kinds(value):
+        words = known.get(kind, {})
+        if kind == "dropped" and not words:
+            continue
+        parts, full = [], True
+        for t in value.split(" "):
+            s = t.strip(_TRIM)
+            if s and s in words:
+                parts.append(t.replace(s, words[s]))
+            elif kind == "dropped":
+                parts.append(t)
+            else:  # a lost letter is taken for a common accented one
+                mark = "?" if kind.startswith("question") else "\ufffd"
+                new = t.replace(mark * 2, "é") if kind.endswith("bytes") else t
+                new = new.replace(mark, "é")
+                full &= new == t
+                parts.append(new)
+        if (text := " ".join(parts)) != value:
+            out.append((f"lost:{kind}", text, full))
+    if NEVER.search(value):
+        out.append(("lost:unknown", NEVER.sub("", value), False))
+    return out
+
+
 def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], rounds: int = 3, threshold: float = 0.5) -> DataFrame:
     """entry_id, field_name, value, chain, repaired, readable, posterior: every value of ``fields`` that a wrong decoding has
     changed, with the text before it where that can be had (``readable``), else the best reading.
@@ -272,24 +348,24 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     stacked = stacked.where("value <> ''")
     odd = F.col("value").rlike(r"[^\x00-\x7f]|\?")
     counted = cut(stacked.groupBy("source", "field_name", "value").agg(F.count("*").alias("n")))
-    vid = F.concat_ws("-", F.xxhash64("value"), F.xxhash64(F.concat(F.lit("#"), F.col("value")))).alias("vid")
-    plain_words = (
-        counted.where(~odd).groupBy("value").agg(F.count("*").alias("w"))  # a value counts once a source and field
-        .select(F.explode(F.split(F.lower("value"), " ")).alias("t"), "w")
-        .select("t", F.regexp_extract("t", r"^[^\p{L}\p{N}_]*(.*?)[^\p{L}\p{N}_]*$", 1).alias("core"), "w")
-        .select(F.explode(F.when(F.col("core") == F.col("t"), F.array("core")).otherwise(F.array(F.col("core"), F.concat("t", F.lit("\n"))))).alias("word"), "w").where("trim(word) <> ''")
-        .groupBy("word").agg(F.sum("w").alias("w"))
+    plain_words = cut(
+        counted.where(~odd).select(F.explode(F.split(F.lower("value"), " ")).alias("t"))
+        .select("t", F.regexp_extract("t", r"^[^\p{L}\p{N}_]*(.*?)[^\p{L}\p{N}_]*$", 1).alias("core"))
+        .select(F.explode(F.when(F.col("core") == F.col("t"), F.array("core")).otherwise(F.array(F.col("core"), F.concat("t", F.lit("\n"))))).alias("word")).where("trim(word) <> ''")
+        .groupBy(F.xxhash64("word").alias("word")).agg(F.count("*").cast("double").alias("w"))
     )
-    odd_values = cut(counted.where(odd).select(vid, "value").distinct())
+    odd_values = cut(counted.where(odd).select("value").distinct().withColumn("vid", F.monotonically_increasing_id()))
     if odd_values.isEmpty():
         return spark.createDataFrame([], "entry_id long, field_name string, value string, chain string, repaired string, readable boolean, posterior double")
+    seen = cut(counted.where(odd).join(odd_values, "value").select("source", "field_name", "vid"))
+    plain_n = cut(counted.where(~odd).groupBy("source", "field_name").agg(F.count("*").cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s"))
 
     # words as each loss would leave them; matched with the words of suspicious values
     def lost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for v in f["value"]:
-                if "�" in v:
+                if "\ufffd" in v:
                     continue
                 for t in v.split(" "):
                     t = t.strip(_TRIM)
@@ -305,142 +381,109 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
                     rows += [(v, k, s) for t in x.split(" ") if (s := t.strip(_TRIM)) and ("?" in s or not s.isascii())]
             yield pd.DataFrame(rows, columns=["vid", "kind", "left"])
 
+    broken = odd_values.mapInPandas(marred, "vid long, kind string, left string").distinct()
     whole = odd_values.mapInPandas(lost, "kind string, left string, word string").groupBy("kind", "left", "word").count()
     whole = whole.groupBy("kind", "left").agg(F.max_by("word", F.struct("count", "word")).alias("word")).where("left <> word")
-    found = odd_values.mapInPandas(marred, "vid string, kind string, left string").distinct().join(whole, ["kind", "left"])
-    found = found.groupBy("vid", "kind").agg(F.collect_set(F.struct("left", "word")).alias("m"))  # words of one value
-    found = found.groupBy("vid").agg(F.collect_list(F.struct("kind", "m")).alias("losses"))
-    ready = cut(odd_values.join(found, "vid", "left"))
-
-    def readings(value: str, losses) -> list[tuple[str, str, bool]]:
-        """(chain, text, readable)"""
-        out = [(CLEAN, value, True)] + [(c, t, True) for c, t in invertible(value).items()]
-        known = {x["kind"]: {m["left"]: m["word"] for m in x["m"]} for x in (losses if losses is not None else [])}
-        for kind in _lossy_kinds(value):
-            words = known.get(kind, {})
-            if kind == "dropped" and not words:
-                continue
-            parts, full = [], True
-            for t in value.split(" "):
-                s = t.strip(_TRIM)
-                if s and s in words:
-                    parts.append(t.replace(s, words[s]))
-                elif kind == "dropped":
-                    parts.append(t)
-                else:  # a lost letter is taken for a common accented one
-                    mark = "?" if kind.startswith("question") else "�"
-                    new = t.replace(mark * 2, "é") if kind.endswith("bytes") else t
-                    new = new.replace(mark, "é")
-                    full &= new == t
-                    parts.append(new)
-            if (text := " ".join(parts)) != value:
-                out.append((f"lost:{kind}", text, full))
-        if NEVER.search(value):
-            out.append(("lost:unknown", NEVER.sub("", value), False))
-        return out
-
-    def counts_of(rows: DataFrame) -> CharModel:
-        """``rows``: text, p. Class pairs and characters, summed over all rows; at most as many as Unicode has."""
-
-        def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pairs: dict[tuple[str, str], float] = {}
-            chars: dict[str, float] = {}
-            for f in frames:
-                for t, p in zip(f["text"], f["p"]):
-                    before = "_"
-                    for c in t + " ":
-                        k = char_class(c)
-                        pairs[before, k] = pairs.get((before, k), 0) + p
-                        chars[c] = chars.get(c, 0) + p
-                        before = k
-            data = [("p", a, b, n) for (a, b), n in pairs.items()] + [("c", a, "", n) for a, n in chars.items()]
-            yield pd.DataFrame(data, columns=["t", "a", "b", "n"])
-
-        got = rows.mapInPandas(tally, "t string, a string, b string, n double").groupBy("t", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+    found = broken.join(whole, ["kind", "left"]).groupBy("vid").agg(F.collect_list(F.struct("kind", "left", "word")).alias("losses"))  # words of one value
+
+    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """``frames``: text, p."""
+        pairs: dict[tuple[str, str], float] = {}
+        chars: dict[str, float] = {}
+        for f in frames:
+            for t, p in zip(f["text"], f["p"]):
+                before = "_"
+                for c in t + " ":
+                    k = char_class(c)
+                    pairs[before, k] = pairs.get((before, k), 0) + p
+                    chars[c] = chars.get(c, 0) + p
+                    before = k
+        data = [("p", a, b, n) for (a, b), n in pairs.items()] + [("c", a, "", n) for a, n in chars.items()]
+        yield pd.DataFrame(data, columns=["t", "a", "b", "n"])
+
+    def tallied(rows: DataFrame) -> pd.DataFrame:
+        """Class pairs and characters, summed over all rows: at most as many as Unicode has."""
+        return rows.mapInPandas(tally, "t string, a string, b string, n double").groupBy("t", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+
+    def model_of(parts: list[pd.DataFrame]) -> tuple[dict, dict]:
+        got = pd.concat(parts).groupby(["t", "a", "b"], as_index=False)["n"].sum()
         p, c = got[got["t"] == "p"], got[got["t"] == "c"]
-        return CharModel(dict(zip(zip(p["a"], p["b"]), p["n"])), dict(zip(c["a"], c["n"])))
+        return dict(zip(zip(p["a"], p["b"]), p["n"])), dict(zip(c["a"], c["n"]))
+
+    plain_chars = tallied(counted.where(~odd).select(F.col("value").alias("text"), F.lit(1.0).alias("p")))
+    # at first every value as it stands counts for the characters
+    model = model_of([plain_chars, tallied(counted.where(odd).select(F.col("value").alias("text"), F.lit(0.2).alias("p")))])
 
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Start: a text that UTF-8 rules allow to be undone, or with U+FFFD, most likely is garbled."""
+    def first(frames: Iterator[pd.DataFrame], shared=spark.sparkContext.broadcast(model)) -> Iterator[pd.DataFrame]:
+        """The readings within the beam, and where to start: a text that UTF-8 rules allow to be undone, or one with U+FFFD,
+        most likely is garbled."""
+        m = CharModel(*shared.value)
         for f in frames:
             rows = []
             for v, x, losses in zip(f["vid"], f["value"], f["losses"]):
                 r = readings(x, losses)
-                strong = [i for i, (c, t, _) in enumerate(r) if (c.startswith("utf8") or "replacement" in c) and not mixed_words(t)]
-                for i, (c, t, ok) in enumerate(r):
-                    p = (0.99 / len(strong) if i in strong else 0.01 / (len(r) - len(strong))) if strong else (0.95 if c == CLEAN else 0.05 / max(1, len(r) - 1))
-                    rows.append((v, c, t, ok, bool(strong), p))
-            yield pd.DataFrame(rows, columns=["vid", "chain", "text", "readable", "strong", "p"])
-
-    cand = cut(ready.mapInPandas(first, "vid string, chain string, text string, readable boolean, strong boolean, p double"))
-    plain = counted.where(~odd).select(F.col("value").alias("text"), F.lit(1.0).alias("p"))
-    model = counts_of(plain.unionByName(cand.select("text", "p")))
-    seen = counted.where(odd).select("source", "field_name", vid, "n")
+                strong = [(c.startswith("utf8>") or "replacement" in c) and not mixed_words(t) for c, t, _ in r]
+                if len(r) > 1:
+                    score = [m.score(t + " ") - NEVER_COST * bool(NEVER.search(t)) - MIXED_COST * mixed_words(t) for _, t, _ in r]
+                    keep = [i for i, (c, _, _) in enumerate(r) if c == CLEAN or strong[i] or score[i] > max(score) - BEAM]
+                    r, strong = [r[i] for i in keep], [strong[i] for i in keep]
+                n, k = len(r), sum(strong)
+                if k:
+                    p = [0.99 / k if y else 0.01 / (n - k) for y in strong]
+                else:
+                    p = [0.95 if c == CLEAN else 0.05 / (n - 1) for c, _, _ in r] if n > 1 else [1.0]
+                hashes = list({w[1] for _, t, _ in r for w in word_parts(t)})
+                rows.append((v, bool(k), [{"chain": c, "text": t, "ok": ok} for c, t, ok in r], p, hashes))
+            yield pd.DataFrame(rows, columns=["vid", "strong", "r", "p", "hashes"])
+
+    cand = cut(odd_values.join(found, "vid", "left").mapInPandas(first, "vid long, strong boolean, r array<struct<chain string, text string, ok boolean>>, p array<double>, hashes array<long>"))
+
+    def support(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got: dict[int, float] = {}
+            for strong, r, p in zip(f["strong"], f["r"], f["p"]):
+                for h, n in own_words(strong, r, p).items():
+                    got[h] = got.get(h, 0) + n
+            yield pd.DataFrame({"word": list(got), "w": list(got.values())}).astype({"word": "int64", "w": "float64"})
 
-    def scored(model: CharModel):
-        shared = spark.sparkContext.broadcast((model.pairs, model.chars))
+    post = None
+    for step in range(rounds):
+        odd_words = cand.mapInPandas(support, "word long, w double")
+        counts = cut(plain_words.unionByName(odd_words).groupBy("word").agg(F.sum("w").alias("w")))
+        # the mass of all words: one number
+        mass = float(counts.agg(F.sum("w").alias("s")).first()["s"] or 1.0)
+        known = cand.select("vid", F.explode("hashes").alias("word")).join(counts, "word").groupBy("vid").agg(F.collect_list(F.struct("word", "w")).alias("known"))  # words of one value
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def judge(frames: Iterator[pd.DataFrame], mass=mass, shared=spark.sparkContext.broadcast(model)) -> Iterator[pd.DataFrame]:
             m = CharModel(*shared.value)
             for f in frames:
                 rows = []
-                for v, c, t, ok, strong, p in zip(f["vid"], f["chain"], f["text"], f["readable"], f["strong"], f["p"]):
-                    parts, chars = [], 0.0
-                    for i, (a, core, b) in enumerate(_parts(t)):
-                        marks = m.score(a) + m.score(b + " ", char_class(core[-1]) if core else "_")
-                        before = char_class(a[-1]) if a else "_"
-                        cost = m.score(core, before)
-                        chars += marks + cost
-                        # words that only stand in the garbled look of an undoable text don't support it
-                        own = c != CLEAN or not strong
-                        if core:
-                            parts.append({"i": i, "word": core.lower(), "off": marks + m.move(before, core[0]), "floor": marks + cost - 1, "own": own or core.isascii()})
-                        if a or b:
-                            full = (a + core + b + "\n").lower()
-                            parts.append({"i": i, "word": full, "off": m.move("_", full[0]), "floor": marks + cost - 1, "own": own or full.isascii()})
-                    rows.append((v, c, t, ok, strong, p, parts, chars - NEVER_COST * bool(NEVER.search(t)) - MIXED_COST * (mixed := mixed_words(t)), mixed))
-                yield pd.DataFrame(rows, columns=["vid", "chain", "text", "readable", "strong", "p", "parts", "chars", "mixed"])
-
-        return run
-
-    for step in range(rounds):
-        near = cand.mapInPandas(scored(model), "vid string, chain string, text string, readable boolean, strong boolean, p double, parts array<struct<i int, word string, off double, floor double, own boolean>>, chars double, mixed int")
-        if step == 0:
-            near = near.withColumn("best", F.max("chars").over(Window.partitionBy("vid"))).where(f"chain = '{CLEAN}' or chars > best - {BEAM}").drop("best")
-        near = cut(near)
-        # word counts under the present posteriors; a value's own part is taken off again below
-        each = near.select("vid", "chain", "p", F.explode("parts").alias("w")).select("vid", "chain", "p", "w.i", "w.word", "w.off", "w.floor", "w.own")
-        own = each.groupBy("vid", "word").agg(F.sum(F.when(F.col("own"), F.col("p")).otherwise(0.0)).alias("mine"))
-        counts = plain_words.unionByName(own.groupBy("word").agg(F.sum("mine").alias("w"))).groupBy("word").agg(F.sum("w").alias("w"))
-        # the mass of all words: one number
-        mass = float(counts.agg(F.sum("w").alias("s")).first()["s"] or 1.0)
-        per = each.join(own, ["vid", "word"]).join(counts, "word", "left")
-        others = F.greatest(F.coalesce("w", F.lit(0.0)) - F.col("mine"), F.lit(1e-9))
-        # a rare word leans on its characters too: else two rare forms, one garbled from the other, support each other alike
-        trust = others / (others + RARE)
-        known = trust * (F.log(others / mass) + F.col("off")) + (1 - trust) * F.col("floor")
-        words = per.groupBy("vid", "chain", "i").agg(F.max(F.greatest(known, F.col("floor"))).alias("lp")).groupBy("vid", "chain").agg(F.sum("lp").alias("lp"))
-        never = F.when(F.col("text").rlike("[\\u0080-\\u009f\\ufffd]"), -NEVER_COST).otherwise(0.0) - MIXED_COST * F.col("mixed") - F.when(F.col("chain") == "lost:unknown", GIVEN_UP_COST).otherwise(0.0)
-        like = near.join(words, ["vid", "chain"], "left").select("vid", "chain", "text", "readable", "strong", "p", (F.coalesce("lp", F.lit(0.0)) + never).alias("ll"))
+                for v, strong, r, p, known in zip(f["vid"], f["strong"], f["r"], f["p"], f["known"]):
+                    seen_words = {k["word"]: k["w"] for k in known} if known is not None else {}
+                    mine = own_words(strong, r, p)
+                    for x in r:
+                        rows.append((v, x["chain"], likelihood(x["chain"], x["text"], m, seen_words, mine, mass)))
+                yield pd.DataFrame(rows, columns=["vid", "chain", "ll"])
+
+        like = cand.select("vid", "strong", "r", "p").join(known, "vid", "left").mapInPandas(judge, "vid long, chain string, ll double")
+        before = cand.select("vid", F.explode(F.arrays_zip(F.col("r.chain").alias("chain"), F.col("p").alias("p"))).alias("x")).select("vid", "x.*").toDF("vid", "chain", "p")
         # the chances of chains per source and field, smoothed towards those over all
-        joint = seen.join(like, "vid").select("source", "field_name", "vid", "n", "chain", "ll", "p")
-        prior = joint.groupBy("source", "field_name", "chain").agg(F.sum("p").alias("s"))
-        plain_n = counted.where(~odd).groupBy("source", "field_name").agg(F.count("*").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), F.col("s").cast("double").alias("s"))
-        prior = prior.unionByName(plain_n).groupBy("source", "field_name", "chain").agg(F.sum("s").alias("s"))
-        by_f, by_c = Window.partitionBy("source", "field_name"), Window.partitionBy("chain")
-        all_w = F.sum("s").over(by_c)
-        prior = prior.withColumn("a", all_w).withColumn("t", F.sum("s").over(by_f))
+        joint = cut(seen.join(like.join(before, ["vid", "chain"]), "vid"))
+        prior = joint.groupBy("source", "field_name", "chain").agg(F.sum("p").alias("s")).unionByName(plain_n).groupBy("source", "field_name", "chain").agg(F.sum("s").alias("s"))
+        prior = prior.withColumn("a", F.sum("s").over(Window.partitionBy("chain"))).withColumn("t", F.sum("s").over(Window.partitionBy("source", "field_name")))
+        prior = cut(prior)
         total = float(prior.agg(F.sum("s").alias("x")).first()["x"] or 1.0)
         prior = prior.select("source", "field_name", "chain", F.log((F.col("s") + 20 * (F.col("a") + 0.1) / total) / (F.col("t") + 20)).alias("lpi"))
         post = joint.join(prior, ["source", "field_name", "chain"]).withColumn("l", F.col("ll") + F.col("lpi"))
         by_v = Window.partitionBy("source", "field_name", "vid")
         post = post.withColumn("z", F.exp(F.col("l") - F.max("l").over(by_v))).withColumn("q", F.col("z") / F.sum("z").over(by_v))
-        post = cut(post.select("source", "field_name", "vid", "n", "chain", "q"))
-        mean = post.groupBy("vid", "chain").agg(F.avg("q").alias("q"))
-        cand = cut(like.drop("p").join(mean, ["vid", "chain"]).select("vid", "chain", "text", "readable", "strong", F.col("q").alias("p")))
+        post = cut(post.select("source", "field_name", "vid", "chain", "q"))
         if step + 1 < rounds:
-            model = counts_of(plain.unionByName(cand.where("p > 0.001").select("text", "p")))
+            mean = post.groupBy("vid", "chain").agg(F.avg("q").alias("q")).groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("chain", "q"))).alias("q"))
+            cand = cut(cand.drop("p").join(mean, "vid").withColumn("p", F.transform("r", lambda x: F.element_at("q", x["chain"]))).select("vid", "strong", "r", "p", "hashes"))
+            texts = cand.select(F.explode(F.arrays_zip(F.col("r.text").alias("text"), F.col("p").alias("p"))).alias("x")).select("x.*").toDF("text", "p").where("p > 0.001")
+            model = model_of([plain_chars, tallied(texts)])
     garbled = post.groupBy("source", "field_name", "vid").agg(F.sum(F.when(F.col("chain") != CLEAN, F.col("q")).otherwise(0.0)).alias("posterior"), F.max_by("chain", F.struct(F.when(F.col("chain") == CLEAN, -1.0).otherwise(F.col("q")), "chain")).alias("chain")).where(f"posterior > {threshold}")
-    garbled = garbled.join(cand.select("vid", "chain", "text", "readable"), ["vid", "chain"])
-    out = stacked.where(odd).withColumn("vid", vid).join(garbled, ["source", "field_name", "vid"])
-    return out.select("entry_id", "field_name", "value", "chain", F.col("text").alias("repaired"), "readable", "posterior")
+    texts = cand.select("vid", F.explode("r").alias("x")).select("vid", "x.chain", F.col("x.text").alias("repaired"), F.col("x.ok").alias("readable"))
+    garbled = garbled.join(texts, ["vid", "chain"]).join(odd_values, "vid").drop("vid")
+    return stacked.where(odd).join(garbled, ["source", "field_name", "value"]).select("entry_id", "field_name", "value", "chain", "repaired", "readable", "posterior")
