@@ -15,7 +15,7 @@ from playgraph.session import cut
 #: The clusters that lay out the blocks are fitted on at most this many vectors; every vector is assigned, searched and found.
 FIT_ROWS = 16_384
 #: Vectors per cluster aimed at, and the most clusters (their centroids are broadcast: at most MAX_CLUSTERS x dim doubles).
-PER_CLUSTER, MAX_CLUSTERS = 400, 4096
+PER_CLUSTER, MAX_CLUSTERS = 200, 4096
 #: Rows of either side of one tile; a larger cluster is cut into several tiles.
 TILE_ROWS = 4096
 #: Clusters of the first pass, which gives each vector an upper bound for the distance of its k-th neighbour.
@@ -110,8 +110,8 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
     Layout: equal vectors are searched once (a copy group may be any share of all rows; it is cut to its k + 1 smallest ids
     by a ranked window before it meets the others). Distinct vectors are grouped into clusters fitted on a bounded sample,
     clusters into tiles. Pass 1 joins each vector with the tiles of its PROBES nearest clusters, which bounds the distance of
-    its k-th neighbour; pass 2 joins it with every other cluster the triangle inequality cannot exclude under that bound, so
-    no neighbour is lost. Tiles yield k rows a query, merged by rank.
+    its k-th neighbour; pass 2 joins it with every other cluster that neither the triangle inequality (its ring of distances) nor
+    the bisector between centroids excludes under that bound, so no neighbour is lost. Tiles yield k rows a query, merged by rank.
 
     Defined cases: a null vector, one of another length, with a null, NaN or infinite entry, or only zeros does not take part;
     a null id does not either; with k or fewer usable vectors each gets all others; an empty table gives an empty result;
@@ -184,6 +184,10 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
             d = _distances(_unit(f["v"]), shared.value)
             reach = np.sqrt(np.maximum(0, 2 - 2 * (f["kth"].to_numpy() - _SLACK)))[:, None] + 1e-7
             visit = filled & (d - hi <= reach) & (lo - d <= reach)
+            # a cluster's members lie on its side of the bisector with the vector's nearest centroid
+            a = d.argmin(axis=1)
+            gap = np.maximum(_distances(shared.value[a], shared.value), 1e-12)
+            visit &= (d**2 - d[np.arange(len(f)), a][:, None] ** 2) / (2 * gap) <= reach
             visit[np.arange(len(f))[:, None], np.array(f["near"].tolist(), int)] = False
             i, c = np.nonzero(visit)
             yield pd.DataFrame({"id": f["id"].to_numpy()[i], "v": f["v"].to_numpy()[i], "cluster": c})
