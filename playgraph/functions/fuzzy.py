@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaro(a: str, b: str) -> float:
@@ -41,7 +42,7 @@ def jaro_winkler(a: str, b: str, boost_above: float = 0.7) -> float:
     return j + 0.1 * p * (1 - j)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 

@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Separators at which a joint name splits.
 NAME_SEPARATORS = r", | / |/| \+ "
@@ -50,7 +51,7 @@ def _identity(s: str | None) -> str | None:
     return re.sub(r"\A(the|a) (?=.)", "", t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_identity(s: pd.Series) -> pd.Series:
     """STR-01: NFKC, lower case, ' & ' as ' and ', one enclosing bracket pair and a leading 'the ' or 'a ' off, blanks joined."""
     return s.map(_identity, na_action="ignore")
@@ -62,7 +63,7 @@ def _match(s: str) -> str:
     return re.sub(r"\s+", " ", t).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def match_form(s: pd.Series) -> pd.Series:
     """STR-02: compatibility decomposition, case folded, combining marks and format characters (but the joiner) off."""
     return s.map(_match, na_action="ignore")
@@ -85,7 +86,7 @@ def is_compilation(c: Column) -> Column:
     return F.coalesce(c.rlike(COMPILATION_PATTERN), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -199,7 +200,7 @@ def markup_to_html(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def markup_html(s: pd.Series) -> pd.Series:
     """STR-14."""
     return s.map(markup_to_html, na_action="ignore")
@@ -273,7 +274,7 @@ def seconds_to_hour(now_epoch: int, hour: int) -> int:
     return (hour * 3600 - into - 1) % 86400 + 1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def main_text(s: pd.Series) -> pd.Series:
     """SRC-18: the readable text of an HTML page: scripts, styles and navigation off, tags off, entities decoded."""
     drop = re.compile(r"(?is)<(script|style|nav|header|footer|aside|noscript)\b.*?</\1\s*>|<!--.*?-->")

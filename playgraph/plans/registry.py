@@ -1,4 +1,29 @@
-"""Query registry: name -> Spark query, name -> DuckDB SQL."""
+"""Query registry: name -> Spark query over the tables of a folder, name -> the same in DuckDB SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; without ``sql`` it is one that SQL cannot express, tested against brute force instead."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"two queries named {name}")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+for _module in ("plays", "edges", "names", "features", "changes", "surface"):
+    import_module(f"playgraph.plans.{_module}")
