@@ -25,7 +25,7 @@ LOSSY = ["question", "question_bytes", "replacement", "replacement_bytes", "drop
 CLEAN = "clean"
 DEPTH = 3
 #: Candidates this many nats behind a value's best by the character model alone are not scored further.
-BEAM = 18.0
+BEAM, SWAP_BEAM = 18.0, 10.0
 
 #: A word seen this often counts half by its count, half by its characters.
 RARE = 3.0
@@ -122,56 +122,85 @@ def _undo_swap(text: str, read: str, written: str) -> str | None:
     return fixed if fixed != text else None
 
 
-def invertible(text: str) -> dict[str, str]:
-    """chain name -> text before it, of all chains up to DEPTH misreadings that can be undone."""
-    if text.isascii():
-        return {}
+@functools.lru_cache(maxsize=100_000)
+def _undone_token(token: str) -> tuple[dict[str, str], dict[str, str]]:
+    """(chains that some high characters of a blank-free token allow to be undone, chains that need all of them)."""
     found: dict[str, str] = {}
-    seen = {text}
-    level = [("", text)]
-    for depth in range(DEPTH):
+    seen = {token}
+    level = [("", token)]
+    for _ in range(DEPTH):
         nxt = []
         for name, t in level:
             for codec in READ_AS:
                 fixed = _undo_utf8(t, codec)
                 if fixed is not None and fixed not in seen:
                     seen.add(fixed)
-                    chain = f"{name}utf8>{codec};"
-                    found[chain] = fixed
-                    nxt.append((chain, fixed))
+                    found[f"{name}utf8>{codec};"] = fixed
+                    nxt.append((f"{name}utf8>{codec};", fixed))
         level = nxt
-    for codec in READ_AS[:2] if " " in text else []:
-        fixed = _undo_utf8(text, codec, blank=True)
-        if fixed is not None and fixed not in seen:
-            seen.add(fixed)
-            found[f"utf8~{codec};"] = fixed
+    whole: dict[str, str] = {}
     for read in READ_AS:
         if read == "latin_1":
             continue
         for written in WRITTEN_AS:
-            if written != read and (fixed := _undo_swap(text, read, written)) is not None and fixed not in seen:
-                seen.add(fixed)
-                found[f"{written}>{read};"] = fixed
+            if written != read and (fixed := _undo_swap(token, read, written)) is not None:
+                whole[f"{written}>{read};"] = fixed
     for read in ("latin_1", "cp1252"):
         for written in MULTI_BYTE:
-            if (fixed := _undo_multi(text, read, written)) is not None and fixed not in seen:
-                seen.add(fixed)
-                found[f"{written}>{read};"] = fixed
+            if (fixed := _undo_multi(token, read, written)) is not None:
+                whole[f"{written}>{read};"] = fixed
+    return found, whole
+
+
+def invertible(text: str) -> dict[str, str]:
+    """chain name -> text before it, of all chains up to DEPTH misreadings that can be undone. A chain of UTF-8 misreadings
+    mends the tokens it can; the others must hold for every high character of the text."""
+    if text.isascii():
+        return {}
+    tokens = text.split(" ")
+    odd = [i for i, t in enumerate(tokens) if not t.isascii()]
+    undone = {i: _undone_token(tokens[i]) for i in odd}
+    found: dict[str, str] = {}
+    seen = {text}
+
+    def add(chain: str, part: int) -> None:
+        new = list(tokens)
+        for i in odd:
+            fixed = undone[i][part].get(chain)
+            if fixed is None and part:
+                return
+            new[i] = fixed if fixed is not None else tokens[i]
+        if (joined := " ".join(new)) not in seen:
+            seen.add(joined)
+            found[chain] = joined
+
+    for chain in sorted({c for i in odd for c in undone[i][0]}, key=lambda c: (c.count(";"), [READ_AS.index(x[5:]) for x in c.split(";")[:-1]])):
+        add(chain, 0)
+    for codec in READ_AS[:2] if " " in text else []:
+        fixed = _undo_utf8(text, codec, blank=True)
+        if fixed is not None and fixed not in seen:
+            seen.add(fixed)
+            found[f"utf8~{codec};"] = fixed
+    for chain in undone[odd[0]][1]:
+        add(chain, 1)
     return found
 
 
 #: Nats off a reading for each word of several scripts, and for giving a lost part up.
 MIXED_COST, GIVEN_UP_COST = 12.0, 20.0
+#: Nats off a misread single-byte encoding none of whose mended words stands elsewhere: any bytes can be undone that way.
+UNBACKED_COST = 6.0
+
+
+@functools.lru_cache(maxsize=200_000)
+def _mixed(token: str) -> bool:
+    scripts = {unicodedata.name(c, "?").split(" ", 1)[0] for c in token if unicodedata.category(c)[0] == "L"} - {"MICRO", "FEMININE", "MASCULINE", "MODIFIER"}
+    return len({"CJK" if x in ("HIRAGANA", "KATAKANA") else x for x in scripts}) > 1
 
 
 def mixed_words(text: str) -> int:
     """Words with letters of more than one script (kanji and kana count as one)."""
-    n = 0
-    for t in text.split(" "):
-        if not t.isascii():
-            scripts = {unicodedata.name(c, "?").split(" ", 1)[0] for c in t if unicodedata.category(c)[0] == "L"} - {"MICRO", "FEMININE", "MASCULINE", "MODIFIER"}
-            n += len({"CJK" if x in ("HIRAGANA", "KATAKANA") else x for x in scripts}) > 1
-    return n
+    return sum(not t.isascii() and _mixed(t) for t in text.split(" "))
 
 
 def lossy_form(word: str, kind: str) -> str:
@@ -220,6 +249,7 @@ class CharModel:
             k = char_class(c)
             self.in_class[k] = self.in_class.get(k, 0) + n
         self.memo: dict[tuple[str, str], float] = {}
+        self.words: dict[tuple[bool, str, str, str], tuple[float, float]] = {}
 
     def cost(self, before: str, c: str) -> float:
         key = (before, c)
@@ -235,6 +265,19 @@ class CharModel:
         """From one class to the next, whatever the character."""
         return math.log((self.pairs.get((before, char_class(c)), 0) + 0.02) / (self.from_class.get(before, 0) + 1))
 
+    def word(self, whole: bool, a: str, core: str, b: str) -> tuple[float, float]:
+        """(cost by characters alone, cost of the marks beside a known word)."""
+        key = (whole, a, core, b)
+        got = self.words.get(key)
+        if got is None:
+            marks = self.score(a) + self.score(b + " ", char_class(core[-1]) if core else "_")
+            before = char_class(a[-1]) if a else "_"
+            floor = marks + self.score(core, before) - 1
+            got = self.words[key] = (floor, self.move("_", (a + core + b)[0]) if whole else marks + self.move(before, core[0]))
+            if len(self.words) > 200_000:
+                self.words = {key: got}
+        return got
+
     def score(self, text: str, before: str = "_") -> float:
         s = 0.0
         for c in text:
@@ -243,27 +286,27 @@ class CharModel:
         return s
 
 
-def _parts(text: str) -> list[tuple[str, str, str]]:
-    """(leading marks, core word, trailing marks) of each blank-separated token."""
-    return [_EDGE.match(t).groups() for t in text.split(" ") if t]
-
-
 def _hash(word: str) -> int:
     """Spark's xxhash64 of a string."""
     h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
     return h - (1 << 64) if h >> 63 else h
 
 
+@functools.lru_cache(maxsize=200_000)
+def _token_words(token: str) -> tuple[tuple[int, bool, str, str, str], ...]:
+    a, core, b = _EDGE.match(token).groups()
+    out = []
+    if core:
+        out.append((_hash(core.lower()), False, a, core, b))
+    if a or b:
+        out.append((_hash((token + "\n").lower()), True, a, core, b))
+    return tuple(out)
+
+
 def word_parts(text: str) -> list[tuple[int, int, bool, str, str, str]]:
     """(token number, word hash, whole token?, leading marks, core, trailing marks) of each word: the core of every token and,
     where it has marks, the token itself, told from a core by a line end. Words are counted in lower case."""
-    out = []
-    for i, (a, core, b) in enumerate(_parts(text)):
-        if core:
-            out.append((i, _hash(core.lower()), False, a, core, b))
-        if a or b:
-            out.append((i, _hash((a + core + b + "\n").lower()), True, a, core, b))
-    return out
+    return [(i, *w) for i, t in enumerate(x for x in text.split(" ") if x) for w in _token_words(t)]
 
 
 def own_words(strong: bool, r, p) -> dict[int, float]:
@@ -282,15 +325,15 @@ def likelihood(chain: str, text: str, m: CharModel, known: dict[int, float], min
     """Log likelihood of a reading: each token by the better of word counts and characters. A rare word leans on its
     characters too: else two rare forms, one garbled from the other, would support each other alike."""
     best: dict[int, float] = {}
+    backed = False
     for i, h, whole, a, core, b in word_parts(text):
-        marks = m.score(a) + m.score(b + " ", char_class(core[-1]) if core else "_")
-        before = char_class(a[-1]) if a else "_"
-        floor = marks + m.score(core, before) - 1
-        off = m.move("_", (a + core + b)[0]) if whole else marks + m.move(before, core[0])
+        floor, off = m.word(whole, a, core, b)
         others = max(known.get(h, 0.0) - mine.get(h, 0.0), 1e-9)
         trust = others / (others + RARE)
+        backed |= others >= 0.5 and not (core.isascii() and a.isascii() and b.isascii())
         best[i] = max(best.get(i, -1e9), floor, trust * (math.log(others / mass) + off) + (1 - trust) * floor)
-    return sum(best.values()) - NEVER_COST * bool(NEVER.search(text)) - MIXED_COST * mixed_words(text) - GIVEN_UP_COST * (chain == "lost:unknown")
+    alone = 0.0 if backed or chain == CLEAN or chain.startswith(("utf8", "lost")) else UNBACKED_COST
+    return sum(best.values()) - alone - NEVER_COST * bool(NEVER.search(text)) - MIXED_COST * mixed_words(text) - GIVEN_UP_COST * (chain == "lost:unknown")
 
 
 def readings(value: str, losses) -> list[tuple[str, str, bool]]:
@@ -347,7 +390,8 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     ).select("entry_id", "source", "f.field_name", "f.value")
     stacked = stacked.where("value <> ''")
     odd = F.col("value").rlike(r"[^\x00-\x7f]|\?")
-    counted = cut(stacked.groupBy("source", "field_name", "value").agg(F.count("*").alias("n")))
+    # distinct values of a field; sources matter to the chances of chains only
+    counted = cut(stacked.select("field_name", "value").distinct())
     plain_words = cut(
         counted.where(~odd).select(F.explode(F.split(F.lower("value"), " ")).alias("t"))
         .select("t", F.regexp_extract("t", r"^[^\p{L}\p{N}_]*(.*?)[^\p{L}\p{N}_]*$", 1).alias("core"))
@@ -357,8 +401,8 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     odd_values = cut(counted.where(odd).select("value").distinct().withColumn("vid", F.monotonically_increasing_id()))
     if odd_values.isEmpty():
         return spark.createDataFrame([], "entry_id long, field_name string, value string, chain string, repaired string, readable boolean, posterior double")
-    seen = cut(counted.where(odd).join(odd_values, "value").select("source", "field_name", "vid"))
-    plain_n = cut(counted.where(~odd).groupBy("source", "field_name").agg(F.count("*").cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s"))
+    seen = cut(stacked.where(odd).groupBy("source", "field_name", "value").agg(F.count("*").alias("n")).join(odd_values, "value").select("source", "field_name", "vid", "n"))
+    plain_n = cut(stacked.where(~odd).groupBy("source", "field_name").agg(F.count("*").cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s"))
 
     # words as each loss would leave them; matched with the words of suspicious values
     def lost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -405,8 +449,11 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
         """Class pairs and characters, summed over all rows: at most as many as Unicode has."""
         return rows.mapInPandas(tally, "t string, a string, b string, n double").groupBy("t", "a", "b").agg(F.sum("n").alias("n")).toPandas()
 
+    def model_of_rows(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).groupby(["t", "a", "b"], as_index=False)["n"].sum()
+
     def model_of(parts: list[pd.DataFrame]) -> tuple[dict, dict]:
-        got = pd.concat(parts).groupby(["t", "a", "b"], as_index=False)["n"].sum()
+        got = model_of_rows(parts)
         p, c = got[got["t"] == "p"], got[got["t"] == "c"]
         return dict(zip(zip(p["a"], p["b"]), p["n"])), dict(zip(c["a"], c["n"]))
 
@@ -425,7 +472,7 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
                 strong = [(c.startswith("utf8>") or "replacement" in c) and not mixed_words(t) for c, t, _ in r]
                 if len(r) > 1:
                     score = [m.score(t + " ") - NEVER_COST * bool(NEVER.search(t)) - MIXED_COST * mixed_words(t) for _, t, _ in r]
-                    keep = [i for i, (c, _, _) in enumerate(r) if c == CLEAN or strong[i] or score[i] > max(score) - BEAM]
+                    keep = [i for i, (c, _, _) in enumerate(r) if c == CLEAN or strong[i] or score[i] > max(score) - (BEAM if c.startswith(("utf8", "lost")) else SWAP_BEAM)]
                     r, strong = [r[i] for i in keep], [strong[i] for i in keep]
                 n, k = len(r), sum(strong)
                 if k:
@@ -438,6 +485,10 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
 
     cand = cut(odd_values.join(found, "vid", "left").mapInPandas(first, "vid long, strong boolean, r array<struct<chain string, text string, ok boolean>>, p array<double>, hashes array<long>"))
 
+    # a value with one reading is clean: its words and characters count like plain ones, and it needs no more rounds
+    settled = cand.where("size(r) = 1")
+    open_ = cand.where("size(r) > 1")
+
     def support(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got: dict[int, float] = {}
@@ -446,6 +497,10 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
                     got[h] = got.get(h, 0) + n
             yield pd.DataFrame({"word": list(got), "w": list(got.values())}).astype({"word": "int64", "w": "float64"})
 
+    plain_words = cut(plain_words.unionByName(settled.mapInPandas(support, "word long, w double")).groupBy("word").agg(F.sum("w").alias("w")))
+    plain_chars = model_of_rows([plain_chars, tallied(settled.select(F.col("r")[0]["text"].alias("text"), F.lit(1.0).alias("p")))])
+    plain_n = cut(plain_n.unionByName(seen.join(settled.select("vid"), "vid", "left_semi").groupBy("source", "field_name").agg(F.sum("n").cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s")))
+    cand = open_
     post = None
     for step in range(rounds):
         odd_words = cand.mapInPandas(support, "word long, w double")
@@ -469,7 +524,7 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
         before = cand.select("vid", F.explode(F.arrays_zip(F.col("r.chain").alias("chain"), F.col("p").alias("p"))).alias("x")).select("vid", "x.*").toDF("vid", "chain", "p")
         # the chances of chains per source and field, smoothed towards those over all
         joint = cut(seen.join(like.join(before, ["vid", "chain"]), "vid"))
-        prior = joint.groupBy("source", "field_name", "chain").agg(F.sum("p").alias("s")).unionByName(plain_n).groupBy("source", "field_name", "chain").agg(F.sum("s").alias("s"))
+        prior = joint.groupBy("source", "field_name", "chain").agg(F.sum(F.col("p") * F.col("n")).alias("s")).unionByName(plain_n).groupBy("source", "field_name", "chain").agg(F.sum("s").alias("s"))
         prior = prior.withColumn("a", F.sum("s").over(Window.partitionBy("chain"))).withColumn("t", F.sum("s").over(Window.partitionBy("source", "field_name")))
         prior = cut(prior)
         total = float(prior.agg(F.sum("s").alias("x")).first()["x"] or 1.0)
@@ -486,4 +541,5 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     garbled = post.groupBy("source", "field_name", "vid").agg(F.sum(F.when(F.col("chain") != CLEAN, F.col("q")).otherwise(0.0)).alias("posterior"), F.max_by("chain", F.struct(F.when(F.col("chain") == CLEAN, -1.0).otherwise(F.col("q")), "chain")).alias("chain")).where(f"posterior > {threshold}")
     texts = cand.select("vid", F.explode("r").alias("x")).select("vid", "x.chain", F.col("x.text").alias("repaired"), F.col("x.ok").alias("readable"))
     garbled = garbled.join(texts, ["vid", "chain"]).join(odd_values, "vid").drop("vid")
+    garbled = cut(garbled)
     return stacked.where(odd).join(garbled, ["source", "field_name", "value"]).select("entry_id", "field_name", "value", "chain", "repaired", "readable", "posterior")
