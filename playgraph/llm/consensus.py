@@ -10,6 +10,8 @@ from playgraph.session import cut
 
 #: The rubric's spellings.
 SEVERITIES = ["severe", "minor", "not_wrong"]
+#: What is expected of an annotator before any label: weighs as much as two items.
+HIT, FALSE_HIT = 0.75, 0.15
 FAILURE_MODES = ["subject_hallucination", "neighbor_characterization", "dj_intent", "data_noise", "other"]
 
 
@@ -60,8 +62,8 @@ def consensus(labels: DataFrame, classes: list[str], max_iter: int = 20, tol: fl
         # means over all annotators: the smoothing prior of an annotator, and the class's share of items
         whole = Window.partitionBy("k")
         sums = sums.withColumns({
-            "hit0": F.sum("pos_x").over(whole) / F.greatest(F.sum("pos").over(whole), F.lit(1e-9)),
-            "false0": F.sum("neg_x").over(whole) / F.greatest(F.sum("neg").over(whole), F.lit(1e-9)),
+            "hit0": (F.sum("pos_x").over(whole) + 2 * HIT) / (F.sum("pos").over(whole) + 2),
+            "false0": (F.sum("neg_x").over(whole) + 2 * FALSE_HIT) / (F.sum("neg").over(whole) + 2),
             "share": F.sum("pos").over(whole) / F.greatest(F.sum(F.col("pos") + F.col("neg")).over(whole), F.lit(1e-9)),
         })
         clip = lambda c: F.least(F.greatest(c, F.lit(0.02)), F.lit(0.98))
