@@ -122,7 +122,7 @@ def re_resolve(resolved: DataFrame, codes: DataFrame, min_plays: int = 10, thres
     hit = fuzzy_match(raw, exact_index(codes), threshold).select(F.col("name").alias("canonical"), F.col("canonical").alias("_new"))
     j = resolved.join(hit, "canonical", "left")
     use = (F.col("method") == "raw") & F.col("_new").isNotNull()
-    return j.withColumn("method", F.when(use, "fuzzy_relaxed").otherwise(F.col("method"))).withColumn("canonical", F.when(use, F.col("_new")).otherwise(F.col("canonical"))).drop("_new")
+    return j.withColumns({"method": F.when(use, "fuzzy_relaxed").otherwise(F.col("method")), "canonical": F.when(use, F.col("_new")).otherwise(F.col("canonical"))}).drop("_new")
 
 
 def archive_match(names: DataFrame, catalog: DataFrame, name: str = "name") -> DataFrame:
