@@ -71,13 +71,13 @@ def match_form(s: pd.Series) -> pd.Series:
 
 def split_names(c: Column) -> Column:
     """STR-04: the parts of a joint name; a name with one part gives an empty array."""
-    parts = F.filter(F.transform(F.split(c, NAME_SEPARATORS), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, NAME_SEPARATORS), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
 
 
 def normalized_forms(base: Column) -> Column:
     """STR-03: of an identity form: itself, its parts and the sides of ' aka ', each once."""
-    aka = F.filter(F.transform(F.split(base, " aka "), F.trim), lambda x: x != "")
+    aka = F.filter(F.transform(F.split(base, " aka "), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(F.concat(F.array(base), split_names(base), F.when(F.size(aka) > 1, aka).otherwise(F.array().cast("array<string>"))))
 
 
@@ -225,7 +225,7 @@ def name_variants(c: Column) -> Column:
     bare = lambda x: F.regexp_replace(x, r"^the ", "")
     parts = F.array().cast("array<string>")
     for sep in (" / ", " & ", " and ", " + ", " with ", " vs. ", " vs "):
-        piece = F.when(n.contains(sep), F.transform(F.split(n, re.escape(sep)), F.trim)).otherwise(F.array().cast("array<string>"))
+        piece = F.when(n.contains(sep), F.transform(F.split(n, re.escape(sep)), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
         parts = F.concat(parts, piece, F.transform(piece, bare))
     cut = F.transform(F.array(F.lit(", jr."), F.lit(", iii"), F.lit(", ii")), lambda s: F.trim(F.replace(n, s, F.lit(""))))
     every = F.array_distinct(F.concat(F.array(n, bare(n)), parts, cut))
@@ -285,3 +285,34 @@ def main_text(s: pd.Series) -> pd.Series:
         return re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t]+", " ", html.unescape(t))).strip()
 
     return s.map(one, na_action="ignore")
+
+
+#: Weights of claim types; others weigh 1.
+CLAIM_WEIGHTS = {"ARTIST": 3.0, "NEIGHBOR": 1.0, "CONTEXT": 1.0, "INTENT": 1.0, "STRUCTURE": 2.0}
+
+
+def weighted_claims(c: Column) -> Column:
+    """EXP-06: of the lines 'G|TYPE:' and 'U|TYPE:' the ungrounded share by weight of their types; 0 without such lines."""
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda s: s.rlike(r"^[GU]\|\w+:"))
+    table = F.create_map(*[F.lit(x) for kv in CLAIM_WEIGHTS.items() for x in kv])
+    weigh = lambda s: F.coalesce(F.try_element_at(table, F.regexp_extract(s, r"^[GU]\|(\w+):", 1)), F.lit(1.0))
+    add = lambda xs: F.aggregate(F.transform(xs, weigh), F.lit(0.0), lambda a, x: a + x)
+    return F.coalesce(F.try_divide(add(F.filter(lines, lambda s: s.startswith("U"))), add(lines)), F.lit(0.0))
+
+
+#: Words too common to need grounding by terms.
+STOP_WORDS = "the and for are was were with that this these those from into its their has have been but not you all can both also who his her they them our".split()
+
+
+def term_score(text: Column, terms: Column, expansions: dict[str, list[str]] | None = None, allowed: list[str] | None = None) -> Column:
+    """EXP-07: share of the text's content words (longer than two letters, no stop words) that are not among the terms; a term
+    that holds a stem of ``expansions``, or stands in it, brings that stem's words along, and ``allowed`` words always count."""
+    known = F.transform(terms, F.lower)
+    for s, more in (expansions or {}).items():
+        near = F.exists(known, lambda t, s=s: t.contains(s) | F.lit(s).contains(t))
+        known = F.concat(known, F.when(near, F.array(*[F.lit(m) for m in more])).otherwise(F.array().cast("array<string>")))
+    known = F.concat(known, F.array(*[F.lit(a) for a in allowed]) if allowed else F.array().cast("array<string>"))
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    content = F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w\s-]", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    n = F.size(content)
+    return F.when(n > 0, F.size(F.filter(content, lambda w: ~F.array_contains(known, w))) / n).otherwise(0.0)

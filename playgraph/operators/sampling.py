@@ -62,3 +62,11 @@ def band_risk(pairs: DataFrame) -> DataFrame:
     band = lambda c, lo, hi: F.when(c < lo, 1.0).when(c < hi, 0.5).otherwise(0.0)
     styles = F.greatest("styles_a", "styles_b")
     return pairs.withColumn("risk", band((F.col("plays_a") + F.col("plays_b")) / 2, 50, 200) + band(F.least("rich_a", "rich_b"), 3, 10) + F.when(styles > 8, 1.0).when(styles > 4, 0.5).otherwise(0.0) + F.when(F.col("genre_a") != F.col("genre_b"), 1.0).when(F.col("genre_a").isNull() | F.col("genre_b").isNull(), 0.5).otherwise(0.0))
+
+
+def connected_candidates(nodes: DataFrame, edges: DataFrame, a: str, b: str, least: int, n: int, seed: int = 42) -> DataFrame:
+    """EXP-04: up to ``n`` nodes at random among those with at least ``least`` distinct partners."""
+    from playgraph.operators.graph import degree
+
+    d = degree(edges, a, b).where(F.col("degree") >= least).select(F.col("node").alias("id"), "degree")
+    return random_rows(nodes.join(d, "id"), "id", n, seed)

@@ -145,3 +145,9 @@ def edges_by_id(spark, d):
 @query("assigned_ids", "select row_number() over (order by encode(presentation_name)) as id, presentation_name as name from (select distinct presentation_name from library_code where presentation_name is not null)")
 def assigned_ids(spark, d):
     return sinks.assign_ids(table(spark, d, "library_code"), "presentation_name")
+
+
+@query("connected_candidates")
+def connected_candidates(spark, d):
+    a = table(spark, d, "artist").where("total_plays between 5 and 400 and genre is not null").select("id", "genre")
+    return sampling.connected_candidates(a, transitions(spark, d), "source_id", "target_id", 8, 120).select("id", "degree")

@@ -239,3 +239,15 @@ def text_coverage(spark, d):
 @query("real_names", "select count(*) as total, coalesce(sum((coalesce(lower(trim(label_name, ' ')) not in ('unknown', 'various', 'various artists', 'n/a', 'none', 'untitled', ''), false))::int), 0)::bigint as named from flowsheet_entry")
 def real_names(spark, d):
     return stats.conditional_counts(table(spark, d, "flowsheet_entry"), named=tx.real_name(F.col("label_name")))
+
+
+@query(
+    "term_score",
+    f"""with r as (select row_id, lower(narrative) as t, string_split(lower(concat_ws(' ', source_name, target_name)), ' ') as terms from labeling_row where narrative is not null),
+w as (select row_id, terms, unnest(string_split_regex(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s-]', ' ', 'g'), '\\s+')) as w from r),
+c as (select * from w where length(w) > 2 and w not in ({", ".join(repr(w) for w in tx.STOP_WORDS)}))
+select r.row_id, round(coalesce(count(c.w) filter (not list_contains(c.terms, c.w)) / nullif(count(c.w), 0), 0), 6) as score from r left join c using (row_id) group by 1""",
+)
+def term_score(spark, d):
+    r = table(spark, d, "labeling_row").where("narrative is not null")
+    return r.select("row_id", F.round(tx.term_score(F.col("narrative"), F.split(F.lower(F.concat_ws(" ", "source_name", "target_name")), " ")), 6).alias("score"))
