@@ -304,12 +304,16 @@ def weighted_claims(c: Column) -> Column:
 STOP_WORDS = "the and for are was were with that this these those from into its their has have been but not you all can both also who his her they them our".split()
 
 
+def _holds(stem: str):
+    return lambda t: t.contains(stem) | F.lit(stem).contains(t)
+
+
 def term_score(text: Column, terms: Column, expansions: dict[str, list[str]] | None = None, allowed: list[str] | None = None) -> Column:
     """EXP-07: share of the text's content words (longer than two letters, no stop words) that are not among the terms; a term
     that holds a stem of ``expansions``, or stands in it, brings that stem's words along, and ``allowed`` words always count."""
-    known = F.transform(terms, F.lower)
+    known = F.transform(terms, lambda t: F.lower(t))
     for s, more in (expansions or {}).items():
-        near = F.exists(known, lambda t, s=s: t.contains(s) | F.lit(s).contains(t))
+        near = F.exists(known, _holds(s))
         known = F.concat(known, F.when(near, F.array(*[F.lit(m) for m in more])).otherwise(F.array().cast("array<string>")))
     known = F.concat(known, F.array(*[F.lit(a) for a in allowed]) if allowed else F.array().cast("array<string>"))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])

@@ -221,19 +221,20 @@ def name_variants(spark, d):
 
 @query("text_coverage")
 def text_coverage(spark, d):
-    """EXP-08: artists whose name variant stands in a release title; variants claimed by more than 5 artists are dropped. The
-    variants meet the titles by their word sequences, an equi-join, not by containment of all in all."""
+    """EXP-08: documents in which a name variant of an artist stands; variants claimed by more than 5 artists are dropped. The
+    variants (of up to 4 words) meet the texts by their word sequences, an equi-join, not by containment of all in all."""
     v = name_variants(spark, d)
     few = v.groupBy("variant").agg(F.countDistinct("id").alias("c")).where("c <= 5").select("variant")
-    v = v.join(few, "variant")
-    size = F.size(F.split("variant", " "))
-    t = table(spark, d, "flowsheet_entry").where("release_title is not null").select(tx.match_form(F.col("release_title")).alias("title")).distinct()
-    w = t.select("title", F.split("title", " ").alias("w")).where("size(w) between 1 and 40")
-    grams = [w.where(f"size(w) >= {n}").select("title", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).alias("variant")) for n in (1, 2, 3, 4)]
-    g = grams[0]
-    for x in grams[1:]:
-        g = g.unionByName(x)
-    return v.where(size <= 4).join(g, "variant").groupBy("id").agg(F.countDistinct("title").alias("titles"))
+    v = v.join(few, "variant").where(F.size(F.split("variant", " ")) <= 4)
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", tx.match_form(F.col("text")).alias("folded"))
+    w = t.select("doc_id", F.filter(F.split(F.regexp_replace("folded", r"(?U)[^\w&/\s'-]", " "), r"\s+"), lambda x: x != "").alias("w"))
+    gram = lambda n: lambda i: F.array_join(F.slice("w", i, n), " ")
+    g = None
+    for n in (1, 2, 3, 4):
+        # the sequences of one text are made distinct before they meet the variants
+        part = w.where(f"size(w) >= {n}").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), gram(n)))).alias("variant"))
+        g = part if g is None else g.unionByName(part)
+    return v.join(g, "variant").groupBy("id").agg(F.countDistinct("doc_id").alias("documents"))
 
 
 @query("real_names", "select count(*) as total, coalesce(sum((coalesce(lower(trim(label_name, ' ')) not in ('unknown', 'various', 'various artists', 'n/a', 'none', 'untitled', ''), false))::int), 0)::bigint as named from flowsheet_entry")
