@@ -25,6 +25,8 @@ _PLAIN = str.maketrans(PLAIN_LETTERS)
 
 def fold(text: str) -> str:
     """Case, accents and width folded; marks stay."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", text).casefold().translate(_PLAIN)
     return "".join(c for c in t if unicodedata.category(c) not in ("Mn", "Cf"))
 
