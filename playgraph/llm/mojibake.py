@@ -29,12 +29,12 @@ BEAM, SWAP_BEAM = 18.0, 10.0
 
 #: A word seen this often counts half by its count, half by its characters.
 RARE = 3.0
+USUAL = 64
 #: Nats off a reading that holds what no clean text does: U+FFFD or control characters of the high range.
 NEVER = re.compile("[\x80-\x9f\ufffd]")
 NEVER_COST = 40.0
 
-_HIGH = re.compile(r"[^\x00-\x7f]+")
-_HIGH_BLANK = re.compile(r"[^\x00-\x7f]+(?: (?= |\Z))?")
+_TWO_HIGH = re.compile(r"[^\x00-\x7f]{2}")
 _EDGE = re.compile(r"\A(\W*)(.*?)(\W*)\Z", re.S)
 _TRIM = "\"'()[]{},.;:!*/-_+&"
 
@@ -52,41 +52,46 @@ def _table(codec: str) -> dict[str, int]:
     return out
 
 
+class _Bytes(dict):
+    """For str.translate: each character as the character of its byte; high ones that are no byte as a noncharacter."""
+
+    def __missing__(self, code: int) -> int:
+        return 0xFFFE if code > 127 else code
+
+
+@functools.lru_cache(maxsize=None)
+def _as_bytes(codec: str) -> tuple[_Bytes, _Bytes]:
+    """(characters to bytes, the same with letters in upper case: lead bytes lower-cased after the misreading)."""
+    table = _table(codec)
+    raised = {ord(c): table.get(c.upper(), b) if len(c.upper()) == 1 else b for c, b in table.items()}
+    return _Bytes({ord(c): b for c, b in table.items()}), _Bytes(raised)
+
+
+_UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+_UTF8_BLANK = re.compile("[\xc2-\xdf](?:[\x80-\xbf]| (?= |\\Z))|[\xe1-\xec\xee\xef][\x80-\xbf](?:[\x80-\xbf]| (?= |\\Z))")
+
+
 def _undo_utf8(text: str, codec: str, blank: bool = False) -> str | None:
-    """UTF-8 bytes read as ``codec``, read rightly; run by run of high characters, so that a partly garbled text is mended
-    where it can be; with ``blank`` a blank before another, or last,
-    may stand for a non-breaking one. None when nothing can be."""
-    table, hit = _table(codec), False
-
-    def run(m: re.Match) -> str:
-        nonlocal hit
-        s = m[0]
-        out, i = [], 0
-        while i < len(s):
-            done = False
-            for size in (4, 3, 2):
-                part = s[i : i + size]
-                if len(part) < size:
-                    continue
-                for lead in (part[0], part[0].upper()):  # lead bytes lower-cased after the misreading
-                    b = [0xA0 if blank and c == " " and k else table.get(lead if k == 0 else c) for k, c in enumerate(part)]
-                    if len(lead) != 1 or None in b:
-                        continue
-                    try:
-                        out.append(bytes(b).decode("utf-8"))
-                    except UnicodeDecodeError:
-                        continue
-                    i, done, hit = i + size, True, True
-                    break
-                if done:
-                    break
-            if not done:
-                out.append(s[i])
-                i += 1
-        return "".join(out)
-
-    fixed = (_HIGH_BLANK if blank else _HIGH).sub(run, text)
-    return fixed if hit and fixed != text else None
+    """UTF-8 bytes read as ``codec``, read rightly; sequence by sequence, so that a partly garbled text is mended where it can
+    be; with ``blank`` a blank before another, or last, may stand for a non-breaking one. None when nothing can be."""
+    plain, raised = _as_bytes(codec)
+    read = text.translate(plain)
+    found = list((_UTF8_BLANK if blank else _UTF8).finditer(read))
+    if not found and not blank and text == text.lower():
+        up = text.translate(raised)
+        # a lead byte in upper case before bytes as they are
+        read = "".join(u if "\xc2" <= u <= "\xdf" and not "\x80" <= r <= "\xbf" else r for u, r in zip(up, read))
+        found = list(_UTF8.finditer(read))
+    if not found:
+        return None
+    out, at = [], 0
+    for m in found:
+        out.append(text[at : m.start()])
+        out.append(m[0].replace(" ", "\xa0").encode("latin_1").decode("utf-8"))
+        at = m.end()
+    out.append(text[at:])
+    fixed = "".join(out)
+    return fixed if fixed != text else None
 
 
 def _undo_multi(text: str, read: str, written: str) -> str | None:
@@ -104,21 +109,24 @@ def _undo_multi(text: str, read: str, written: str) -> str | None:
     return fixed if fixed != text and all(unicodedata.category(c)[0] in "LMN" for c in fixed if c > "\x7f") else None
 
 
-def _undo_swap(text: str, read: str, written: str) -> str | None:
-    """Bytes of one single-byte encoding read as another, read rightly; None when a high character is in no such byte."""
-    table, out = _table(read), []
-    for c in text:
-        if c < "\x80":
-            out.append(c)
-            continue
-        b = table.get(c)
-        if b is None:
-            return None
+@functools.lru_cache(maxsize=None)
+def _swap(read: str, written: str) -> tuple[frozenset[str], dict[int, str]]:
+    """(high characters whose byte is one in both encodings, what each was)."""
+    out = {}
+    for c, b in _table(read).items():
         try:
-            out.append(bytes([b]).decode(written))
+            out[c] = bytes([b]).decode(written)
         except UnicodeDecodeError:
-            return None
-    fixed = "".join(out)
+            continue
+    return frozenset(out), str.maketrans(out)
+
+
+def _undo_swap(text: str, high: frozenset[str], read: str, written: str) -> str | None:
+    """Bytes of one single-byte encoding read as another, read rightly; None when a high character is in no such byte."""
+    known, change = _swap(read, written)
+    if not high <= known:
+        return None
+    fixed = text.translate(change)
     return fixed if fixed != text else None
 
 
@@ -127,7 +135,8 @@ def _undone_token(token: str) -> tuple[dict[str, str], dict[str, str]]:
     """(chains that some high characters of a blank-free token allow to be undone, chains that need all of them)."""
     found: dict[str, str] = {}
     seen = {token}
-    level = [("", token)]
+    # a character of UTF-8 was two bytes at least
+    level = [("", token)] if _TWO_HIGH.search(token) else []
     for _ in range(DEPTH):
         nxt = []
         for name, t in level:
@@ -139,13 +148,14 @@ def _undone_token(token: str) -> tuple[dict[str, str], dict[str, str]]:
                     nxt.append((f"{name}utf8>{codec};", fixed))
         level = nxt
     whole: dict[str, str] = {}
+    high = frozenset(c for c in token if c > "\x7f")
     for read in READ_AS:
         if read == "latin_1":
             continue
         for written in WRITTEN_AS:
-            if written != read and (fixed := _undo_swap(token, read, written)) is not None:
+            if written != read and (fixed := _undo_swap(token, high, read, written)) is not None:
                 whole[f"{written}>{read};"] = fixed
-    for read in ("latin_1", "cp1252"):
+    for read in ("latin_1", "cp1252") if _TWO_HIGH.search(token) or "\x80" <= max(token) <= "\x9f" else ():
         for written in MULTI_BYTE:
             if (fixed := _undo_multi(token, read, written)) is not None:
                 whole[f"{written}>{read};"] = fixed
@@ -249,6 +259,7 @@ class CharModel:
             k = char_class(c)
             self.in_class[k] = self.in_class.get(k, 0) + n
         self.memo: dict[tuple[str, str], float] = {}
+        self.tokens: dict[str, float] = {}
         self.words: dict[tuple[bool, str, str, str], tuple[float, float]] = {}
 
     def cost(self, before: str, c: str) -> float:
@@ -278,6 +289,18 @@ class CharModel:
                 self.words = {key: got}
         return got
 
+    def text(self, text: str) -> float:
+        """By characters alone, token by token."""
+        s = 0.0
+        for t in text.split(" "):
+            got = self.tokens.get(t)
+            if got is None:
+                got = self.tokens[t] = self.score(t + " ")
+                if len(self.tokens) > 200_000:
+                    self.tokens = {}
+            s += got
+        return s
+
     def score(self, text: str, before: str = "_") -> float:
         s = 0.0
         for c in text:
@@ -431,12 +454,12 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     found = broken.join(whole, ["kind", "left"]).groupBy("vid").agg(F.collect_list(F.struct("kind", "left", "word")).alias("losses"))  # words of one value
 
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """``frames``: text, p."""
+        """``frames``: text, p. A long value counts as much as one of USUAL characters, or it would set the model by itself."""
         pairs: dict[tuple[str, str], float] = {}
         chars: dict[str, float] = {}
         for f in frames:
             for t, p in zip(f["text"], f["p"]):
-                before = "_"
+                before, p = "_", p * min(1.0, USUAL / len(t)) if t else p
                 for c in t + " ":
                     k = char_class(c)
                     pairs[before, k] = pairs.get((before, k), 0) + p
@@ -471,7 +494,7 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
                 r = readings(x, losses)
                 strong = [(c.startswith("utf8>") or "replacement" in c) and not mixed_words(t) for c, t, _ in r]
                 if len(r) > 1:
-                    score = [m.score(t + " ") - NEVER_COST * bool(NEVER.search(t)) - MIXED_COST * mixed_words(t) for _, t, _ in r]
+                    score = [m.text(t) - NEVER_COST * bool(NEVER.search(t)) - MIXED_COST * mixed_words(t) for _, t, _ in r]
                     keep = [i for i, (c, _, _) in enumerate(r) if c == CLEAN or strong[i] or score[i] > max(score) - (BEAM if c.startswith(("utf8", "lost")) else SWAP_BEAM)]
                     r, strong = [r[i] for i in keep], [strong[i] for i in keep]
                 n, k = len(r), sum(strong)
@@ -483,7 +506,8 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
                 rows.append((v, bool(k), [{"chain": c, "text": t, "ok": ok} for c, t, ok in r], p, hashes))
             yield pd.DataFrame(rows, columns=["vid", "strong", "r", "p", "hashes"])
 
-    cand = cut(odd_values.join(found, "vid", "left").mapInPandas(first, "vid long, strong boolean, r array<struct<chain string, text string, ok boolean>>, p array<double>, hashes array<long>"))
+    parts = spark.sparkContext.defaultParallelism * 2
+    cand = cut(odd_values.join(found, "vid", "left").repartition(parts, "vid").mapInPandas(first, "vid long, strong boolean, r array<struct<chain string, text string, ok boolean>>, p array<double>, hashes array<long>"))
 
     # a value with one reading is clean: its words and characters count like plain ones, and it needs no more rounds
     settled = cand.where("size(r) = 1")
