@@ -424,8 +424,10 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     odd_values = cut(counted.where(odd).select("value").distinct().withColumn("vid", F.monotonically_increasing_id()))
     if odd_values.isEmpty():
         return spark.createDataFrame([], "entry_id long, field_name string, value string, chain string, repaired string, readable boolean, posterior double")
-    seen = cut(stacked.where(odd).groupBy("source", "field_name", "value").agg(F.count("*").alias("n")).join(odd_values, "value").select("source", "field_name", "vid", "n"))
-    plain_n = cut(stacked.where(~odd).groupBy("source", "field_name").agg(F.count("*").cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s"))
+    seen = cut(stacked.where(odd).select("source", "field_name", "value").distinct().join(odd_values, "value").select("source", "field_name", "vid"))
+    # chances are shares of distinct values (of plain ones an estimate within 2 % is enough): else one frequent value could raise
+    # the chance of a chain by itself
+    plain_n = cut(stacked.where(~odd).groupBy("source", "field_name").agg(F.approx_count_distinct("value", 0.02).cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s"))
 
     # words as each loss would leave them; matched with the words of suspicious values
     def lost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -437,7 +439,8 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
                 for t in v.split(" "):
                     t = t.strip(_TRIM)
                     if t and not t.isascii() and "?" not in t:
-                        rows += [(k, lossy_form(t, k), t) for k in LOSSY]
+                        # a question mark after a word may stand for a lost letter, but not for other lost marks
+                        rows += [(k, f, t) for k in LOSSY if not ((f := lossy_form(t, k)).endswith("?") and not t[-1].isalpha())]
             yield pd.DataFrame(rows, columns=["kind", "left", "word"])
 
     def marred(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -523,7 +526,7 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
 
     plain_words = cut(plain_words.unionByName(settled.mapInPandas(support, "word long, w double")).groupBy("word").agg(F.sum("w").alias("w")))
     plain_chars = model_of_rows([plain_chars, tallied(settled.select(F.col("r")[0]["text"].alias("text"), F.lit(1.0).alias("p")))])
-    plain_n = cut(plain_n.unionByName(seen.join(settled.select("vid"), "vid", "left_semi").groupBy("source", "field_name").agg(F.sum("n").cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s")))
+    plain_n = cut(plain_n.unionByName(seen.join(settled.select("vid"), "vid", "left_semi").groupBy("source", "field_name").agg(F.count("*").cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s")))
     cand = open_
     post = None
     for step in range(rounds):
@@ -548,7 +551,7 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
         before = cand.select("vid", F.explode(F.arrays_zip(F.col("r.chain").alias("chain"), F.col("p").alias("p"))).alias("x")).select("vid", "x.*").toDF("vid", "chain", "p")
         # the chances of chains per source and field, smoothed towards those over all
         joint = cut(seen.join(like.join(before, ["vid", "chain"]), "vid"))
-        prior = joint.groupBy("source", "field_name", "chain").agg(F.sum(F.col("p") * F.col("n")).alias("s")).unionByName(plain_n).groupBy("source", "field_name", "chain").agg(F.sum("s").alias("s"))
+        prior = joint.groupBy("source", "field_name", "chain").agg(F.sum("p").alias("s")).unionByName(plain_n).groupBy("source", "field_name", "chain").agg(F.sum("s").alias("s"))
         prior = prior.withColumn("a", F.sum("s").over(Window.partitionBy("chain"))).withColumn("t", F.sum("s").over(Window.partitionBy("source", "field_name")))
         prior = cut(prior)
         total = float(prior.agg(F.sum("s").alias("x")).first()["x"] or 1.0)
