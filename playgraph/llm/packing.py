@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playgraph.session import cut as checkpointed
+
 #: Pieces of one shard; each shard is packed by one task, and shards are even since a piece's shard is a hash of its id.
 SHARD_PIECES = 20_000
 
@@ -65,7 +67,8 @@ def pack(docs: DataFrame, id_col: str, size_col: str, capacities: DataFrame, nam
     if not caps:
         return spark.createDataFrame([], schema)
     kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("container"), F.lit(k).alias("capacity")) for c, k in sorted(caps)])).alias("c")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("n"))
+    # written once: sizes are dear to find, and every kind of piece reads them
+    base = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("n")))
     each = base.select("doc_id", "n", kinds).select("doc_id", "n", "c.container", "c.capacity")
     cut = each.where("n > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / F.col("capacity")).cast("int"))))
     start = (F.col("piece").cast("long") * F.col("capacity")).alias("start")
