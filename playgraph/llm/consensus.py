@@ -52,9 +52,8 @@ def consensus(labels: DataFrame, classes: list[str], max_iter: int = 20, tol: fl
     edges = labels.where(F.col("value").isin(classes)).select("item", "labeler", "value")
     edges = edges.select("*", F.explode(one).alias("c")).select("item", "labeler", "c.k", (F.col("value") == F.col("c.class")).cast("double").alias("x"))
     # start: the leave-one-out vote share
-    item_w = Window.partitionBy("item", "k")
-    n, s = F.count("*").over(item_w), F.sum("x").over(item_w)
-    state = cut(edges.withColumn("b", (s - F.col("x") + 1 / len(classes)) / n))
+    votes = edges.groupBy("item", "k").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
+    state = cut(edges.join(votes, ["item", "k"]).select("item", "labeler", "k", "x", ((F.col("s") - F.col("x") + 1 / len(classes)) / F.col("n")).alias("b")))
     for _ in range(max_iter):
         sums = state.groupBy("labeler", "k").agg(
             F.sum("b").alias("pos"), F.sum(F.col("b") * F.col("x")).alias("pos_x"), F.sum(1 - F.col("b")).alias("neg"), F.sum((1 - F.col("b")) * F.col("x")).alias("neg_x")
@@ -72,9 +71,9 @@ def consensus(labels: DataFrame, classes: list[str], max_iter: int = 20, tol: fl
         miss = clip((F.col("neg_x") - (1 - b) * x + smooth * F.col("false0")) / (F.col("neg") - (1 - b) + smooth))
         up = F.when(x > 0, F.log(hit / miss)).otherwise(F.log((1 - hit) / (1 - miss)))
         share = clip(F.col("share"))
-        nxt = state.join(sums, ["labeler", "k"]).withColumn("m", up).withColumn("logit", F.log(share / (1 - share)))
-        total = F.sum("m").over(item_w) + F.col("logit")
-        nxt = nxt.withColumn("all", total).select("item", "labeler", "k", "x", b.alias("was"), (1 / (1 + F.exp(-(F.col("all") - F.col("m"))))).alias("b"), "all")
+        sent = state.join(sums, ["labeler", "k"]).select("item", "labeler", "k", "x", "b", up.alias("m"), F.log(share / (1 - share)).alias("logit"))
+        total = sent.groupBy("item", "k").agg(F.sum("m").alias("all"), F.max("logit").alias("logit")).select("item", "k", (F.col("all") + F.col("logit")).alias("all"))
+        nxt = sent.drop("logit").join(total, ["item", "k"]).select("item", "labeler", "k", "x", b.alias("was"), (1 / (1 + F.exp(-(F.col("all") - F.col("m"))))).alias("b"), "all")
         # cut every round: the plan stays that of one round, so its compiled code is used again
         state = cut(nxt)
         moved = state.agg(F.max(F.abs(F.col("b") - F.col("was"))).alias("m")).first()["m"]
