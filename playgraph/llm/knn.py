@@ -108,7 +108,7 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
     to 9 decimals, equal similarities by smaller id. Exact: the accuracy loss is none.
 
     Layout: equal vectors are searched once (a copy group may be any share of all rows; it is cut to its k + 1 smallest ids
-    by a ranked window before it meets the others). Distinct vectors are grouped into clusters fitted on a bounded sample,
+    by a ranked window, which Spark limits before the shuffle, before it meets the others). Distinct vectors are grouped into clusters fitted on a bounded sample,
     clusters into tiles. Pass 1 joins each vector with the tiles of its PROBES nearest clusters, which bounds the distance of
     its k-th neighbour; pass 2 joins it with every other cluster that neither the triangle inequality (its ring of distances) nor
     the bisector between centroids excludes under that bound, so no neighbour is lost. Tiles yield k rows a query, merged by rank.
@@ -123,10 +123,14 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
         .where(F.col("id").isNotNull() & v.isNotNull() & (F.size("v") == dim))
         .where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     )
-    # one representative (the smallest id) of equal vectors, with its copies' k + 1 smallest ids
-    copies = cut(rows.withColumn("rep", F.min("id").over(Window.partitionBy("v"))).select("id", "rep", F.when(F.col("id") == F.col("rep"), v).alias("v")))
+    # one representative (the smallest id) of equal vectors, told by 128 bits of hash; a partial aggregate, so a copy group of any
+    # size is never gathered. -0.0 counts as 0.0
+    plain = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    keyed = rows.select("id", plain.alias("v")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.reverse("v"), F.lit(1)))
+    found = cut(keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "v")).alias("m")).select("h1", "h2", F.col("m.id").alias("id"), "m.v"))
+    copies = cut(keyed.select("id", "h1", "h2").join(found.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep"))
     first = cut(copies.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(f"r <= {k + 1}").select("rep", "id"))
-    reps = copies.where("v is not null").select("id", "v")
+    reps = found.select("id", "v")
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], "vector_id long, neighbor_id long, similarity double, rank int")
@@ -196,7 +200,7 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
     two = join(cut(left.mapInPandas(more, "id long, v array<double>, cluster int")))
     top = best(one.unionByName(two))
     # representatives back to ids: a neighbour group gives its smallest ids, an own group its other copies at similarity 1
-    many = copies.select("id", "rep")
+    many = copies
     wide = top.select(F.col("id").alias("rep_q"), F.col("other").alias("rep"), "sim").join(first, "rep").select("rep_q", F.col("id").alias("other"), "sim")
     wide = wide.unionByName(first.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep").join(first, "rep").select(F.col("rep").alias("rep_q"), F.col("id").alias("other"), F.lit(1.0).alias("sim")))
     short = wide.withColumn("r", F.row_number().over(Window.partitionBy("rep_q").orderBy(F.desc("sim"), "other"))).where(f"r <= {k + 1}")
