@@ -11,7 +11,7 @@ class PipelineConfig:
     top_k: int = 50
     fuzzy: bool = True
     relaxed_min_plays: int = 10
-    max_shared_df: int = 50
+    max_shared_df: int | None = None
     min_jaccard: float = 0.1
     acoustic_threshold: float = 0.98
     pagerank_rounds: int = 20

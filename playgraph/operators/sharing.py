@@ -1,39 +1,126 @@
-"""Edges between nodes that share attributes: an inverted index by key self-join, hub keys cut before the join."""
+"""Edges between nodes that share attributes: an inverted index by key self-join, hub keys salted; counts by pairs of blocks of nodes."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playgraph.session import cut
+
+#: Nodes of one salt of a hub key: no group of the key join has more than about SALT_ROWS squared rows.
+SALT_ROWS = 2000
+#: Nodes of one block of ``block_pairs``.
+BLOCK = 2048
+
 
 def _facts(facts: DataFrame, node: str, key: str, max_df: int | None) -> tuple[DataFrame, DataFrame]:
-    """(all distinct facts whose key isn't too frequent, those of keys that at least two nodes have)."""
+    """(all distinct facts whose key isn't too frequent, those of keys that at least two nodes have, with the key's ``df``)."""
     d = facts.select(F.col(node).alias("node"), F.col(key).alias("key")).where("node is not null and key is not null").distinct()
     df = d.groupBy("key").agg(F.count("*").alias("df"))
     kept = d if max_df is None else d.join(df.where(F.col("df") > max_df).select("key"), "key", "left_anti")
     shared = df.where((F.col("df") >= 2) & (F.col("df") <= max_df if max_df is not None else F.lit(True)))
-    return kept, d.join(shared.select("key"), "key", "left_semi")
+    return kept, d.join(shared, "key")
 
 
 def _pairs(shared: DataFrame) -> DataFrame:
-    """JN-07: (a, b, key), a < b. Keys have at most max_df nodes, so no group of the join is unbounded."""
-    return shared.select("key", F.col("node").alias("a")).join(shared.select("key", F.col("node").alias("b")), "key").where("a < b")
-
-
-def shared_keys(facts: DataFrame, node: str, key: str, max_df: int, min_shared: int = 1) -> DataFrame:
-    """AGG-07, AGG-09, AGG-10: a < b, shared (number of keys in common), keys (sorted). Keys of fewer than 2 or more than
-    ``max_df`` nodes are skipped; a key at the limit counts."""
+    """JN-07: (a, b, key), a < b. A key of many nodes is joined by pairs of salts, so no group of the join is unbounded."""
+    salts = F.ceil(F.col("df") / SALT_ROWS).cast("int")
+    own, other = F.pmod(F.xxhash64("node"), salts).cast("int"), F.explode(F.sequence(F.lit(0), salts - 1))
+    left = shared.select("key", F.col("node").alias("a"), own.alias("p"), other.alias("q"))
+    right = shared.select("key", F.col("node").alias("b"), own.alias("q"), other.alias("p"))
+    return left.join(right, ["key", "p", "q"]).where("a < b").select("key", "a", "b")
+
+
+def _meet(na: np.ndarray, ka: np.ndarray, wa: np.ndarray, nb: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nodes of two blocks, their numbers of keys, and as matrices the number and the summed weight of common keys. Keys that
+    many nodes of both blocks have are matrix products, the others are expanded pair by pair."""
+    xa, ia, sa = np.unique(na, return_inverse=True, return_counts=True)
+    xb, ib, sb = np.unique(nb, return_inverse=True, return_counts=True)
+    keys, inv = np.unique(np.concatenate([ka, kb]), return_inverse=True)
+    ja, jb = inv[: len(ka)], inv[len(ka) :]
+    ca, cb = np.bincount(ja, minlength=len(keys)), np.bincount(jb, minlength=len(keys))
+    n, m = len(xa), len(xb)
+    count, total = np.zeros(n * m), np.zeros(n * m)
+    dense = ca * cb >= max(64, n * m // 256)
+    heavy = np.flatnonzero(dense)
+    for at in range(0, len(heavy), 512):
+        part = heavy[at : at + 512]
+        place = np.full(len(keys), -1)
+        place[part] = np.arange(len(part))
+        fa, fb = place[ja] >= 0, place[jb] >= 0
+        one, weight, right = np.zeros((n, len(part))), np.zeros((n, len(part))), np.zeros((m, len(part)))
+        one[ia[fa], place[ja[fa]]] = 1
+        weight[ia[fa], place[ja[fa]]] = wa[fa]
+        right[ib[fb], place[jb[fb]]] = 1
+        count += (one @ right.T).ravel()
+        total += (weight @ right.T).ravel()
+    order = np.argsort(jb, kind="stable")
+    start = np.concatenate([[0], np.cumsum(cb)])[:-1]
+    light = np.flatnonzero(~dense[ja] & (cb[ja] > 0))
+    # at most about four million pairs at once
+    runs = np.cumsum(cb[ja[light]]) // 4_000_000
+    for r in np.unique(runs):
+        f = light[runs == r]
+        times = cb[ja[f]]
+        off = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        code = np.repeat(ia[f], times) * m + ib[order[np.repeat(start[ja[f]], times) + off]]
+        count += np.bincount(code, minlength=n * m)
+        total += np.bincount(code, np.repeat(wa[f], times), n * m)
+    return xa, sa, xb, sb, count.reshape(n, m), total.reshape(n, m)
+
+
+def block_pairs(facts: DataFrame, keep: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b, shared, total, na, nb), a < b: all pairs of nodes with a common key for which ``keep(shared, total, na, nb)``
+    holds; ``total`` sums the key's weight, na and nb are the nodes' numbers of keys. Input: distinct (node, key, weight).
+
+    Nodes are hashed to blocks and each pair of blocks is counted whole in one task: no key is too frequent, what is shuffled
+    is the facts and not their pairs, and pairs that don't hold never leave the task."""
+    facts = cut(facts.select("node", "key", F.col("weight").cast("double").alias("weight")))
+    blocks = max(1, -(-facts.select("node").distinct().count() // BLOCK))
+    packed = facts.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("block")
+    packed = packed.agg(F.collect_list("node").alias("n"), F.collect_list("key").alias("k"), F.collect_list("weight").alias("w"))
+    packed = cut(packed.repartition(min(blocks, 128), "block"))
+    left, right = (packed.select(*[F.col(c).alias(f"{c}{s}") for c in packed.columns]) for s in "ab")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                xa, sa, xb, sb, shared, total = _meet(r.na, r.ka, r.wa, r.nb, r.kb)
+                for at in range(0, len(xa), 256):
+                    c, t = shared[at : at + 256], total[at : at + 256]
+                    hit = (c > 0) & keep(c, t, sa[at : at + 256, None], sb[None, :])
+                    i, j = np.nonzero(hit)
+                    a, b, na, nb = xa[at + i], xb[j], sa[at + i], sb[j]
+                    if r.blocka == r.blockb:
+                        up = a < b
+                        i, j, a, b, na, nb = i[up], j[up], a[up], b[up], na[up], nb[up]
+                    turn = a > b
+                    yield pd.DataFrame({
+                        "a": np.where(turn, b, a), "b": np.where(turn, a, b), "shared": c[i, j].astype(np.int64), "total": t[i, j],
+                        "na": np.where(turn, nb, na), "nb": np.where(turn, na, nb),
+                    })
+
+    kind = facts.schema["node"].dataType.simpleString()
+    return left.join(right, F.col("blocka") <= F.col("blockb")).mapInPandas(count, f"a {kind}, b {kind}, shared long, total double, na long, nb long")
+
+
+def shared_keys(facts: DataFrame, node: str, key: str, max_df: int | None = None, min_shared: int = 1) -> DataFrame:
+    """AGG-07, AGG-09, AGG-10: a < b, shared (number of keys in common), keys (sorted). Keys of fewer than 2 or, if it is
+    given, more than ``max_df`` nodes are skipped; a key at the limit counts."""
     _, shared = _facts(facts, node, key, max_df)
     return _pairs(shared).groupBy("a", "b").agg(F.count("*").alias("shared"), F.array_sort(F.collect_set("key")).alias("keys")).where(F.col("shared") >= min_shared)
 
 
-def jaccard(facts: DataFrame, node: str, key: str, max_df: int, min_jaccard: float) -> DataFrame:
-    """AGG-08: jaccard = |common| / |union| over keys that aren't too frequent; those are left out of both."""
-    kept, shared = _facts(facts, node, key, max_df)
-    size = kept.groupBy("node").agg(F.count("*").alias("n"))
-    common = _pairs(shared).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = common.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return j.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= min_jaccard).select("a", "b", "shared", "jaccard")
+def jaccard(facts: DataFrame, node: str, key: str, max_df: int | None, min_jaccard: float) -> DataFrame:
+    """AGG-08: jaccard = |common| / |union| over keys that aren't more frequent than ``max_df``, if it is given; those are left
+    out of both."""
+    kept, _ = _facts(facts, node, key, max_df)
+    p = block_pairs(kept.withColumn("weight", F.lit(1.0)), lambda shared, _, na, nb: shared / (na + nb - shared) >= min_jaccard)
+    return p.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
 def coappearance(credits: DataFrame, release: str, artist: str, titles: DataFrame | None = None, max_df: int = 1000) -> DataFrame:

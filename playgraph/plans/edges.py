@@ -42,12 +42,12 @@ def _joined(df: DataFrame) -> DataFrame:
 
 @query("shared_personnel", _shared_sql("lineitem", "l_suppkey", "l_partkey", 25, 2))
 def shared_personnel(spark, d):
-    return _joined(sharing.shared_keys(supplier_parts(spark, d), "l_suppkey", "l_partkey", 25, 2))
+    return _joined(sharing.shared_keys(supplier_parts(spark, d), "l_suppkey", "l_partkey", None, 2))
 
 
 @query("label_family", _shared_sql("flowsheet_entry", "artist_name", "label_name", 30, 1))
 def label_family(spark, d):
-    return _joined(sharing.shared_keys(table(spark, d, "flowsheet_entry"), "artist_name", "label_name", 30))
+    return _joined(sharing.shared_keys(table(spark, d, "flowsheet_entry"), "artist_name", "label_name"))
 
 
 JACCARD_SQL = """f as (select distinct artist_id as node, dj_id as key from play where artist_id is not null and dj_id is not null),
@@ -60,7 +60,7 @@ j as (select a, b, shared, shared / (ca.n + cb.n - shared) as jaccard from ab jo
 
 
 def style_edges(spark, d) -> DataFrame:
-    return sharing.jaccard(artist_djs(spark, d), "artist_id", "dj_id", 120, 0.2)
+    return sharing.jaccard(artist_djs(spark, d), "artist_id", "dj_id", None, 0.2)
 
 
 @query("shared_style_jaccard", f"with {JACCARD_SQL} select a, b, shared, round(jaccard, 6) as jaccard from j")
@@ -156,7 +156,7 @@ def personnel_or_member_neighbors(spark, d):
 
 def relations(spark, d) -> DataFrame:
     """The long-form view of all relations but transitions."""
-    people = sharing.shared_keys(table(spark, d, "play"), "artist_id", "show_id", 30, 2)
+    people = sharing.shared_keys(table(spark, d, "play"), "artist_id", "show_id", None, 2)
     return graph.long_edges({
         "style": (style_edges(spark, d), "a", "b", F.col("jaccard"), False),
         "personnel": (people, "a", "b", F.col("shared"), False),

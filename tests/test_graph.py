@@ -24,6 +24,33 @@ def test_jaccard_leaves_frequent_keys_out_of_both(spark):
     assert rows(sharing.jaccard(f, "n", "k", 3, 0.1)) == [(1, 2, 1, 0.5)]
 
 
+def test_hub_keys_are_whole_and_salts_and_blocks_change_nothing(spark, monkeypatch):
+    r = random.Random(5)
+    facts = [(n, k) for n in range(70) for k in "abcdefgh" if r.random() < 0.4] + [(n, "hub") for n in range(70)]
+    f = spark.createDataFrame(facts, "n long, k string")
+    by = {n: {k for m, k in facts if m == n} for n in range(70)}
+    both = {(a, b): by[a] & by[b] for a, b in combinations(range(70), 2)}
+    monkeypatch.setattr(sharing, "SALT_ROWS", 9)
+    monkeypatch.setattr(sharing, "BLOCK", 16)
+    assert rows(sharing.shared_keys(f, "n", "k")) == sorted(((a, b, len(k), sorted(k)) for (a, b), k in both.items() if k), key=repr)
+    want = [(a, b, len(k), len(k) / len(by[a] | by[b])) for (a, b), k in both.items() if k and len(k) / len(by[a] | by[b]) >= 0.5]
+    assert rows(sharing.jaccard(f, "n", "k", None, 0.5)) == sorted(want, key=repr)
+
+
+def test_registered_queries_keep_keys_of_many_nodes(spark, tmp_path):
+    from playgraph.config import PipelineConfig
+    from playgraph.plans.registry import QUERIES
+
+    n = 130
+    spark.createDataFrame([(i, 1, s) for i in range(n) for s in (7, 8)], "artist_id long, dj_id long, show_id long").write.parquet(f"{tmp_path}/play.parquet")
+    spark.createDataFrame([(f"n{i}", "one label") for i in range(n)], "artist_name string, label_name string").write.parquet(f"{tmp_path}/flowsheet_entry.parquet")
+    spark.createDataFrame([(i, p) for i in range(n) for p in (1, 2)], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = n * (n - 1) // 2
+    assert {q: QUERIES[q](spark, str(tmp_path)).count() for q in ("shared_style_jaccard", "label_family", "shared_personnel")} == dict.fromkeys(("shared_style_jaccard", "label_family", "shared_personnel"), pairs)
+    assert rows(QUERIES["long_edges"](spark, str(tmp_path)), "type", "edges") == [("personnel", pairs), ("style", pairs)]
+    assert PipelineConfig().max_shared_df is None
+
+
 def test_prune_keeps_what_is_best_for_either_end(spark):
     e = edges(spark, [(1, 2, 1.0), (1, 3, 3.0), (1, 4, 2.0), (2, 4, 0.5)])
     assert rows(graph.prune_topk(e, "a", "b", F.col("w"), 1), "a", "b") == [(1, 2), (1, 3), (1, 4)]
