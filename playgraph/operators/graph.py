@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playgraph.operators.pmi import heat_blend
+from playgraph.operators.sharing import block_pairs
 from playgraph.session import cut
 
 
@@ -147,13 +148,13 @@ def adamic_adar(edges: DataFrame, a: str, b: str, pairs: DataFrame, gate: float
 
 def two_hop(edges: DataFrame, a: str, b: str, min_aa: float, max_degree: int | None = None) -> DataFrame:
     """GRF-18, JN-14: pairs without an edge that share neighbours with a summed unrounded 1 / ln(degree) of at least
-    ``min_aa``. ``max_degree`` leaves hubs out as middles: the paths through one hub are its degree squared."""
+    ``min_aa``. The paths through one hub are its degree squared, so pairs are counted by pairs of blocks; ``max_degree``, if
+    it is given, leaves hubs out as middles."""
     s = symmetrize(edges.where(F.col(a) != F.col(b)), a, b).distinct()
     deg = s.groupBy("node").agg(F.count("*").alias("degree")).where("degree >= 2")
     mid = deg if max_degree is None else deg.where(F.col("degree") <= max_degree)
-    m = s.join(mid, "node")
-    p = m.select("node", F.col("other").alias("x"), "degree").join(m.select("node", F.col("other").alias("y")), "node").where("x < y")
-    aa = p.groupBy("x", "y").agg(F.sum(1 / F.log("degree")).alias("aa"), F.count("*").alias("middles")).where(F.col("aa") >= min_aa)
+    m = s.join(mid, "node").select(F.col("other").alias("node"), F.col("node").alias("key"), (1 / F.log("degree")).alias("weight"))
+    aa = block_pairs(m, lambda shared, total, na, nb: total >= min_aa).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("total").alias("aa"), F.col("shared").alias("middles"))
     return aa.join(s.select(F.col("node").alias("x"), F.col("other").alias("y")), ["x", "y"], "left_anti")
 
 

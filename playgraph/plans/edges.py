@@ -261,7 +261,7 @@ p as (select a.other as x, b.other as y, sum(1 / ln(a.degree)) as aa, count(*) a
 select x, y, round(aa, 6) as aa, middles from p where not exists (select 1 from sy where node = x and other = y)""",
 )
 def two_hop_no_edge(spark, d):
-    return graph.two_hop(transitions(spark, d), "source_id", "target_id", 0.8, 60).withColumn("aa", F.round("aa", 6))
+    return graph.two_hop(transitions(spark, d), "source_id", "target_id", 0.8).withColumn("aa", F.round("aa", 6))
 
 
 @query("pmi_graph", f"with {TRANSITIONS_SQL} select least(source_id, target_id) as a, greatest(source_id, target_id) as b, arg_max(raw_count, source_id * 100000000 + target_id) as raw_count, arg_max(pmi, source_id * 100000000 + target_id) as pmi from t where raw_count >= 2 and pmi > 0 group by 1, 2")

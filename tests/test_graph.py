@@ -81,6 +81,21 @@ def test_adamic_adar_gate_and_two_hop(spark):
     assert (1, 2) in rows(graph.two_hop(e, "a", "b", 0.8), "x", "y")
 
 
+def test_two_hop_goes_through_hubs(spark, tmp_path, monkeypatch):
+    from math import log
+
+    from playgraph.plans.registry import QUERIES
+
+    monkeypatch.setattr(sharing, "BLOCK", 16)
+    # every pair of 65 nodes meets in four hubs of degree 65: together 0.96, nothing without them
+    links = [(h, n) for h in (901, 902, 903, 904) for n in range(65)] + [(0, 1)]
+    spark.createDataFrame([(a, b, 2, 1.0) for a, b in links], "source_id long, target_id long, raw_count long, pmi double").write.parquet(f"{tmp_path}/dj_transition.parquet")
+    got = rows(QUERIES["two_hop_no_edge"](spark, str(tmp_path)), "x", "y", "aa", "middles")
+    hubs = [(901, 902), (901, 903), (901, 904), (902, 903), (902, 904), (903, 904)]
+    want = [(x, y, round(4 / log(65), 6), 4) for x, y in combinations(range(65), 2) if (x, y) != (0, 1)] + [(x, y, round(63 / log(4) + 2 / log(5), 6), 65) for x, y in hubs]
+    assert got == sorted(want, key=repr)
+
+
 def test_pagerank_sums_to_one_and_ranks_the_sink_of_links(spark):
     e = edges(spark, [(1, 3, 1.0), (2, 3, 1.0), (3, 1, 1.0), (4, 3, 1.0)])
     pr = dict(rows(graph.pagerank(e, "a", "b", 30), "node", "pagerank"))
