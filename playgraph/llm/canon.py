@@ -229,6 +229,7 @@ class Matcher:
         self._search([(q, *f[:5], 1) for q in left(0.6) for f in forms[q] if f[0] == "full" and f[6] == 0 and f[5] >= 1 and nm.LOST not in f[1]], best)
         hard = left(1.3)
         asks = [(q, *f[:5], f[5]) for q in hard for f in forms[q]]
+        readings = {q: [forms[q]] for q in hard}
         for q in hard:
             if not typed[q].isascii():
                 for text in dict.fromkeys(invertible(typed[q]).values()):
@@ -236,14 +237,17 @@ class Matcher:
                         best.setdefault(q, {})[self.compilation[0]] = 0.3
                     if (i := self.lost.get(text.strip())) is not None:
                         best.setdefault(q, {})[i] = 0.4
-                    asks += [(q, *f[:5], f[5]) for f in self._forms(text, 0.3)]
+                    undone = self._forms(text, 0.3)
+                    readings[q].append(undone)
+                    asks += [(q, *f[:5], f[5]) for f in undone]
         self._search(asks, best)
         asks = []
-        for q in left(1e8):
-            for kind, joined, _, w, opened, _, k in forms[q]:
-                if k == 0 and len(joined) >= 5:
-                    asks.append((q, "cut", joined, 1.5, w, opened, self.radius("cut", len(joined) - 4)))
-                    break
+        for q in left(1.5):
+            for n, reading in enumerate(readings[q]):
+                for _, joined, _, w, opened, _, k in reading:
+                    if k == 0 and len(joined) >= 5:
+                        asks.append((q, "cut", joined, 1.5 + 0.3 * bool(n), w, opened, self.radius("cut", len(joined) - 4)))
+                        break
         self._search(asks, best)
         rows = []
         for q, by in best.items():

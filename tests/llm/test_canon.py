@@ -51,6 +51,15 @@ def test_sharded_list_gives_the_same(spark, monkeypatch):
     assert {k: got[k] for k in typed if k != "V/A"} == {k: want[k] for k in typed if k != "V/A"}
 
 
+def test_cut_names_garbled_or_near_another_entry(spark, monkeypatch):
+    ref = [*REF, (40, "Morbin Keldafrestin"), (41, "Morbin Keltafor")]
+    # the second is also within two edits of entry 41, which costs more than a cut
+    typed = {"Ферли Филм".encode().decode("latin_1"): 5, "Morbin Keldafr": 40}
+    assert mapped(spark, typed, ref) == typed
+    monkeypatch.setattr(canon, "SHARD_ROWS", 4)
+    assert mapped(spark, typed, ref) == typed
+
+
 def test_null_blank_repeated_long_and_empty(spark):
     long = "Talno Berjorhun " * 4000
     assert mapped(spark, [None, "", "  ", "Talno Berjorhun", "Talno Berjorhun", long]) == {"Talno Berjorhun": 6, long: -1}
