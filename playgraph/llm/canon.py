@@ -259,6 +259,19 @@ class Matcher:
         return pd.DataFrame(rows, columns=["name", "entry", "score", "tie"]).astype({"entry": "int64", "score": "float64", "tie": "int64"})
 
 
+def list_habits(ref: DataFrame, n: int, share: float = 0.006) -> nm.Habits:
+    """nm.Habits.of over all ``n`` names in column ``ref``, first and last words counted in the cluster."""
+
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            w = [x for x in (nm.words(s)[0] for s in f["ref"]) if len(x) > 2]
+            yield pd.DataFrame([("first", x[0]) for x in w] + [("last", x[-1]) for x in w], columns=["place", "word"])
+
+    often = ref.select("ref").mapInPandas(ends, "place string, word string").groupBy("place", "word").count().where(F.col("count") >= max(3, share * n))
+    common = often.collect()  # at most 2 / share rows
+    return nm.Habits({r["word"] for r in common if r["place"] == "first"}, {r["word"] for r in common if r["place"] == "last"})
+
+
 def map_to_list(typed: DataFrame, name_col: str, reference: DataFrame, ref_id: str, ref_name: str) -> DataFrame:
     """name, entry, score: one row per distinct non-blank value of ``name_col``; ``entry`` is the id of the reference entry
     meant, -1 if none is, and ``score`` its edit distance plus the costs of other differences.
@@ -280,9 +293,7 @@ def map_to_list(typed: DataFrame, name_col: str, reference: DataFrame, ref_id: s
     schema = "name string, entry long, score double, tie long"
     if n_ref == 0:
         return distinct.select("name", F.lit(-1).cast("long").alias("entry"), F.lit(None).cast("double").alias("score"))
-    # what the list shows of its names is learned from at most SHARD_ROWS entries
-    sample = [r["ref"] for r in ref.orderBy("entry").limit(SHARD_ROWS).collect()]
-    habits = nm.Habits.of(sample)
+    habits = list_habits(ref, n_ref)
     parts = spark.sparkContext.defaultParallelism
     if n_ref <= SHARD_ROWS:
         entries = sorted((r["entry"], r["ref"]) for r in ref.collect())

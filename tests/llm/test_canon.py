@@ -60,6 +60,13 @@ def test_cut_names_garbled_or_near_another_entry(spark, monkeypatch):
     assert mapped(spark, typed, ref) == typed
 
 
+def test_habits_are_learned_from_all_entries(spark, monkeypatch):
+    monkeypatch.setattr(canon, "SHARD_ROWS", 4)
+    ref = [(i, n) for i, n in enumerate(("Kolm Trenda", "Sarro Vink", "Hule Matsin", "Bri Oskanto"), 1)] + [(10 + i, f"Zurento {n}") for i, n in enumerate(("Peni Bojalde", "Suvar Hekkono", "Wimola Drext"))]
+    typed = {"Peni Bojalde": 10, "Suvar Hekkono": 11, "Wimola Drext": 12}
+    assert mapped(spark, typed, ref) == typed
+
+
 def test_null_blank_repeated_long_and_empty(spark):
     long = "Talno Berjorhun " * 4000
     assert mapped(spark, [None, "", "  ", "Talno Berjorhun", "Talno Berjorhun", long]) == {"Talno Berjorhun": 6, long: -1}
