@@ -15,7 +15,7 @@ class PipelineConfig:
     min_jaccard: float = 0.1
     acoustic_threshold: float = 0.98
     pagerank_rounds: int = 20
-    betweenness_sources: int = 64
+    betweenness_sources: int = 2000
     ratchet: float = 0.5
     min_artists: int = 1
 

@@ -237,20 +237,33 @@ def modularity(edges: DataFrame, a: str, b: str, weight: str, label: DataFrame)
     return t["i"] / t["m"] - d["s"] / (2 * t["m"]) ** 2 if t["m"] else 0.0
 
 
-def betweenness(edges: DataFrame, a: str, b: str, sources: int = 200, seed: int = 42, max_depth: int = 64) -> DataFrame:
-    """GRF-10: node, betweenness (undirected, unweighted, normalised) from ``sources`` seeded sources, all nodes if there are
-    no more. Brandes' method level by level for all sources at once, as joins: (source, node, depth, paths) going out, then
-    dependencies coming back. State is sources x reached nodes, spread over the cluster; no adjacency is broadcast."""
+def betweenness(edges: DataFrame, a: str, b: str, sources: int = 2000, seed: int = 42, batch: int = 500) -> DataFrame:
+    """GRF-10: node, betweenness (undirected, unweighted, normalised) from ``sources`` seeded sources, exact from all nodes if
+    there are no more. Brandes' method level by level for ``batch`` sources at once, as joins: (source, node, depth, paths) going
+    out until no node is new, then dependencies coming back. State is a batch of sources x reached nodes, spread over the
+    cluster; no adjacency is broadcast."""
     e = cut(symmetrize(canonical_pair(edges.select(a, b), a, b).distinct(), a, b))
     nodes = cut(e.select("node").distinct())
     n = nodes.count()
     if n < 3:
         return nodes.withColumn("betweenness", F.lit(0.0))
-    src = cut(nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sources).select(F.col("node").alias("s")))
     k = min(sources, n)
+    src = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k).select(F.col("node").alias("s"))
+    src = cut(src.withColumn("part", F.floor((F.row_number().over(Window.orderBy("s")) - 1) / batch)))
+    sums = None
+    for p in range(-(-k // batch)):
+        got = cut(_dependencies(e, src.where(f"part = {p}").select("s")).where("s <> node").groupBy("node").agg(F.sum("dep").alias("dep")))
+        sums = got if sums is None else sums.unionByName(got)
+    scale = 1.0 / ((n - 1) * (n - 2)) * (n / k)
+    sums = sums.groupBy("node").agg(F.sum("dep").alias("dep"))
+    return nodes.join(sums, "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(e: DataFrame, src: DataFrame) -> DataFrame:
+    """s, node, dep: the dependency of each source on each node it reaches; e has (node, other) both ways."""
     seen = level = cut(src.select("s", F.col("s").alias("node"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
     depth = 0
-    while depth < max_depth:
+    while True:
         step = level.join(e, "node").groupBy("s", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
         level = cut(step.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(depth + 1).alias("d"), "paths"))
         if level.isEmpty():
@@ -267,11 +280,7 @@ def betweenness(edges: DataFrame, a: str, b: str, sources: int = 200, seed: int
         above = seen.where(f"d = {d - 1}").select("s", "node", "paths")
         got = give.groupBy("s", "node").agg(F.sum("x").alias("x"))
         back = above.join(got, ["s", "node"], "left").select("s", "node", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("dep"))
-    if total is None:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    scale = 1.0 / ((n - 1) * (n - 2)) * (n / k)
-    sums = total.where("s <> node").groupBy("node").agg(F.sum("dep").alias("dep"))
-    return nodes.join(sums, "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * scale).alias("betweenness"))
+    return total if total is not None else back.select("s", "node", "dep")
 
 
 def community_metadata(members: DataFrame, styles: DataFrame, plays: DataFrame, genres: DataFrame, generic: list[str]) -> DataFrame:

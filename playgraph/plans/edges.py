@@ -299,7 +299,7 @@ def communities(spark, d):
 
 @query("betweenness")
 def betweenness(spark, d):
-    return graph.betweenness(transitions(spark, d).where("raw_count >= 2"), "source_id", "target_id", sources=32)
+    return graph.betweenness(transitions(spark, d).where("raw_count >= 2"), "source_id", "target_id")
 
 
 @query(

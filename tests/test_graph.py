@@ -140,6 +140,22 @@ def test_betweenness_is_exact_with_all_sources(spark):
     assert all(abs(got[v] - want[v]) < 1e-9 for v in nodes)
 
 
+def test_registered_betweenness_takes_all_sources_and_long_paths(spark, tmp_path):
+    from playgraph.config import PipelineConfig
+    from playgraph.plans.registry import QUERIES
+
+    n = 68
+    spark.createDataFrame([(i, i + 1, 2, 1.0) for i in range(n - 1)], "source_id long, target_id long, raw_count long, pmi double").write.parquet(f"{tmp_path}/dj_transition.parquet")
+    got = dict(rows(QUERIES["betweenness"](spark, str(tmp_path)), "node", "betweenness"))
+    assert all(abs(got[i] - i * (n - 1 - i) * 2 / ((n - 1) * (n - 2))) < 1e-9 for i in range(n))
+    assert PipelineConfig().betweenness_sources == 2000
+
+
+def test_betweenness_in_batches_is_the_same(spark):
+    e = edges(spark, [(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0), (2, 5, 1.0), (5, 4, 1.0), (4, 6, 1.0)])
+    assert rows(graph.betweenness(e, "a", "b", batch=2)) == rows(graph.betweenness(e, "a", "b"))
+
+
 def test_communities_split_two_cliques_and_repeat(spark):
     c1, c2 = list(combinations(range(1, 6), 2)), list(combinations(range(11, 15), 2))
     e = edges(spark, [(a, b, 3.0) for a, b in c1 + c2] + [(1, 11, 1.0)])
