@@ -209,7 +209,7 @@ def markup_html(s: pd.Series) -> pd.Series:
 def is_refusal(c: Column, min_words: int = MIN_WORDS) -> Column:
     """STR-16: null, short, or holding a phrase of refusal."""
     t = F.lower(F.trim(c))
-    few = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) < min_words
+    few = F.size(F.filter(F.split(t, r"(?U)[\s\x{1c}-\x{1f}]+"), lambda w: w != "")) < min_words
     return F.coalesce(few | t.rlike("|".join(map(re.escape, REFUSALS))), F.lit(True))
 
 

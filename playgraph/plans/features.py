@@ -141,7 +141,7 @@ i as (select *, sum(case when pe is null or s > pe then 1 else 0 end) over (part
 select key, min(s) as start_ms, max(e) as end_ms, count(*) as n from i group by key, isl""",
 )
 def window_merge(spark, d):
-    e = table(spark, d, "flowsheet_entry").where("show_id is not null and sequence is not null and entry_type_code < 7 and sequence % 3 <> 0")
+    e = table(spark, d, "flowsheet_entry").where("show_id is not null and sequence is not null and entry_type_code < 7")
     w = intervals.search_windows(e.select(F.col("show_id").alias("key"), (F.col("sequence") * 180000).alias("o")), "key", "o", 100_000)
     return intervals.merge_windows(w, "key")
 

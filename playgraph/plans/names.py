@@ -57,12 +57,12 @@ r as (select *, row_number() over (partition by name order by score desc, key) a
 select name, canonical, round(score, 6) as score from r where k = 1 and (s2 is null or score - s2 >= 0.02 or c2 = canonical)""",
 )
 def fuzzy_resolve(spark, d):
-    """A search: the queries are the names of entries whose id is divisible by 20, against the whole
-    catalogue; only ASCII names, as the SQL engine compares bytes."""
+    """A search: the queries are the names of entries whose id is divisible by 20, against the whole catalogue. Letters are
+    compared; the SQL, whose engine compares bytes, states the ASCII names only."""
     idx = resolver.exact_index(codes(spark, d))
-    n = music(spark, d).where(r"id % 20 = 0 and not artist_name rlike '[^ -~]'").select(tx.key_form(F.col("artist_name")).alias("name")).where("name <> ''").distinct()
+    n = music(spark, d).where("id % 20 = 0").select(tx.key_form(F.col("artist_name")).alias("name")).where("name <> ''").distinct()
     n = n.join(idx.select(F.col("key").alias("name")), "name", "left_anti")
-    return resolver.fuzzy_match(n, idx.where(r"not key rlike '[^ -~]'")).withColumn("score", F.round("score", 6))
+    return resolver.fuzzy_match(n, idx).withColumn("score", F.round("score", 6))
 
 
 @query("unambiguous_map", "select presentation_name, min(id) as id from library_code where presentation_name is not null group by 1 having count(*) = 1")
@@ -117,14 +117,14 @@ def archive_match(spark, d):
 
 @query("jaro_winkler_pairs", "select a.id as a, b.id as b, round(jaro_winkler_similarity(lower(a.presentation_name), lower(b.presentation_name)), 6) as score from library_code a join library_code b on b.id = a.id + 3 where a.presentation_name not similar to '.*[^ -~].*' and b.presentation_name not similar to '.*[^ -~].*'")
 def jaro_winkler_pairs(spark, d):
-    c = codes(spark, d).where(r"not presentation_name rlike '[^ -~]'")
+    c = codes(spark, d).where("presentation_name is not null")
     a, b = c.select(F.col("id").alias("a"), F.lower("presentation_name").alias("x")), c.select(F.col("id").alias("b"), F.lower("presentation_name").alias("y"))
     return a.join(b, F.col("b") == F.col("a") + 3).select("a", "b", F.round(jaro_winkler_udf("x", "y"), 6).alias("score"))
 
 
 @query("compilation_names", "select distinct artist_name from flowsheet_entry where regexp_matches(artist_name, '(?i)^\\s*(various(\\s+artists?)?|v\\s*/\\s*a|v\\.\\s*a\\.?|va|soundtracks?|compilations?)\\b') and artist_name not similar to '.*[^ -~].*'")
 def compilation_names(spark, d):
-    return table(spark, d, "flowsheet_entry").where(tx.is_compilation(F.col("artist_name")) & ~F.col("artist_name").rlike("[^ -~]")).select("artist_name").distinct()
+    return table(spark, d, "flowsheet_entry").where(tx.is_compilation(F.col("artist_name"))).select("artist_name").distinct()
 
 
 @query("split_names", "select id, string_agg(trim(p, ' '), '|' order by k) as parts from (select id, unnest(string_split_regex(presentation_name, ', | / |/| \\+ ')) as p, generate_subscripts(string_split_regex(presentation_name, ', | / |/| \\+ '), 1) as k from (select id, artist_name as presentation_name from flowsheet_entry)) where trim(p, ' ') <> '' group by 1 having count(*) > 1")
@@ -204,7 +204,7 @@ def label_forms(spark, d):
 
 @query("refusals", "select doc_id, (text is null or len(list_filter(string_split_regex(trim(lower(text), ' '), '\\s+'), lambda w: w <> '')) < 30 or regexp_matches(trim(lower(text), ' '), 'i cannot|i can.t|i.m unable|i am unable|not enough information|insufficient information')) as refusal from documents where not regexp_matches(coalesce(text, ''), '[\\x{85}\\x{a0}\\x{2000}-\\x{200f}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{180e}]')")
 def refusals(spark, d):
-    t = table(spark, d, "documents").where(~F.coalesce("text", F.lit("")).rlike("[\\x{85}\\x{a0}\\x{2000}-\\x{200f}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{180e}]"))
+    t = table(spark, d, "documents")
     return t.select("doc_id", tx.is_refusal(F.col("text")).alias("refusal"))
 
 
@@ -222,15 +222,16 @@ def name_variants(spark, d):
 @query("text_coverage")
 def text_coverage(spark, d):
     """EXP-08: documents in which a name variant of an artist stands; variants claimed by more than 5 artists are dropped. The
-    variants (of up to 4 words) meet the texts by their word sequences, an equi-join, not by containment of all in all."""
+    variants meet the texts by their word sequences (of all lengths that variants have), an equi-join, not by containment of all in all."""
     v = name_variants(spark, d)
     few = v.groupBy("variant").agg(F.countDistinct("id").alias("c")).where("c <= 5").select("variant")
-    v = v.join(few, "variant").where(F.size(F.split("variant", " ")) <= 4)
+    v = v.join(few, "variant").withColumn("size", F.size(F.split("variant", " ")))
+    sizes = sorted(r["size"] for r in v.select("size").distinct().collect()) or [1]
     t = table(spark, d, "documents").where("text is not null").select("doc_id", tx.match_form(F.col("text")).alias("folded"))
     w = t.select("doc_id", F.filter(F.split(F.regexp_replace("folded", r"(?U)[^\w&/\s'-]", " "), r"\s+"), lambda x: x != "").alias("w"))
     gram = lambda n: lambda i: F.array_join(F.slice("w", i, n), " ")
     g = None
-    for n in (1, 2, 3, 4):
+    for n in sizes:
         # the sequences of one text are made distinct before they meet the variants
         part = w.where(f"size(w) >= {n}").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), gram(n)))).alias("variant"))
         g = part if g is None else g.unionByName(part)

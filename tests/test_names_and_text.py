@@ -132,3 +132,22 @@ def test_times(spark):
     df = spark.sql("select timestamp'2020-03-14 19:20:30.5' t, timestamp_millis(0) z, 1584213630500L ms")
     r = df.select(tx.hour_key(F.col("t")), tx.offset_in_hour(F.col("t")), tx.epoch_to_timestamp(F.col("ms"), "ms") == F.col("t")).first()
     assert tuple(r) == ("2020/03/14/202003141900.mp3", 1230.5, True)
+
+
+def test_registered_queries_take_all_names_and_rows(spark, tmp_path):
+    from playgraph.plans.registry import QUERIES
+
+    at = str(tmp_path)
+    e = [(20, "Bjork Gudmundsdottír", 1, 7, 1), (40, "Various Ärtists", 1, 7, 3), (60, "V/A – Été", 1, 7, 9)]
+    spark.createDataFrame(e, "id long, artist_name string, entry_type_code int, show_id long, sequence long").write.parquet(f"{at}/flowsheet_entry.parquet")
+    spark.createDataFrame([(1, "Björk Gudmundsdottír"), (4, "Zürcher Quartett")], "id long, presentation_name string").write.parquet(f"{at}/library_code.parquet")
+    spark.createDataFrame([(1, "\u00a0".join(["word"] * 40)), (2, "We heard one two three four five six tonight.")], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(9, "One Two Three Four Five Six")], "id long, canonical_name string").write.parquet(f"{at}/artist.parquet")
+    q = lambda n, *c: rows(QUERIES[n](spark, at), *c)
+    assert ("V/A – Été",) in q("compilation_names")
+    assert q("jaro_winkler_pairs", "a", "b") == [(1, 4)]
+    assert q("refusals") == [(1, False), (2, True)]
+    assert q("text_coverage") == [(9, 1)]
+    # sequences 1 and 3 lie 360,000 ms apart, 3 and 9 further: windows of 100,000 either way don't meet
+    assert len(q("window_merge")) == len({s for *_, s in e})
+    assert q("fuzzy_resolve", "name") == [("bjork gudmundsdottír",)]
