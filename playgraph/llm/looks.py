@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from playgraph.session import cut
 
+#: Candidate forms that are sent to every task as a set; more of them meet the corpus by a shuffled join.
+BROADCAST_FORMS = 200_000
+
 #: Letters that look alike in Latin, Cyrillic, Greek and Armenian type; the first of each group is Latin.
 LOOK_ALIKES = (
     "AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜ NΝ OОΟՕ PРΡ QԚ SЅՏ TТΤ UՍ VѴ WԜ XХΧ YҮΥ ZΖ "
@@ -115,8 +118,8 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     First the base form. Then, in tokens of mixed script (or of one script foreign to the text around them), look-alike
     letters are replaced by those of the dominant script, but only when the result stands in the corpus vocabulary: the
-    tokens of all base forms. Only the candidate forms are looked up in it, so the vocabulary is never gathered; tokens meet
-    the candidates by an equi-join that keeps only distinct hits.
+    tokens of all base forms. Only the candidate forms are looked up in it, so the vocabulary is never gathered: up to
+    BROADCAST_FORMS candidates (counted first) meet the tokens where these are, more of them by a shuffled equi-join.
 
     Defined cases: a null text has a null form; empty and blank texts have the form ''; repeated rows each have their form;
     texts of any length are handled whole; columns besides the two are ignored."""
@@ -136,7 +139,8 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if wanted.isEmpty():
         return based.select("id", "text", F.col("base").alias("form"))
     words = based.where("base is not null").select(F.explode(F.regexp_extract_all("base", F.lit(r"((?:\p{L}[̀-ͯ]*)+)"), F.lit(1))).alias("form"))
-    known = words.join(wanted.select("form").distinct(), "form", "left_semi").distinct()
+    forms = wanted.select("form").distinct()
+    known = words.join(F.broadcast(forms) if wanted.count() <= BROADCAST_FORMS else forms, "form", "left_semi").distinct()
     repairs = cut(wanted.join(known, "form").groupBy("token").agg(F.min_by("form", "k").alias("to")))
     # only texts with suspects meet the repairs, one row a suspect token; a text's own repairs are few
     per = based.where("size(sus) > 0").select("id", "base", F.explode(F.array_distinct(F.transform("sus", lambda s: s["token"]))).alias("token"))
@@ -156,8 +160,9 @@ def alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts look the same but aren't equal character for character.
 
     Classes of equal texts are paired, then expanded to their members, so exact copies are not compared with one another; the
-    keys are 128-bit hashes of form and text. Null texts pair with nothing; empty and blank texts look the same."""
-    form = consistent_form(df, id_col, text_col).where("form is not null and id is not null")
+    keys are 128-bit hashes of form and text. Null texts pair with nothing, nor do empty and blank ones: they show no text that
+    could look like another."""
+    form = consistent_form(df, id_col, text_col).where("form <> '' and id is not null")
     key = lambda c: F.concat_ws("-", F.xxhash64(c), F.xxhash64(F.concat(F.lit("#"), F.col(c))), F.length(c))
     d = cut(form.select("id", key("form").alias("form"), key("text").alias("txt")))
     classes = d.select("form", "txt").distinct()

@@ -35,7 +35,7 @@ def test_repair_needs_the_vocabulary_and_keeps_other_scripts(spark):
 
 def test_null_empty_blank_copies_and_long_texts(spark):
     long = "word " * 200_000 + "еnd"
-    assert pairs(spark, [None, "", " ", BASE, BASE, None]) == [(2, 3)]
+    assert pairs(spark, [None, "", " ", BASE, BASE, None, "\u00a0", "\u200b"]) == []
     assert pairs(spark, [long, long.replace("еnd", "end")]) == [(1, 2)]
     assert rows(looks.alike_pairs(spark.createDataFrame([], SCHEMA), "doc_id", "text")) == []
 
