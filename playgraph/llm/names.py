@@ -78,13 +78,17 @@ def expand(word: str, endings: set[str]) -> str:
 
 
 def core(text: str, habits: Habits) -> tuple[list[str], bool]:
-    """(words without openers, whether one was there). An opener after 'and' stays; a name of openers only stays whole."""
+    """(words without openers, whether one was there). An opener after 'and', mistyped or not, stays; a name of openers only
+    stays whole; a first word one slip off an opener is one where two other words follow."""
     w, _ = words(text)
     w = [SHORT[x] if 0 < i < len(w) - (SHORT.get(x) == "and") and x in SHORT else x for i, x in enumerate(w)]
+    for i in range(1, len(w) - 1):
+        if w[i + 1] in habits.openers and 1 < len(w[i]) < 5 and w[i] != "and" and typo_distance(w[i], "and") == 1:
+            w[i] = "and"
     out = [x for i, x in enumerate(w) if x not in habits.openers or (i and w[i - 1] == "and")]
     if not out:
         return w, False
-    if len(out) == len(w) > 2 and len(w[0]) > 3 and any(distance(w[0], o, 1) == 1 for o in habits.openers if len(o) > 2):
+    if len(out) == len(w) > 2 + (w[-1] in habits.endings) and len(w[0]) > 2 and any(typo_distance(w[0], o) == 1 for o in habits.openers if abs(len(o) - len(w[0])) < 2 < len(o)):
         out = out[1:]
     if len(out) > 2:
         out[-1] = expand(out[-1], habits.endings)
