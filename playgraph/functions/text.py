@@ -10,7 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Separators at which a joint name splits.
 NAME_SEPARATORS = r", | / |/| \+ "
@@ -19,16 +19,17 @@ COMPILATION_PATTERN = r"(?i)^\s*(various(\s+artists?)?|v\s*/\s*a|v\.\s*a\.?|va|s
 #: Suffixes in the order they are tried.
 SUFFIXES = ["ies", "ing", "ed", "es", "ce", "cy", "ly", "s", "y", "t", "e"]
 #: Words that need no grounding.
-ALLOWED_WORDS = (
-    "a an and are as at be been by for from has have in into is it its of on or that the their these this those to was were with "
-    "across alongside also appear appears both common djs frequently neighbor neighbors next occasionally often pair pairs place "
-    "places play plays share shared shares show shows tag together transition transitions uncommon library flowsheet flowsheets "
-    "between though while"
-).split()
+ALLOWED_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "that",
+    "the", "their", "these", "this", "those", "to", "was", "were", "with", "across", "alongside", "also", "appear", "appears", "both", "common",
+    "djs", "frequently", "neighbor", "neighbors", "next", "occasionally", "often", "pair", "pairs", "place", "places", "play", "plays", "share",
+    "shared", "shares", "show", "shows", "tag", "together", "transition", "transitions", "uncommon", "library", "flowsheet", "flowsheets", "between",
+    "though", "while",
+]
 #: Placeholders that stand for no name.
-PLACEHOLDERS = ["unknown", "various", "various artists", "n/a", "none", "untitled", ""]
+PLACEHOLDERS = ["unknown", "various", "various artists", "v/a", "v.a.", "n/a", "none", ""]
 #: Signs that a generated text declines to answer.
-REFUSALS = ["i cannot", "i can't", "i'm unable", "i am unable", "not enough information", "insufficient information"]
+REFUSALS = ["unable to", "cannot write", "i cannot", "input data lacks", "insufficient data", "not enough information", "no clear connection", "i'm sorry"]
 MIN_WORDS = 30
 
 
@@ -75,10 +76,18 @@ def split_names(c: Column) -> Column:
     return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
 
 
-def normalized_forms(base: Column) -> Column:
-    """STR-03: of an identity form: itself, its parts and the sides of ' aka ', each once."""
-    aka = F.filter(F.transform(F.split(base, " aka "), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_distinct(F.concat(F.array(base), split_names(base), F.when(F.size(aka) > 1, aka).otherwise(F.array().cast("array<string>"))))
+@F.pandas_udf(ArrayType(StringType()))
+def _identities(s: pd.Series) -> pd.Series:
+    return s.map(lambda parts: None if parts is None else [_identity(x) for x in parts])
+
+
+def normalized_forms(name: Column) -> Column:
+    """STR-03: the identity forms of a name, of its parts and of the sides of ' aka ', each normalised by itself, each once; a
+    form that comes out blank is none."""
+    none = F.array().cast("array<string>")
+    aka = F.when(F.lower(F.trim(name)).contains(" aka "), F.split(F.lower(F.trim(name)), " aka ")).otherwise(none)
+    forms = _identities(F.concat(F.array(name), split_names(name), aka))
+    return F.array_distinct(F.filter(forms, lambda x: F.coalesce(x != "", F.lit(False))))
 
 
 def is_compilation(c: Column) -> Column:
@@ -128,14 +137,18 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1))
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once a row, however often the lambdas in ``f`` use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def token_match_score(text: Column, source: Column, allowed: list[str] | None = None) -> Column:
     """STR-11: share of the text's content words whose stem is no stem of the source; 0 without content words."""
     skip = F.array(*[F.lit(w) for w in (allowed if allowed is not None else ALLOWED_WORDS)])
     content = F.filter(words(text), lambda w: ~F.array_contains(skip, w))
-    stems = F.transform(words(source), stem)
-    missing = F.filter(content, lambda w: ~F.array_contains(stems, stem(w)))
     n = F.size(content)
-    return F.when(n > 0, F.size(missing) / n).otherwise(0.0)
+    missing = _let(F.transform(words(source), stem), lambda stems: F.size(F.filter(content, lambda w: ~F.array_contains(stems, stem(w)))))
+    return F.when(n > 0, missing / n).otherwise(0.0)
 
 
 def restore_aliases(c: Column, names: dict[str, str]) -> Column:
@@ -207,8 +220,8 @@ def markup_html(s: pd.Series) -> pd.Series:
 
 
 def is_refusal(c: Column, min_words: int = MIN_WORDS) -> Column:
-    """STR-16: null, short, or holding a phrase of refusal."""
-    t = F.lower(F.trim(c))
+    """STR-16: null, of fewer than ``min_words`` words, or holding a phrase of refusal."""
+    t = F.lower(c)
     few = F.size(F.filter(F.split(t, r"(?U)[\s\x{1c}-\x{1f}]+"), lambda w: w != "")) < min_words
     return F.coalesce(few | t.rlike("|".join(map(re.escape, REFUSALS))), F.lit(True))
 
@@ -218,16 +231,21 @@ def label_form(c: Column) -> Column:
     return F.translate(F.lower(F.trim(c)), " -", "__")
 
 
+#: Separators of joint names and generation suffixes.
+VARIANT_SEPARATORS = [" / ", " & ", " and ", " + ", " with ", " vs. ", " vs "]
+GENERATIONS = [", jr.", ", iii", ", ii"]
+
+
 def name_variants(c: Column) -> Column:
     """STR-18: from a folded name: itself, without 'the ', its parts at seven separators (with and without 'the '), without
     generation suffixes; four letters at least."""
     n = F.trim(F.lower(c))
     bare = lambda x: F.regexp_replace(x, r"^the ", "")
     parts = F.array().cast("array<string>")
-    for sep in (" / ", " & ", " and ", " + ", " with ", " vs. ", " vs "):
+    for sep in VARIANT_SEPARATORS:
         piece = F.when(n.contains(sep), F.transform(F.split(n, re.escape(sep)), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
         parts = F.concat(parts, piece, F.transform(piece, bare))
-    cut = F.transform(F.array(F.lit(", jr."), F.lit(", iii"), F.lit(", ii")), lambda s: F.trim(F.replace(n, s, F.lit(""))))
+    cut = F.transform(F.array(*[F.lit(g) for g in GENERATIONS]), lambda s: F.trim(F.replace(n, s, F.lit(""))))
     every = F.array_distinct(F.concat(F.array(n, bare(n)), parts, cut))
     return F.when(F.length(n) >= 4, F.filter(every, lambda x: F.length(x) >= 4)).otherwise(F.array().cast("array<string>"))
 
@@ -263,9 +281,56 @@ def epoch_to_timestamp(c: Column, unit: str) -> Column:
     return F.when(c > 0, F.timestamp_millis(c) if unit == "ms" else F.timestamp_seconds(c))
 
 
-def fame_band(plays: Column, low: int = 10, high: int = 100) -> Column:
-    """CND-02."""
-    return F.when(plays < low, "low").when(plays < high, "mid").otherwise("high")
+def fame_band(plays: Column, low: tuple[int, int] = (100, 400), high: int = 800) -> Column:
+    """CND-02, FLT-07: HIGH above ``high`` plays, LOW within ``low`` (ends included), null in between and below."""
+    return F.when(plays > high, "HIGH").when(plays.between(*low), "LOW")
+
+
+def richness(styles: Column, has_audio: Column, least: int = 3) -> Column:
+    """CND-02: RICH with at least ``least`` styles and a sound profile, else THIN."""
+    return F.when((styles >= least) & has_audio, "RICH").otherwise("THIN")
+
+
+def regime(fame_a: Column, rich_a: Column, fame_b: Column, rich_b: Column) -> Column:
+    """CND-02: the cell 'fame-richness' two nodes share, null where they differ or one has no band."""
+    return F.when((fame_a == fame_b) & (rich_a == rich_b), F.concat_ws("-", fame_a, rich_a))
+
+
+def month_name(month: Column) -> Column:
+    """DAT-03: January to December for 1 to 12, '' for 0, null for anything else."""
+    return F.when(month == 0, "").when(month.between(1, 12), F.date_format(F.make_date(F.lit(2000), month, F.lit(1)), "MMMM"))
+
+
+def parse_array(c: Column) -> Column:
+    """JSN-01: a JSON array of strings where the text begins with '[', else null; broken JSON is null."""
+    return F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>"))
+
+
+def array_weight(c: Column) -> Column:
+    """JSN-02: the length of a JSON array as a weight, 0 where it is none."""
+    return F.coalesce(F.json_array_length(c), F.lit(0))
+
+
+def first_of(*sources: tuple[str, Column]) -> tuple[Column, Column]:
+    """CND-04: (value, name of its source) of the first source that has a non-blank value."""
+    kept = [(n, F.when(F.trim(c) != "", c)) for n, c in sources]
+    named = [F.when(c.isNotNull(), F.lit(n)) for n, c in kept]
+    return F.coalesce(*[c for _, c in kept]), F.coalesce(*named)
+
+
+def first_seen(c: Column) -> Column:
+    """SET-05: the distinct elements of an array in the order in which they first appear."""
+    return F.array_distinct(c)
+
+
+def no_compilation(name: Column) -> Column:
+    """FLT-08: names that are no collective or unknown ones, by NOT LIKE."""
+    return ~name.like("Various%") & ~name.like("V/A%") & ~name.like("%Soundtrack%") & (F.lower(name) != "unknown")
+
+
+def within(ts: Column, start, end) -> Column:
+    """FLT-10: a time in the half-open range [start, end); a null time is in none."""
+    return F.coalesce((ts >= F.lit(start)) & (ts < F.lit(end)), F.lit(False))
 
 
 def seconds_to_hour(now_epoch: int, hour: int) -> int:
@@ -301,22 +366,73 @@ def weighted_claims(c: Column) -> Column:
 
 
 #: Words too common to need grounding by terms.
-STOP_WORDS = "the and for are was were with that this these those from into its their has have been but not you all can both also who his her they them our".split()
-
-
-def _holds(stem: str):
-    return lambda t: t.contains(stem) | F.lit(stem).contains(t)
-
-
-def term_score(text: Column, terms: Column, expansions: dict[str, list[str]] | None = None, allowed: list[str] | None = None) -> Column:
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "that", "this", "these",
+    "those", "it", "its", "they", "them", "their", "both", "each", "all", "any", "some", "no", "not", "more", "most", "other", "into", "over",
+    "such", "than", "too", "very", "just", "also", "about", "up", "out", "so", "if", "when", "where", "how", "what", "which", "who", "whom", "while",
+    "as", "yet", "between", "through", "during", "before", "after", "above", "below", "here", "there", "then", "once", "again", "further", "same",
+    "own", "s", "t", "re", "ve", "ll", "d", "one", "two", "three", "near", "set", "sets", "music", "artists", "artist", "appear", "alongside",
+    "station", "radio", "plays", "work", "genre", "shared",
+]
+#: Words of description that need no grounding.
+PROSE_WORDS = [
+    "textures", "texture", "textural", "soundscapes", "soundscape", "landscapes", "atmospherics", "atmospheric", "ambience", "arrangements",
+    "arrangement", "sensibilities", "sensibility", "aesthetics", "aesthetic", "grooves", "groove", "rhythmic", "rhythms", "rhythm", "melodic",
+    "melodies", "melody", "harmonic", "harmonies", "harmony", "sonic", "sonically", "layered", "layers", "layer", "driven", "rooted", "infused",
+    "inflected", "oriented", "leaning", "tinged", "informed", "influenced", "blending", "blend", "blends", "channels", "channel", "crafts", "craft",
+    "delivers", "explores", "exploring", "spans", "spanning", "pursues", "fusing", "fusion", "merging", "combines", "combining", "moderate",
+    "moderately", "restrained", "higher", "lower", "similarly", "notably", "prominent", "subtle", "heavy", "light", "dense", "sparse", "propulsive",
+    "subdued", "energetic", "contemplative", "meditative", "frameworks", "framework", "foundation", "foundations", "tradition", "traditions",
+    "traditional", "approach", "approaches", "elements", "characteristics", "qualities", "components", "complementary", "contrasting", "distinct",
+    "overlapping", "parallel", "different", "similar", "comparable", "shared", "common", "programming", "rotation", "transitions", "transition",
+    "sets", "freeform", "dj", "djs", "vocal-driven", "voice", "singer", "vocals", "vocal", "production", "producer", "produced",
+]
+#: A term of the data and the words that rephrase it.
+STEM_WORDS = {
+    "ambient": ["ambience", "atmospheric", "atmospherics", "atmosphere"],
+    "acoustic": ["acoustics", "unplugged"],
+    "experimental": ["experimentation", "experiments", "experimenting"],
+    "electronic": ["electronics", "electro-acoustic"],
+    "instrumental": ["instrument", "instruments", "instrumentation"],
+    "alternative": ["alt", "alternative"],
+    "psychedelic": ["psychedelia", "psych"],
+    "folk": ["folk-inflected", "folksy"],
+    "jazz": ["jazzy", "jazz-inflected", "jazz-informed"],
+    "blues": ["bluesy", "blues-inflected"],
+    "punk": ["punky", "punk-inflected"],
+    "funk": ["funky", "funk-inflected"],
+    "soul": ["soulful", "soul-inflected"],
+    "rock": ["rock-oriented", "rocking"],
+    "pop": ["poppy", "pop-oriented"],
+    "dance": ["danceable", "dance-oriented"],
+    "noise": ["noisy", "noise-inflected"],
+    "drone": ["droning", "drone-based"],
+    "disco": ["disco-inflected", "discotheque"],
+    "dub": ["dubby", "dub-inflected"],
+    "minimal": ["minimalist", "minimalism"],
+    "abstract": ["abstraction", "abstractionist"],
+    "avantgarde": ["avant-garde", "avant"],
+    "downtempo": ["down-tempo", "slow-tempo"],
+    "lo-fi": ["lofi", "lo-fi"],
+    "vocal": ["vocal-driven", "vocals", "voice", "singer", "singing"],
+}
+
+
+def _holds(stem: Column):
+    return lambda t: t.contains(stem) | stem.contains(t)
+
+
+def term_score(text: Column, terms: Column, expansions: dict[str, list[str]] | None = None, allowed: list[str] | None = None, station: list[str] | None = None) -> Column:
     """EXP-07: share of the text's content words (longer than two letters, no stop words) that are not among the terms; a term
-    that holds a stem of ``expansions``, or stands in it, brings that stem's words along, and ``allowed`` words always count."""
-    known = F.transform(terms, lambda t: F.lower(t))
-    for s, more in (expansions or {}).items():
-        near = F.exists(known, _holds(s))
-        known = F.concat(known, F.when(near, F.array(*[F.lit(m) for m in more])).otherwise(F.array().cast("array<string>")))
-    known = F.concat(known, F.array(*[F.lit(a) for a in allowed]) if allowed else F.array().cast("array<string>"))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    that holds a stem of ``expansions``, or stands in it, brings that stem's words along, ``allowed`` words always count, and the words of
+    the ``station``'s own name are stop words too."""
+    own = F.transform(terms, lambda t: F.lower(t))
+    rows = [F.struct(F.lit(s).alias("stem"), F.array(*[F.lit(m) for m in more]).alias("words")) for s, more in (expansions or {}).items()]
+    fixed = F.array(*[F.lit(a) for a in allowed]) if allowed else F.array().cast("array<string>")
+    more = F.flatten(F.transform(F.filter(F.array(*rows), lambda e: F.exists(own, _holds(e["stem"]))), lambda e: e["words"])) if rows else F.array().cast("array<string>")
+    stop = F.array(*[F.lit(w) for w in [*STOP_WORDS, *(station or [])]])
     content = F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w\s-]", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
     n = F.size(content)
-    return F.when(n > 0, F.size(F.filter(content, lambda w: ~F.array_contains(known, w))) / n).otherwise(0.0)
+    lacking = _let(F.concat(own, more, fixed), lambda known: F.size(F.filter(content, lambda w: ~F.array_contains(known, w))))
+    return F.when(n > 0, lacking / n).otherwise(0.0)

@@ -146,13 +146,13 @@ def adamic_adar(edges: DataFrame, a: str, b: str, pairs: DataFrame, gate: float
     return s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("term"), "shared"))).where(f"rank <= {top}").select("x", "y", "shared", "degree", "term", "aa", "rank")
 
 
-def two_hop(edges: DataFrame, a: str, b: str, min_aa: float, max_degree: int | None = None) -> DataFrame:
+def two_hop(edges: DataFrame, a: str, b: str, min_aa: float, middles: DataFrame | None = None) -> DataFrame:
     """GRF-18, JN-14: pairs without an edge that share neighbours with a summed unrounded 1 / ln(degree) of at least
-    ``min_aa``. The paths through one hub are its degree squared, so pairs are counted by pairs of blocks; ``max_degree``, if
-    it is given, leaves hubs out as middles."""
+    ``min_aa``. The paths through one hub are its degree squared, so pairs are counted by pairs of blocks. ``middles`` (node),
+    if given, are the only nodes that count as shared neighbours; degrees stay those over all edges."""
     s = symmetrize(edges.where(F.col(a) != F.col(b)), a, b).distinct()
     deg = s.groupBy("node").agg(F.count("*").alias("degree")).where("degree >= 2")
-    mid = deg if max_degree is None else deg.where(F.col("degree") <= max_degree)
+    mid = deg if middles is None else deg.join(middles.select("node").distinct(), "node", "left_semi")
     m = s.join(mid, "node").select(F.col("other").alias("node"), F.col("node").alias("key"), (1 / F.log("degree")).alias("weight"))
     aa = block_pairs(m, lambda shared, total, na, nb: total >= min_aa).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("total").alias("aa"), F.col("shared").alias("middles"))
     return aa.join(s.select(F.col("node").alias("x"), F.col("other").alias("y")), ["x", "y"], "left_anti")

@@ -20,6 +20,15 @@ def release_xrefs(xrefs: DataFrame, releases: DataFrame, codes: DataFrame) -> Da
     return xrefs.join(a, "a").join(b, "b").where("artist_a <> artist_b").select("artist_a", "artist_b", F.coalesce("comment", F.lit("")).alias("comment"), F.lit("release").alias("source"))
 
 
+def import_xrefs(edges: DataFrame, nodes: DataFrame, existing: DataFrame) -> DataFrame:
+    """EXP-12: ``existing`` (a_id, b_id, comment, source) with references by name (``code_xrefs``, ``release_xrefs``) added: both
+    names must be nodes (id, name); a reference already there, or given twice, is added once."""
+    x = edges.join(nodes.select(F.col("name").alias("artist_a"), F.col("id").alias("a_id")), "artist_a").join(nodes.select(F.col("name").alias("artist_b"), F.col("id").alias("b_id")), "artist_b")
+    new = x.groupBy("a_id", "b_id", "source").agg(F.min("comment").alias("comment")).join(existing.select("a_id", "b_id", "source"), ["a_id", "b_id", "source"], "left_anti")
+    cols = ["a_id", "b_id", "comment", "source"]
+    return existing.select(*cols).unionByName(new.select(*cols))
+
+
 def influence_edges(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """GRF-05, JN-19: influences by name; both ends known, no self pairs, the first per name pair, by external ids."""
     s = names.select(F.col("qid").alias("source_qid"), F.col("name").alias("source"))

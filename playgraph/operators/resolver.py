@@ -32,7 +32,7 @@ def exact_index(codes: DataFrame, name: str = "presentation_name", order: str =
 
 def form_index(codes: DataFrame, name: str = "presentation_name") -> DataFrame:
     """JN-03: form -> canonical name, for forms that lead to one name only."""
-    forms = codes.where(F.col(name).isNotNull()).select(F.col(name).alias("canonical"), F.explode(normalized_forms(normalize_identity(F.col(name)))).alias("form"))
+    forms = codes.where(F.col(name).isNotNull()).select(F.col(name).alias("canonical"), F.explode(normalized_forms((F.col(name)))).alias("form"))
     return forms.where("form <> ''").groupBy("form").agg(F.countDistinct("canonical").alias("_c"), F.min("canonical").alias("canonical")).where("_c = 1").drop("_c")
 
 

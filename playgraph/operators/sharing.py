@@ -123,7 +123,7 @@ def jaccard(facts: DataFrame, node: str, key: str, max_df: int | None, min_jacca
     return p.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
-def coappearance(credits: DataFrame, release: str, artist: str, titles: DataFrame | None = None, max_df: int = 1000) -> DataFrame:
+def coappearance(credits: DataFrame, release: str, artist: str, titles: DataFrame | None = None, max_df: int | None = None) -> DataFrame:
     """AGG-10: artists on one compilation: number of releases and, given ``titles`` (release, title), the sorted titles that
     aren't null."""
     _, shared = _facts(credits, artist, release, max_df)
@@ -134,9 +134,19 @@ def coappearance(credits: DataFrame, release: str, artist: str, titles: DataFram
     return p.groupBy("a", "b").agg(F.count("*").alias("compilations"))
 
 
+def compilation_appearances(track_artists: DataFrame) -> DataFrame:
+    """AGG-11: (artist, release, others): the other artists of each release an artist is on, sorted; releases without any are
+    left out. Input: (release, artist), where ``artist`` may repeat. One row a release holds its artists once; each artist's
+    row takes itself off."""
+    d = track_artists.select("release", "artist").where("release is not null and artist is not null").distinct()
+    every = d.groupBy("release").agg(F.array_sort(F.collect_list("artist")).alias("every")).where("size(every) > 1")  # artists of one release
+    return d.join(every, "release").select("artist", "release", F.array_except("every", F.array("artist")).alias("others"))
+
+
 def enrichment(styles: DataFrame, personnel: DataFrame, labels: DataFrame) -> DataFrame:
     """AGG-11: per artist the sorted distinct styles, the people with their sorted roles, and the labels with the first id each
-    name has. Inputs: (artist, style), (artist, person, role), (artist, label, label_id, ord)."""
+    name has. Inputs: (artist, style), (artist, person, role), (artist, label, label_id, ord). Compilations come from
+    ``compilation_appearances``."""
     s = styles.groupBy("artist").agg(F.array_sort(F.collect_set("style")).alias("styles"))
     p = personnel.groupBy("artist", "person").agg(F.array_sort(F.collect_set("role")).alias("roles"))
     p = p.groupBy("artist").agg(F.array_sort(F.collect_list(F.struct("person", "roles"))).alias("personnel"))

@@ -109,3 +109,10 @@ def classifier_metrics(df: DataFrame, score: str, truth: str, threshold: float,
 def conditional_counts(df: DataFrame, **conditions: Column) -> DataFrame:
     """AGG-23: total rows and rows for which each condition holds."""
     return df.agg(F.count("*").alias("total"), *[F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(n) for n, c in conditions.items()])
+
+
+def mojibake_duplicates(names: DataFrame, repair) -> DataFrame:
+    """GRF-20: pairs of names of which ``repair`` turns one into the other. ``names``: name, plays, edges."""
+    f = names.withColumn("_fixed", repair(F.col("name"))).where("_fixed is not null and _fixed <> name")
+    c = f.select(F.col("name").alias("corrupted_name"), F.col("_fixed").alias("fixed_name"), F.col("plays").alias("corrupted_plays"), F.col("edges").alias("corrupted_edges"))
+    return c.join(names.select(F.col("name").alias("fixed_name"), F.col("plays").alias("fixed_plays"), F.col("edges").alias("fixed_edges")), "fixed_name")

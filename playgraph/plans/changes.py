@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playgraph.catalog import table
-from playgraph.operators import merge, sampling
-from playgraph.plans.edges import TRANSITIONS_SQL, transitions
+from playgraph.functions import text as tx
+from playgraph.operators import graph, merge, sampling
+from playgraph.plans.edges import SYM_SQL, TRANSITIONS_SQL, middles, transitions
 from playgraph.plans.registry import query
 from playgraph.sources import sinks
 
@@ -21,7 +22,7 @@ def upsert_coalesce(spark, d):
 @query("insert_or_ignore", "with o as (select source_id, target_id, raw_count from (select *, row_number() over (partition by source_id, target_id order by raw_count, pmi) as k from dj_transition where source_id % 2 = 0) where k = 1), n as (select source_id, target_id, raw_count from (select *, row_number() over (partition by source_id, target_id order by raw_count desc, pmi) as k from dj_transition) where k = 1) select * from o union all select * from n where not exists (select 1 from o where o.source_id = n.source_id and o.target_id = n.target_id)")
 def insert_or_ignore(spark, d):
     t = table(spark, d, "dj_transition").select("source_id", "target_id", "raw_count", "pmi")
-    old = sampling.stratified(t.where("source_id % 2 = 0"), ["source_id", "target_id"], ["raw_count"], 10**9).drop("draw").groupBy("source_id", "target_id").agg(F.min("raw_count").alias("raw_count"))
+    old = t.where("source_id % 2 = 0").groupBy("source_id", "target_id").agg(F.min("raw_count").alias("raw_count"))
     return merge.insert_or_ignore(old, t.select("source_id", "target_id", "raw_count"), ["source_id", "target_id"], [F.desc("raw_count")])
 
 
@@ -86,38 +87,125 @@ def overfetch_translate(spark, d):
     return r.select("source_id", "target_id", "code", "rank")
 
 
-@query("stratified_sample")
+DRAW = "md5(concat_ws('|', {}, '42'))"
+
+
+@query(
+    "stratified_sample",
+    f"""with a as (select id, genre, case when total_plays > 800 then 'HIGH' when total_plays between 100 and 400 then 'LOW' end as fame from artist),
+r as (select genre, fame, id, row_number() over (partition by genre, fame order by {DRAW.format("id")}, id)::int as draw from a where genre is not null and fame is not null) select * from r where draw <= 3""",
+)
 def stratified_sample(spark, d):
-    a = table(spark, d, "artist").withColumn("fame", F.when(F.col("total_plays") < 10, "low").when(F.col("total_plays") < 100, "mid").otherwise("high"))
-    return sampling.stratified(a.where("genre is not null"), ["genre", "fame"], ["id"], 3).select("genre", "fame", "id", "draw")
+    a = table(spark, d, "artist").withColumn("fame", tx.fame_band(F.col("total_plays")))
+    return sampling.stratified(a.where("genre is not null and fame is not null"), ["genre", "fame"], ["id"], 3).select("genre", "fame", "id", "draw")
 
 
-@query("label_sheet")
+@query("label_sheet", f"with u as (select row_id as key, narrative, row_number() over (order by {DRAW.format('row_id')} || '|' || row_id) as n from labeling_row where edge is not null) select printf('R%04d', n) as row_id, narrative from u")
 def label_sheet(spark, d):
     r = table(spark, d, "labeling_row")
     return sampling.label_sheet([r.where("edge = 'dj_transition'"), r.where("edge <> 'dj_transition'")], "row_id", ["cell_id"]).select("row_id", "narrative")
 
 
-@query("corrupted_profiles")
+PROFILES_SQL = """pr as (select a.id, a.genre, case when p.voice_instrumental_ratio > 0.7 then 'vocal-forward' when p.voice_instrumental_ratio < 0.3 then 'instrumental' end as voice, st.styles
+  from artist a left join (select artist_id, arg_min(voice_instrumental_ratio, artist_id) as voice_instrumental_ratio from audio_profile group by 1) p on p.artist_id = a.id
+  left join (select artist_id, list_sort(list(distinct month::varchar)) as styles from play where artist_id is not null and month is not null group by 1) st on st.artist_id = a.id)"""
+
+
+def pair_profiles(spark, d):
+    """Labelled pairs with voice, styles and genre of both sides."""
+    v = table(spark, d, "audio_profile").select(F.col("artist_id").alias("id"), F.when(F.col("voice_instrumental_ratio") > 0.7, "vocal-forward").when(F.col("voice_instrumental_ratio") < 0.3, "instrumental").alias("voice"))
+    st = table(spark, d, "play").where("artist_id is not null and month is not null").groupBy(F.col("artist_id").alias("id")).agg(F.array_sort(F.collect_set(F.col("month").cast("string"))).alias("styles"))
+    p = table(spark, d, "artist").select("id", "genre").join(v, "id", "left").join(st, "id", "left")
+    out = table(spark, d, "labeling_row").select("row_id", "source_id", "target_id")
+    for side in ("source", "target"):
+        out = out.join(p.select(F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("voice", "styles", "genre")]), f"{side}_id", "left")
+    return out
+
+
+def _corrupted_sql() -> str:
+    pick = lambda n, seed: f"(('0x' || left(md5(concat_ws('|', row_id, '{seed}')), 8))::bigint % {n})"
+    ways = []
+    for s in ("source", "target"):
+        ways += [
+            f"case when {s}_voice is not null then '{s}:voice_instrumental' end",
+            f"case when len({s}_styles) > 0 and len(list_filter(pool, lambda p: p.g is distinct from {s}_genre)) > 0 then '{s}:outlier_styles' end",
+            f"case when {s}_genre <> '' and len(list_filter(genres, lambda g: g <> {s}_genre)) > 0 then '{s}:genre_swap' end",
+        ]
+    cols = []
+    for s in ("source", "target"):
+        rest, other = f"list_filter(genres, lambda g: g <> {s}_genre)", f"list_filter(pool, lambda p: p.g is distinct from {s}_genre)"
+        cols += [
+            f"case when way = '{s}:voice_instrumental' then case {s}_voice when 'instrumental' then 'vocal-forward' else 'instrumental' end else {s}_voice end as {s}_voice",
+            f"case when way = '{s}:outlier_styles' then {other}[{pick(f'len({other})', 43)} + 1].k else array_to_string({s}_styles, '|') end as {s}_styles",
+            f"case when way = '{s}:genre_swap' then {rest}[{pick(f'len({rest})', 43)} + 1] else {s}_genre end as {s}_genre",
+        ]
+    return f"""with {PROFILES_SQL},
+r as (select l.row_id, x.voice as source_voice, x.styles as source_styles, x.genre as source_genre, y.voice as target_voice, y.styles as target_styles, y.genre as target_genre from labeling_row l left join pr x on x.id = source_id left join pr y on y.id = target_id),
+seen as (select source_genre as g, source_styles as s from r union all select target_genre, target_styles from r),
+gs as (select list_sort(list(distinct g)) as genres from seen where g is not null),
+k as (select distinct g, array_to_string(s, '|') as k from seen where g is not null and len(s) > 0),
+kk as (select g, k, row_number() over (partition by g order by md5(concat_ws('|', k, '42')), k) as n from k),
+po as (select list(struct_pack(g := g, k := k) order by g, k) as pool from kk where n <= 20),
+w as (select r.*, genres, pool, list_filter([{", ".join(ways)}], lambda x: x is not null) as ways from r, gs, po),
+c as (select *, case when len(ways) > 0 then ways[{pick("len(ways)", 42)} + 1] end as way from w)
+select row_id, split_part(way, ':', 1) as side, split_part(way, ':', 2) as strategy, {", ".join(cols)} from c"""
+
+
+@query("corrupted_profiles", _corrupted_sql())
 def corrupted_profiles(spark, d):
-    a = table(spark, d, "audio_profile").select("artist_id", F.col("avg_danceability").alias("danceability"), F.col("primary_genre").alias("genre"))
-    return sampling.corrupt(a, "artist_id", ["rock", "jazz", "electronic", "folk"]).select("artist_id", "corruption", "wrong_genre")
+    c = sampling.corrupt(pair_profiles(spark, d), "row_id")
+    for s in ("source", "target"):
+        c = c.withColumn(f"{s}_styles", F.array_join(f"{s}_styles", "|"))
+    return c.select("row_id", "side", "strategy", *[f"{s}_{x}" for s in ("source", "target") for x in ("voice", "styles", "genre")])
 
 
 @query(
     "pair_risk",
-    f"""with {TRANSITIONS_SQL}, a as (select id, total_plays as plays, coalesce(show_count, 0) as rich, dj_count as styles, genre from artist)
-select source_id, target_id, (case when (x.plays + y.plays) / 2 < 50 then 1.0 when (x.plays + y.plays) / 2 < 200 then 0.5 else 0.0 end) + (case when least(x.rich, y.rich) < 3 then 1.0 when least(x.rich, y.rich) < 10 then 0.5 else 0.0 end)
-+ (case when greatest(x.styles, y.styles) > 8 then 1.0 when greatest(x.styles, y.styles) > 4 then 0.5 else 0.0 end) + (case when x.genre <> y.genre then 1.0 when x.genre is null or y.genre is null then 0.5 else 0.0 end) as risk
+    f"""with {TRANSITIONS_SQL}, a as (select id, coalesce(total_plays, 0) as plays, genre, coalesce(dj_count, 0) as styles, coalesce(dj_count, 0) + case when id in (select artist_id from audio_profile) then 3 else 0 end as rich from artist)
+select source_id, target_id, (case when (x.plays + y.plays) / 2 > 1000 then 1.0 when (x.plays + y.plays) / 2 > 500 then 0.5 else 0.0 end + case when least(x.rich, y.rich) = 0 then 1.0 when least(x.rich, y.rich) < 3 then 0.5 else 0.0 end
++ case when greatest(x.styles, y.styles) > 20 then 1.0 when greatest(x.styles, y.styles) > 10 then 0.5 else 0.0 end + case when x.genre is distinct from y.genre then 1.0 else 0.0 end)::double as risk
 from t join a x on x.id = source_id join a y on y.id = target_id""",
 )
 def pair_risk(spark, d):
-    a = table(spark, d, "artist")
-    side = lambda s, k: a.select(F.col("id").alias(k), F.col("total_plays").alias(f"plays_{s}"), F.coalesce("show_count", F.lit(0)).alias(f"rich_{s}"), F.col("dj_count").alias(f"styles_{s}"), F.col("genre").alias(f"genre_{s}"))
+    sound = table(spark, d, "audio_profile").select(F.col("artist_id").alias("id"), F.lit(3).alias("sound")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    a = table(spark, d, "artist").join(sound, "id", "left")
+    side = lambda s, k: a.select(F.col("id").alias(k), zero("total_plays").alias(f"plays_{s}"), (zero("dj_count") + zero("sound")).alias(f"rich_{s}"), zero("dj_count").alias(f"styles_{s}"), F.col("genre").alias(f"genre_{s}"))
     j = transitions(spark, d).join(side("a", "source_id"), "source_id").join(side("b", "target_id"), "target_id")
     return sampling.band_risk(j).select("source_id", "target_id", F.col("risk").cast("double").alias("risk"))
 
 
+ELIGIBLE_SQL = """el as (select id, genre, case when total_plays > 800 then 'HIGH' else 'LOW' end as fame, case when dj_count >= 3 and id in (select artist_id from audio_profile) then 'RICH' else 'THIN' end as richness from artist
+  where genre is not null and (total_plays > 800 or total_plays between 100 and 400) and canonical_name not like 'Various%' and canonical_name not like 'V/A%' and canonical_name not like '%Soundtrack%' and lower(canonical_name) <> 'unknown')"""
+
+
+def eligible(spark, d):
+    sound = table(spark, d, "audio_profile").select(F.col("artist_id").alias("id"), F.lit(True).alias("sound")).distinct()
+    a = table(spark, d, "artist").where(tx.no_compilation(F.col("canonical_name")) & F.col("genre").isNotNull()).join(sound, "id", "left")
+    a = a.select("id", "genre", tx.fame_band(F.col("total_plays")).alias("fame"), tx.richness(F.coalesce("dj_count", F.lit(0)), F.coalesce("sound", F.lit(False))).alias("richness"))
+    return a.where("fame is not null")
+
+
+@query("eligible_nodes", f"with {ELIGIBLE_SQL} select * from el")
+def eligible_nodes(spark, d):
+    return eligible(spark, d)
+
+
+@query(
+    "pair_cells",
+    f"""with {SYM_SQL}, {ELIGIBLE_SQL}, va as (select id from artist where canonical_name like 'Various%' or canonical_name like 'V/A%'),
+m as (select sy.*, degree from sy join dg using (node) where degree >= 2 and node in (select id from artist) and node not in (select id from va)),
+ind as (select a.other as x, b.other as y from m a join m b on a.node = b.node and a.other < b.other group by 1, 2 having sum(1 / ln(a.degree)) >= 0.8),
+k as (select least(source_id, target_id) as x, greatest(source_id, target_id) as y, 'DIRECT' as edge from t where raw_count >= 2 and source_id <> target_id union select x, y, 'INDIRECT' from ind where not exists (select 1 from sy where node = x and other = y)),
+j as (select a.fame, a.richness, case when a.genre = b.genre then 'SAME' else 'CROSS' end as genre, edge, x, y from k join el a on a.id = x join el b on b.id = y and b.fame = a.fame and b.richness = a.richness),
+r as (select *, row_number() over (partition by fame, richness, genre, edge order by md5(concat_ws('|', x, y, '42')), x, y)::int as draw from j) select * from r where draw <= 5""",
+)
+def pair_cells(spark, d):
+    t = transitions(spark, d)
+    direct = t.where("raw_count >= 2 and source_id <> target_id").select(F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y"))
+    return sampling.pair_cells(eligible(spark, d), direct, graph.two_hop(t, "source_id", "target_id", 0.8, middles(spark, d)), 5)
+
+
 @query("missing_profiles", "select id from artist where id not in (select artist_id from audio_profile where artist_id is not null)")
 def missing_profiles(spark, d):
     done = table(spark, d, "audio_profile").select(F.col("artist_id").alias("id"))
@@ -126,13 +214,13 @@ def missing_profiles(spark, d):
 
 @query(
     "validation_gate",
-    "with n as (select 'play' as t, count(*) as r from play union all select 'artist', count(*) from artist), s as (select 'play' as t, 1000 as seed union all select 'artist', 100000000 union all select 'gone', 7) select s.t as \"table\", s.seed::bigint as seed, coalesce(r, 0) as rows, greatest(1, floor(seed * 0.5))::bigint as floor, coalesce(r, 0) >= greatest(1, floor(seed * 0.5)) as ok from s left join n on s.t = n.t",
+    "with n as (select 'play' as t, count(*) as r from play union all select 'artist', count(*) from artist), s as (select 'play' as t, 1000 as seed union all select 'artist', 100000000 union all select 'gone', 7 union all select 'new', 0) select s.t as \"table\", s.seed::bigint as seed, coalesce(r, 0) as rows, greatest(1, floor(seed * 0.5))::bigint as floor, coalesce(r, 0) >= greatest(1, floor(seed * 0.5)) as ok from s left join n on s.t = n.t where seed > 0",
 )
 def validation_gate(spark, d):
     from playgraph.plans.surface_ops import health
 
     counts = health({"play": table(spark, d, "play"), "artist": table(spark, d, "artist")})
-    base = spark.createDataFrame([("play", 1000), ("artist", 100000000), ("gone", 7)], "`table` string, rows long")
+    base = spark.createDataFrame([("play", 1000), ("artist", 100000000), ("gone", 7), ("new", 0)], "`table` string, rows long")
     return sinks.validation_gate(counts, base)
 
 
@@ -147,7 +235,10 @@ def assigned_ids(spark, d):
     return sinks.assign_ids(table(spark, d, "library_code"), "presentation_name")
 
 
-@query("connected_candidates")
+@query(
+    "connected_candidates",
+    f"with {SYM_SQL}, c as (select id, degree from artist join dg on node = id where degree >= 8 and total_plays between 5 and 400 and genre is not null) select id, degree from c order by md5(concat_ws('|', id, '42')), id limit 120",
+)
 def connected_candidates(spark, d):
     a = table(spark, d, "artist").where("total_plays between 5 and 400 and genre is not null").select("id", "genre")
     return sampling.connected_candidates(a, transitions(spark, d), "source_id", "target_id", 8, 120).select("id", "degree")

@@ -29,9 +29,9 @@ def artist_djs(spark, d) -> DataFrame:
     return table(spark, d, "play").select("artist_id", "dj_id")
 
 
-def _shared_sql(source: str, node: str, key: str, max_df: int, least: int) -> str:
+def _shared_sql(source: str, node: str, key: str, least: int) -> str:
     return f"""with f as (select distinct {node} as node, {key} as key from {source} where {node} is not null and {key} is not null),
-k as (select key from f group by 1 having count(*) between 2 and {max_df}),
+k as (select key from f group by 1 having count(*) >= 2),
 s as (select node, key from f join k using (key))
 select x.node as a, y.node as b, count(*) as shared, string_agg(x.key::varchar, '|' order by x.key) as keys from s x join s y on x.key = y.key and x.node < y.node group by 1, 2 having count(*) >= {least}"""
 
@@ -40,22 +40,19 @@ def _joined(df: DataFrame) -> DataFrame:
     return df.withColumn("keys", F.array_join(F.transform("keys", lambda k: k.cast("string")), "|"))
 
 
-@query("shared_personnel", _shared_sql("lineitem", "l_suppkey", "l_partkey", 25, 2))
+@query("shared_personnel", _shared_sql("lineitem", "l_suppkey", "l_partkey", 2))
 def shared_personnel(spark, d):
     return _joined(sharing.shared_keys(supplier_parts(spark, d), "l_suppkey", "l_partkey", None, 2))
 
 
-@query("label_family", _shared_sql("flowsheet_entry", "artist_name", "label_name", 30, 1))
+@query("label_family", _shared_sql("flowsheet_entry", "artist_name", "label_name", 1))
 def label_family(spark, d):
     return _joined(sharing.shared_keys(table(spark, d, "flowsheet_entry"), "artist_name", "label_name"))
 
 
 JACCARD_SQL = """f as (select distinct artist_id as node, dj_id as key from play where artist_id is not null and dj_id is not null),
-df as (select key, count(*) as df from f group by 1),
-kept as (select f.* from f join df using (key) where df <= 120),
-s as (select f.* from f join df using (key) where df between 2 and 120),
-c as (select node, count(*) as n from kept group by 1),
-ab as (select x.node as a, y.node as b, count(*) as shared from s x join s y on x.key = y.key and x.node < y.node group by 1, 2),
+c as (select node, count(*) as n from f group by 1),
+ab as (select x.node as a, y.node as b, count(*) as shared from f x join f y on x.key = y.key and x.node < y.node group by 1, 2),
 j as (select a, b, shared, shared / (ca.n + cb.n - shared) as jaccard from ab join c ca on ca.node = a join c cb on cb.node = b where shared / (ca.n + cb.n - shared) >= 0.2)"""
 
 
@@ -71,12 +68,12 @@ def shared_style_jaccard(spark, d):
 @query(
     "compilation_coappearance",
     """with f as (select distinct artist_name as node, library_release_id as key from flowsheet_entry where artist_name is not null and library_release_id > 0 and entry_type_code < 7),
-k as (select key from f group by 1 having count(*) between 2 and 200), s as (select node, key from f join k using (key))
+k as (select key from f group by 1 having count(*) >= 2), s as (select node, key from f join k using (key))
 select x.node as a, y.node as b, count(*) as compilations from s x join s y on x.key = y.key and x.node < y.node group by 1, 2""",
 )
 def compilation_coappearance(spark, d):
     e = table(spark, d, "flowsheet_entry").where("library_release_id > 0 and entry_type_code < 7")
-    return sharing.coappearance(e, "library_release_id", "artist_name", max_df=200)
+    return sharing.coappearance(e, "library_release_id", "artist_name")
 
 
 @query(
@@ -165,8 +162,7 @@ def relations(spark, d) -> DataFrame:
 
 RELATIONS_SQL = f"""{JACCARD_SQL},
 f2 as (select distinct artist_id as node, show_id as key from play where artist_id is not null and show_id is not null),
-k2 as (select key from f2 group by 1 having count(*) between 2 and 30), s2 as (select node, key from f2 join k2 using (key)),
-pe as (select x.node as a, y.node as b, count(*) as shared from s2 x join s2 y on x.key = y.key and x.node < y.node group by 1, 2 having count(*) >= 2),
+pe as (select x.node as a, y.node as b, count(*) as shared from f2 x join f2 y on x.key = y.key and x.node < y.node group by 1, 2 having count(*) >= 2),
 rel as (select a as src, b as dst, 'style' as type, jaccard as score from j union all select a, b, 'personnel', shared::double from pe)"""
 
 
@@ -254,14 +250,21 @@ def resource_allocation(spark, d):
     return r.select("x", "y", F.round("ra", 6).alias("ra"), F.round("aa1", 6).alias("aa1"), "n")
 
 
+def middles(spark, d) -> DataFrame:
+    """Nodes that may stand between two others: known ones that are no collection of artists."""
+    n = F.col("canonical_name")
+    return table(spark, d, "artist").where(~n.like("Various%") & ~n.like("V/A%")).select(F.col("id").alias("node"))
+
+
 @query(
     "two_hop_no_edge",
-    f"""with {SYM_SQL}, m as (select sy.*, degree from sy join dg using (node) where degree between 2 and 60),
+    f"""with {SYM_SQL}, va as (select id from artist where canonical_name like 'Various%' or canonical_name like 'V/A%'),
+m as (select sy.*, degree from sy join dg using (node) where degree >= 2 and node in (select id from artist) and node not in (select id from va)),
 p as (select a.other as x, b.other as y, sum(1 / ln(a.degree)) as aa, count(*) as middles from m a join m b on a.node = b.node and a.other < b.other group by 1, 2 having sum(1 / ln(a.degree)) >= 0.8)
 select x, y, round(aa, 6) as aa, middles from p where not exists (select 1 from sy where node = x and other = y)""",
 )
 def two_hop_no_edge(spark, d):
-    return graph.two_hop(transitions(spark, d), "source_id", "target_id", 0.8).withColumn("aa", F.round("aa", 6))
+    return graph.two_hop(transitions(spark, d), "source_id", "target_id", 0.8, middles(spark, d)).withColumn("aa", F.round("aa", 6))
 
 
 @query("pmi_graph", f"with {TRANSITIONS_SQL} select least(source_id, target_id) as a, greatest(source_id, target_id) as b, arg_max(raw_count, source_id * 100000000 + target_id) as raw_count, arg_max(pmi, source_id * 100000000 + target_id) as pmi from t where raw_count >= 2 and pmi > 0 group by 1, 2")

@@ -135,7 +135,7 @@ def hour_bucket(spark, d):
 
 @query(
     "window_merge",
-    """with w as (select show_id as key, greatest(0, sequence * 180000 - 100000) as s, least(3600000, sequence * 180000 + 100000) as e from flowsheet_entry where show_id is not null and sequence is not null and entry_type_code < 7 and sequence % 3 <> 0),
+    """with w as (select show_id as key, greatest(0, sequence * 180000 - 100000) as s, least(3600000, sequence * 180000 + 100000) as e from flowsheet_entry where show_id is not null and sequence is not null and entry_type_code < 7),
 b as (select *, max(e) over (partition by key order by s, e rows between unbounded preceding and 1 preceding) as pe from w),
 i as (select *, sum(case when pe is null or s > pe then 1 else 0 end) over (partition by key order by s, e rows between unbounded preceding and current row) as isl from b)
 select key, min(s) as start_ms, max(e) as end_ms, count(*) as n from i group by key, isl""",
@@ -157,6 +157,13 @@ def feature_layout(spark, d):
     return s.select("id", F.round(mass, 6).alias("genre_mass"), F.round(F.get("_v", 31), 6).alias("danceability"), F.size("_v").alias("dim"))
 
 
-@query("fame_bands", "select case when total_plays < 10 then 'low' when total_plays < 100 then 'mid' else 'high' end as band, count(*) as n from artist where total_plays is not null group by 1")
+@query(
+    "fame_bands",
+    """with a as (select case when total_plays > 800 then 'HIGH' when total_plays between 100 and 400 then 'LOW' end as fame, case when coalesce(dj_count, 0) >= 3 and id in (select artist_id from audio_profile) then 'RICH' else 'THIN' end as richness from artist)
+select fame, richness, count(*) as n from a group by 1, 2""",
+)
 def fame_bands(spark, d):
-    return table(spark, d, "artist").where("total_plays is not null").groupBy(tx.fame_band(F.col("total_plays")).alias("band")).agg(F.count("*").alias("n"))
+    sound = table(spark, d, "audio_profile").select(F.col("artist_id").alias("id"), F.lit(True).alias("sound")).distinct()
+    a = table(spark, d, "artist").join(sound, "id", "left")
+    a = a.select(tx.fame_band(F.col("total_plays")).alias("fame"), tx.richness(F.coalesce("dj_count", F.lit(0)), F.coalesce("sound", F.lit(False))).alias("richness"))
+    return a.groupBy("fame", "richness").agg(F.count("*").alias("n"))

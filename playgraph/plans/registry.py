@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("plays", "edges", "names", "features", "changes", "surface"):
+for _module in ("plays", "edges", "names", "features", "changes", "surface", "io"):
     import_module(f"playgraph.plans.{_module}")

@@ -23,7 +23,7 @@ def facets(spark, d):
     return ops.facets(stats.facet_totals(p, "month"), stats.facet_totals(p, "dj_id"))
 
 
-@query("random_node")
+@query("random_node", "with e as (select distinct id from (select source_id as id from dj_transition union all select target_id from dj_transition)) select id, canonical_name from artist where id in (select id from e) order by md5(concat_ws('|', id, '42')), id limit 1")
 def random_node(spark, d):
     return ops.random_node(table(spark, d, "artist"), table(spark, d, "dj_transition")).select("id", "canonical_name")
 
@@ -69,7 +69,7 @@ def alias_groups(spark, d):
     return ops.alias_group(table(spark, d, "artist"), "discogs_artist_id")
 
 
-@query("generated_bio", "select id, canonical_name || ': ' || coalesce(genre, 'artist') || case when active_first_year is not null and active_last_year is not null then ', active ' || active_first_year || ' to ' || active_last_year else '' end || ', ' || total_plays || ' plays' as bio from artist")
+@query("generated_bio", "select id, coalesce(nullif(genre, ''), 'Unknown genre') || ' artist played ' || coalesce(total_plays, 0) || ' times by ' || coalesce(dj_count, 0) || ' DJs on the station' || case when nullif(active_first_year, 0) is not null and nullif(active_last_year, 0) is not null then ' between ' || active_first_year || ' and ' || active_last_year when nullif(active_first_year, 0) is not null then ' since ' || active_first_year else '' end || '.' as bio from artist")
 def generated_bio(spark, d):
     return ops.generated_bio(table(spark, d, "artist"))
 
@@ -109,3 +109,10 @@ def neighbors_with_names(spark, d):
     a = table(spark, d, "artist")
     x, y = a.select(F.col("id").alias("source_id"), F.col("canonical_name").alias("artist")), a.select(F.col("id").alias("target_id"), F.col("canonical_name").alias("neighbor"))
     return r.join(x, "source_id").join(y, "target_id").select("artist", "neighbor", F.round("weight", 6).alias("weight"), "rank")
+
+
+@query("faceted_pair_counts", f"""with {ed.TRANSITIONS_SQL}, pr as (select distinct source_id as x, target_id as y from t where source_id % 20 = 0 and source_id <> target_id),
+m as (select a.artist_id as f, b.artist_id as s, count(*) as n from play a join play b on b.show_id = a.show_id and b.sequence = a.sequence + 1 where a.month = 3 group by 1, 2)
+select x, y, (coalesce((select sum(n) from m where f = x and s = y), 0) + coalesce((select sum(n) from m where f = y and s = x), 0))::bigint as n from pr""")
+def faceted_pair_counts(spark, d):
+    return ops.facet_pair_count(table(spark, d, "play"), ed.center_pairs(spark, d), month=3)

@@ -77,10 +77,35 @@ def narrative_input(pairs: DataFrame, nodes: DataFrame, relations: DataFrame, sh
     return j.withColumn("enough", (F.col("relations") > 0) | (F.coalesce("aa", F.lit(0.0)) >= 0.8))
 
 
-def generated_bio(nodes: DataFrame) -> DataFrame:
-    """API-14, CND-03: a sentence made of what is known, for nodes without a text of their own."""
-    years = F.when(F.col("active_first_year").isNotNull() & F.col("active_last_year").isNotNull(), F.format_string(", active %d to %d", "active_first_year", "active_last_year")).otherwise("")
-    return nodes.select("id", F.concat("canonical_name", F.lit(": "), F.coalesce("genre", F.lit("artist")), years, F.format_string(", %d plays", "total_plays")).alias("bio"))
+def generated_bio(nodes: DataFrame, station: str = "the station") -> DataFrame:
+    """API-14, CND-03: a sentence made of what is known, for nodes without a text of their own: genre, plays, djs and the years,
+    'between' both or 'since' the first; a year 0 counts as unknown."""
+    first, last = F.nullif("active_first_year", F.lit(0)), F.nullif("active_last_year", F.lit(0))
+    years = F.when(first.isNotNull() & last.isNotNull(), F.concat(F.lit(" between "), first.cast("string"), F.lit(" and "), last.cast("string")))
+    years = years.when(first.isNotNull(), F.concat(F.lit(" since "), first.cast("string"))).otherwise("")
+    genre = F.coalesce(F.nullif("genre", F.lit("")), F.lit("Unknown genre"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    return nodes.select("id", F.concat(genre, F.lit(" artist played "), number("total_plays"), F.lit(" times by "), number("dj_count"), F.lit(f" DJs on {station}"), years, F.lit(".")).alias("bio"))
+
+
+def facet_pair_count(plays: DataFrame, pairs: DataFrame, month: int | None = None, dj_id: int | None = None) -> DataFrame:
+    """GRF-19: x, y, n: how often one of a pair was played right after the other (the next sequence number of the show), in
+    either order, the first of the two in ``month`` and by ``dj_id``; at least one of them must be given."""
+    if month is None and dj_id is None:
+        raise ValueError("a month or a dj")
+    first = plays
+    for c, v in (("month", month), ("dj_id", dj_id)):
+        if v is not None:
+            first = first.where(F.col(c) == v)
+    p1 = first.select("show_id", (F.col("sequence") + 1).alias("sequence"), F.col("artist_id").alias("_a"))
+    p2 = plays.select("show_id", "sequence", F.col("artist_id").alias("_b"))
+    met = p1.join(p2, ["show_id", "sequence"]).groupBy(F.least("_a", "_b").alias("_lo"), F.greatest("_a", "_b").alias("_hi")).agg(
+        F.count("*").alias("n")
+    )
+    # a pair of one node with itself counts for both orders
+    met = met.withColumn("n", F.when(F.col("_lo") == F.col("_hi"), 2 * F.col("n")).otherwise(F.col("n")))
+    asked = pairs.select("x", "y").distinct().withColumns({"_lo": F.least("x", "y"), "_hi": F.greatest("x", "y")})
+    return asked.join(met, ["_lo", "_hi"], "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def best_text(candidates: list[str]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -178,3 +179,40 @@ def identity_import(identities: DataFrame) -> DataFrame:
     """SRC-13: identities that have been reconciled, the last per name (by status, then id)."""
     w = Window.partitionBy("library_name").orderBy(F.desc("status"), F.desc_nulls_last("external_id"))
     return identities.where("status <> 'unreconciled'").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def merge_identities(artists: DataFrame, entities: DataFrame, identities: DataFrame, artist_ids: list[str], entity_ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """SRC-13: (artists, entities) after reconciled ``identities`` (library_name, status, ids) came in: a non-null new id
+    replaces the artist's, a null one leaves it; the artist takes the identity's status. An identity with any of ``entity_ids``
+    goes to the artist's entity in the same way; an artist without an entity gets a new one, numbered after the largest in
+    name order. Names are matched exactly; artists without an identity stay as they are."""
+    from playgraph.sources.sinks import assign_ids
+
+    i = identities.select(F.col("library_name").alias("canonical_name"), F.col("status").alias("_status"), *[F.col(c).alias(f"_{c}") for c in [*artist_ids, *entity_ids]])
+    j = artists.join(i, "canonical_name", "left")
+    j = j.withColumns({c: F.coalesce(f"_{c}", c) for c in artist_ids}).withColumn("status", F.coalesce("_status", "status"))
+    some = F.coalesce(*[F.col(f"_{c}").cast("string") for c in entity_ids]).isNotNull()
+    fresh = j.where(some & F.col("entity_id").isNull()).select(F.col("canonical_name").alias("name"), *[F.col(f"_{c}").alias(c) for c in entity_ids])
+    numbered = assign_ids(fresh, "name", entities.select("id", "name")).join(fresh, "name")
+    new = numbered.join(entities.select("id"), "id", "left_anti").select("id", "name", *entity_ids)
+    j = j.join(new.select(F.col("id").alias("_new"), F.col("name").alias("canonical_name")), "canonical_name", "left").withColumn("entity_id", F.coalesce("entity_id", "_new"))
+    # several artists of one entity: the first by name that brings an id
+    came = j.where(some & F.col("_new").isNull()).groupBy(F.col("entity_id").alias("id")).agg(*[F.min_by(f"_{c}", F.when(F.col(f"_{c}").isNotNull(), F.col("canonical_name"))).alias(f"_{c}") for c in entity_ids])
+    kept = entities.join(came, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in entity_ids}).select("id", "name", *entity_ids)
+    return j.select(*artists.columns), kept.unionByName(new)
+
+
+def cached(spark: SparkSession, path: str, build, root: str | None = None) -> DataFrame:
+    """SRC-16: what ``build()`` makes of the file or folder at ``path``, kept as Parquet in the shared folder under its path,
+    size and time of change: as long as these stay, later runs read the kept table; another size or time builds anew. A
+    broken-off build leaves no success mark and counts for nothing."""
+    from playgraph.session import shared_dir
+
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size, at = fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+    key = hashlib.sha256(f"{p.toString()}|{size}|{at}".encode()).hexdigest()[:32]
+    to = f"{root or shared_dir(spark)}/kept-{key}"
+    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{to}/_SUCCESS")):
+        build().write.mode("overwrite").parquet(to)
+    return spark.read.parquet(to)

@@ -63,7 +63,7 @@ def write_tables(tables: dict[str, DataFrame], path: str, partition_by: dict[str
 
 
 class Publisher:
-    """SNK-08: versions of a set of tables in a folder; readers follow a pointer that moves only after all is written. A failed
+    """SNK-08: versions of a set of tables in a folder; readers follow the newest pointer file, made only after all is written. A failed
     build leaves the old version in place; ``clean`` removes versions that nothing points to."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -72,11 +72,16 @@ class Publisher:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        """Names of the pointers, oldest first: CURRENT-<number>-<version>."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted((n for n in names if n.startswith("CURRENT-")), key=lambda n: (int(n.split("-")[1]), n))
+
     def current(self) -> str | None:
-        p = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()["value"]
+        found = self._pointers()
+        return found[-1].split("-", 2)[2] if found else None
 
     def publish(self, tables: dict[str, DataFrame], gate=None) -> str:
         version = f"v-{uuid.uuid4().hex[:12]}"
@@ -88,13 +93,12 @@ class Publisher:
         except Exception:
             self._fs.delete(self._path(at), True)
             raise
-        tmp = self._path(f"{self.root}/.CURRENT-{version}")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        target = self._path(f"{self.root}/CURRENT")
-        self._fs.delete(target, False)
-        self._fs.rename(tmp, target)
+        found = self._pointers()
+        number = int(found[-1].split("-")[1]) + 1 if found else 1
+        # one new file is one step: a reader sees the old pointer or the new one, never none
+        self._fs.create(self._path(f"{self.root}/CURRENT-{number}-{version}"), False).close()
+        for name in found:
+            self._fs.delete(self._path(f"{self.root}/{name}"), False)
         return version
 
     def read(self, name: str) -> DataFrame:
@@ -111,10 +115,11 @@ class Publisher:
 
 
 def validation_gate(counts: DataFrame, baseline: DataFrame, frac: float = 0.5, min_rows: dict[str, int] | None = None) -> DataFrame:
-    """SNK-09: per table of the baseline: rows now, the floor max(1, int(baseline * frac)) or the stated minimum if larger, and
-    whether it holds; a missing table has 0 rows."""
+    """SNK-09: per table that had rows in the baseline, or for which a minimum is stated: rows now, the floor max(1,
+    int(baseline * frac)) or the stated minimum if larger, and whether it holds; a missing table has 0 rows."""
     least = F.create_map(*[F.lit(x) for kv in (min_rows or {"": 0}).items() for x in kv])[F.col("table")]
     j = baseline.select("table", F.col("rows").alias("seed")).join(counts.select("table", "rows"), "table", "left").na.fill(0, ["rows"])
+    j = j.where((F.col("seed") > 0) | (F.coalesce(least, F.lit(0)) > 0))
     floor = F.greatest(F.lit(1), F.floor(F.col("seed") * frac), F.coalesce(least, F.lit(0))).cast("long")
     return j.withColumn("floor", floor).withColumn("ok", F.col("rows") >= floor)
 

@@ -90,6 +90,7 @@ def test_two_hop_goes_through_hubs(spark, tmp_path, monkeypatch):
     # every pair of 65 nodes meets in four hubs of degree 65: together 0.96, nothing without them
     links = [(h, n) for h in (901, 902, 903, 904) for n in range(65)] + [(0, 1)]
     spark.createDataFrame([(a, b, 2, 1.0) for a, b in links], "source_id long, target_id long, raw_count long, pmi double").write.parquet(f"{tmp_path}/dj_transition.parquet")
+    spark.createDataFrame([(i, f"n{i}") for i in {x for e in links for x in e}], "id long, canonical_name string").write.parquet(f"{tmp_path}/artist.parquet")
     got = rows(QUERIES["two_hop_no_edge"](spark, str(tmp_path)), "x", "y", "aa", "middles")
     hubs = [(901, 902), (901, 903), (901, 904), (902, 903), (902, 904), (903, 904)]
     want = [(x, y, round(4 / log(65), 6), 4) for x, y in combinations(range(65), 2) if (x, y) != (0, 1)] + [(x, y, round(63 / log(4) + 2 / log(5), 6), 65) for x, y in hubs]
