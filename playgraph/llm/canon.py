@@ -18,6 +18,12 @@ from playgraph.session import cut
 SHARD_ROWS = 20_000
 #: Names searched at once: a tree node costs one array pass for all of them.
 BATCH = 40_000
+#: Names of one task, so that tasks do not grow with the input.
+TASK_NAMES = 20_000
+#: Letters from which on a string's forms with a letter left out would be too large.
+LONG = 200
+#: Places of the table of letter pairs, by hash.
+PAIRS = 256
 #: Least share of a reference name that a cut-off one must have.
 CUT_SHARE = 0.55
 
@@ -97,6 +103,39 @@ class BkTree:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none)
 
 
+def left_out(s: str) -> set[str]:
+    """``s`` and its forms with one letter left out."""
+    return {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
+
+
+def pair_counts(strings: list[str]) -> np.ndarray:
+    """How often each pair of neighbouring letters stands in each string, pairs by their place in a hashed table."""
+    out = np.zeros((len(strings), PAIRS), np.float32)
+    at = [(i, (ord(x) * 31 + ord(y)) % PAIRS) for i, s in enumerate(strings) for x, y in zip(s, s[1:])]
+    if at:
+        i, j = np.array(at).T
+        np.add.at(out, (i, j), 1)
+    return out
+
+
+def letter_counts(strings: list[str]) -> np.ndarray:
+    """How often each letter stands in each string, letters by their place in a table of 32."""
+    out = np.zeros((len(strings), 32), np.int32)
+    at = [(i, ord(x) % 32) for i, s in enumerate(strings) for x in s]
+    if at:
+        i, j = np.array(at).T
+        np.add.at(out, (i, j), 1)
+    return out
+
+
+def undone(text: str) -> list[str]:
+    """What the misreadings that can be undone make of a name. UTF-8 proves itself; as any bytes can be undone as another
+    encoding, other readings count only if they look like a name: letters of one script, no capital after a small letter."""
+    if text.isascii():
+        return []
+    return list(dict.fromkeys(t for chain, t in invertible(text).items() if chain.startswith("utf8") or nm.likely(t)))
+
+
 class Matcher:
     """The reference entries of one shard in three trees: full names, names with a word cut to 1 to 3 letters, and cut-off names."""
 
@@ -108,7 +147,8 @@ class Matcher:
         # names as a lossy misreading leaves them
         self.lost = {f: i for i, n in reversed(entries) for k in LOSSY if (f := lossy_form(n, k)) != n}
         self.trees: dict[str, BkTree] = {}
-        self.bags: dict[str, np.ndarray] = {}
+        self.short: dict[str, tuple[set[str], set[int]]] = {}
+        self.pairs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.owners: dict[str, list[list[int]]] = {}
         forms: dict[str, dict[str, list[int]]] = {"full": {}, "initial": {}, "cut": {}}
         for i, (w, _) in self.core.items():
@@ -161,36 +201,47 @@ class Matcher:
                 out.append((kind, joined, cost + 0.4 * bool(k) - 0.9 * lost + (1.0 if kind == "initial" else 0.0), o, opened, r + lost, k))
         return out
 
-    def _bags(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros((len(strings), 32), np.int8)
-        for i, s in enumerate(strings):
-            for c in s[:120]:
-                out[i, ord(c) % 32] += 1
+    def _one_off(self, kind: str, strings: list[str]) -> np.ndarray:
+        """Whether a string shares a form with up to one letter left out with any string of the tree: strings within one edit
+        do, so nothing is lost. Strings of LONG letters and more are told by their lengths alone."""
+        if kind not in self.short:
+            held = self.trees[kind].strings
+            self.short[kind] = ({f for s in held if len(s) <= LONG for f in left_out(s)}, {len(s) + d for s in held if len(s) >= LONG for d in (-1, 0, 1)})
+        known, sizes = self.short[kind]
+        return np.array([len(s) in sizes or (len(s) <= LONG and not known.isdisjoint(left_out(s))) for s in strings], bool)
+
+    def _near(self, kind: str, strings: list[str], radius: np.ndarray) -> np.ndarray:
+        """Whether any string of the tree has enough pairs of neighbouring letters, and letters, in common. An edit takes at most
+        two of the longer string's pairs away, the product of two pair counts is never less than the pairs in common, and an
+        edit changes two letter counts by one at most, so neither bound loses anything."""
+        if kind not in self.pairs:
+            held = self.trees[kind].strings
+            self.pairs[kind] = (pair_counts(held), np.array([len(s) for s in held]), letter_counts(held))
+        ref, size, letters = self.pairs[kind]
+        out = np.zeros(len(strings), bool)
+        for a in range(0, len(strings), 1024):
+            part, r = strings[a : a + 1024], radius[a : a + 1024]
+            n = np.array([len(s) for s in part])
+            need = np.maximum(n[:, None], size[None, :]) - 1 - 2 * r[:, None]
+            q, k = np.nonzero((pair_counts(part) @ ref.T >= need) & (np.abs(n[:, None] - size[None, :]) <= r[:, None]))
+            own = letter_counts(part)
+            for b in range(0, len(q), 65536):
+                x, y = q[b : b + 65536], k[b : b + 65536]
+                near = np.abs(own[x] - letters[y]).sum(axis=1) <= 2 * r[x]
+                out[a + x[near]] = True
         return out
 
-    def _near_bag(self, kind: str, strings: list[str], radius: np.ndarray) -> np.ndarray:
-        """Whether any string of the tree has letter counts within the radius. Edits change counts by at most two each, so this
-        bound loses nothing; names longer than the counts hold are always kept."""
-        if kind not in self.bags:
-            self.bags[kind] = self._bags(self.trees[kind].strings)
-        ref, out = self.bags[kind], np.zeros(len(strings), bool)
-        for a in range(0, len(strings), 256):
-            q = self._bags(strings[a : a + 256])
-            diff = np.abs(q[:, None, :] - ref[None, :, :]).sum(axis=2, dtype=np.int16) if len(ref) else np.full((len(q), 1), 999)
-            out[a : a + 256] = diff.min(axis=1) <= 2 * radius[a : a + 256]
-        return out | np.array([len(s) > 120 for s in strings], bool)
-
     def _search(self, asks: list[tuple], best: dict[int, dict[int, float]]) -> None:
         """asks: (name number, kind, joined, cost, words, opener?, radius). Equal strings are found directly, the others in
         the tree; a string asked by many is searched once."""
         for kind, tree in self.trees.items():
             ask = [a for a in asks if a[1] == kind]
             keys = list(dict.fromkeys((a[2], a[6]) for a in ask if a[6]))
-            if keys and kind == "full":
-                # all orders of a name have the same letters
-                bags = list(dict.fromkeys(("".join(sorted(x)), r) for x, r in keys))
-                ok = dict(zip(bags, self._near_bag(kind, [b[0] for b in bags], np.array([b[1] for b in bags]))))
-                keys = [k for k in keys if ok["".join(sorted(k[0])), k[1]]]
+            if keys and len(tree.strings):
+                # bounds that lose nothing leave few strings to the tree
+                one, more = [k for k in keys if k[1] == 1], [k for k in keys if k[1] > 1]
+                keys = [k for k, ok in zip(one, self._one_off(kind, [k[0] for k in one])) if ok]
+                keys += [k for k, ok in zip(more, self._near(kind, [k[0] for k in more], np.array([k[1] for k in more], np.int64))) if ok]
             qi, si, d = tree.search([k[0] for k in keys], np.array([k[1] for k in keys], np.int64))
             hits: dict[tuple[str, int], list[tuple[int, int]]] = {}
             for a, s, x in zip(qi, si, d):
@@ -212,7 +263,7 @@ class Matcher:
         """name, entry, score, tie: the best entry of each name that has any.
 
         Cheap searches first; a name goes on only while a dearer search could still find a better entry: equal forms in any
-        order, then one edit in the order typed, then the full radius, all orders and the misreadings, then cut-off names."""
+        order, the same of the misreadings undone, one edit in the order typed, the full radius of all, then cut-off names."""
         best: dict[int, dict[int, float]] = {}
         forms = {}
         for q, name in enumerate(typed):
@@ -221,25 +272,32 @@ class Matcher:
             if (i := self.lost.get(name.strip())) is not None:
                 best.setdefault(q, {})[i] = 0.1
             forms[q] = self._forms(name, 0.0)
+        readings = {q: [f] for q, f in forms.items()}
 
         def left(most: float) -> list[int]:
             return [q for q in forms if min(best.get(q, {-1: 1e9}).values()) > most]
 
         self._search([(q, *f[:5], 0) for q in left(0.0) for f in forms[q]], best)
+        asks = []
+        for q in left(0.3):
+            for text in undone(typed[q]):
+                if self.compilation and nm.COMPILATION.match(nm.fold(text)):
+                    best.setdefault(q, {})[self.compilation[0]] = 0.3
+                if (i := self.lost.get(text.strip())) is not None:
+                    best.setdefault(q, {})[i] = 0.4
+                readings[q].append(self._forms(text, 0.3))
+                asks += [(q, *f[:5], 0) for f in readings[q][-1]]
+        self._search(asks, best)
         self._search([(q, *f[:5], 1) for q in left(0.6) for f in forms[q] if f[0] == "full" and f[6] == 0 and f[5] >= 1 and nm.LOST not in f[1]], best)
-        hard = left(1.3)
-        asks = [(q, *f[:5], f[5]) for q in hard for f in forms[q]]
-        readings = {q: [forms[q]] for q in hard}
-        for q in hard:
-            if not typed[q].isascii():
-                for text in dict.fromkeys(invertible(typed[q]).values()):
-                    if self.compilation and nm.COMPILATION.match(nm.fold(text)):
-                        best.setdefault(q, {})[self.compilation[0]] = 0.3
-                    if (i := self.lost.get(text.strip())) is not None:
-                        best.setdefault(q, {})[i] = 0.4
-                    undone = self._forms(text, 0.3)
-                    readings[q].append(undone)
-                    asks += [(q, *f[:5], f[5]) for f in undone]
+        # a form is asked in its full radius as long as an edit more than those already looked for could still win or tie
+        asks = []
+        for q in left(0.1):
+            worst = min(best.get(q, {-1: 1e9}).values())
+            for n, reading in enumerate(readings[q]):
+                for f in reading:
+                    done = f[0] == "full" and f[6] == n == 0 and f[5] >= 1 and nm.LOST not in f[1]
+                    if f[5] > done and worst >= 1 + done + f[2]:
+                        asks.append((q, *f[:5], f[5]))
         self._search(asks, best)
         asks = []
         for q in left(1.5):
@@ -294,13 +352,15 @@ def map_to_list(typed: DataFrame, name_col: str, reference: DataFrame, ref_id: s
     if n_ref == 0:
         return distinct.select("name", F.lit(-1).cast("long").alias("entry"), F.lit(None).cast("double").alias("score"))
     habits = list_habits(ref, n_ref)
-    parts = spark.sparkContext.defaultParallelism
+    distinct = cut(distinct)
+    parts = max(spark.sparkContext.defaultParallelism, -(-distinct.count() // TASK_NAMES))
     if n_ref <= SHARD_ROWS:
         entries = sorted((r["entry"], r["ref"]) for r in ref.collect())
-        shared = spark.sparkContext.broadcast((entries, habits))
+        # the trees are built once and sent; a worker unpacks them once
+        shared = spark.sparkContext.broadcast(Matcher(entries, habits))
 
         def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m, held = Matcher(*shared.value), []
+            m, held = shared.value, []
             for f in frames:
                 held += f["name"].tolist()
                 if len(held) >= BATCH:

@@ -23,6 +23,21 @@ _WORD = re.compile(r"\w+")
 _PLAIN = str.maketrans(PLAIN_LETTERS)
 
 
+_CASED = re.compile(r"[^\W\d_]+")
+
+
+def likely(text: str) -> bool:
+    """Whether a misreading undone looks like a name: words of letters in one script, none with a capital after a small
+    letter."""
+    if any(c > "\x7f" and unicodedata.category(c)[0] not in "LM" for c in text):
+        return False
+    for w in _CASED.findall(text):
+        scripts = {unicodedata.name(c, "?").split(" ", 1)[0] for c in w}
+        if len({"CJK" if x in ("HIRAGANA", "KATAKANA") else x for x in scripts}) > 1 or (w != w.lower() and w[1:] != w[1:].lower() and w != w.upper()):
+            return False
+    return True
+
+
 def fold(text: str) -> str:
     """Case, accents and width folded; marks stay."""
     if text.isascii():
