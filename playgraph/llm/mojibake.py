@@ -8,11 +8,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from playgraph.session import cut
 
@@ -30,6 +30,10 @@ BEAM, SWAP_BEAM = 18.0, 10.0
 #: A word seen this often counts half by its count, half by its characters.
 RARE = 3.0
 USUAL = 64
+#: A value all of whose records have one reading with this posterior leaves the rounds; it goes on counting as it then stands.
+SETTLED = 0.999
+#: Found values that are sent to every task for the last join; more of them are joined by a shuffle.
+BROADCAST_VALUES = 200_000
 #: Nats off a reading that holds what no clean text does: U+FFFD or control characters of the high range.
 NEVER = re.compile("[\x80-\x9f\ufffd]")
 NEVER_COST = 40.0
@@ -332,19 +336,24 @@ def word_parts(text: str) -> list[tuple[int, int, bool, str, str, str]]:
     return [(i, *w) for i, t in enumerate(x for x in text.split(" ") if x) for w in _token_words(t)]
 
 
-def own_words(strong: bool, r, p) -> dict[int, float]:
+def own_words(strong: bool, chains, texts, p) -> dict[int, float]:
     """What a value gives to the word counts: its readings' words by posterior. Words that only stand in the garbled look of an
     undoable text don't support it."""
     out: dict[int, float] = {}
-    for x, q in zip(r, p):
-        bare = x["chain"] == CLEAN and strong
-        for _, h, whole, a, core, b in word_parts(x["text"]):
+    for chain, text, q in zip(chains, texts, p):
+        bare = strong and chain == CLEAN
+        for _, h, whole, a, core, b in word_parts(text):
             if not bare or (a + core + b if whole else core).isascii():
                 out[h] = out.get(h, 0) + q
     return out
 
 
-def likelihood(chain: str, text: str, m: CharModel, known: dict[int, float], mine: dict[int, float], mass: float) -> float:
+def standing_cost(chain: str, text: str) -> float:
+    """Nats off a reading whatever the corpus: for what no clean text holds, words of several scripts, a part given up."""
+    return NEVER_COST * bool(NEVER.search(text)) + MIXED_COST * mixed_words(text) + GIVEN_UP_COST * (chain == "lost:unknown")
+
+
+def likelihood(chain: str, text: str, standing: float, m: CharModel, known: dict[int, float], mine: dict[int, float], mass: float) -> float:
     """Log likelihood of a reading: each token by the better of word counts and characters. A rare word leans on its
     characters too: else two rare forms, one garbled from the other, would support each other alike."""
     best: dict[int, float] = {}
@@ -353,10 +362,50 @@ def likelihood(chain: str, text: str, m: CharModel, known: dict[int, float], min
         floor, off = m.word(whole, a, core, b)
         others = max(known.get(h, 0.0) - mine.get(h, 0.0), 1e-9)
         trust = others / (others + RARE)
-        backed |= others >= 0.5 and not (core.isascii() and a.isascii() and b.isascii())
+        backed = backed or (others >= 0.5 and not (core.isascii() and a.isascii() and b.isascii()))
         best[i] = max(best.get(i, -1e9), floor, trust * (math.log(others / mass) + off) + (1 - trust) * floor)
     alone = 0.0 if backed or chain == CLEAN or chain.startswith(("utf8", "lost")) else UNBACKED_COST
-    return sum(best.values()) - alone - NEVER_COST * bool(NEVER.search(text)) - MIXED_COST * mixed_words(text) - GIVEN_UP_COST * (chain == "lost:unknown")
+    return sum(best.values()) - alone - standing
+
+
+_ASCII_CLASSES = sorted({char_class(chr(i)) for i in range(128)})
+_ASCII_CLASS = np.array([_ASCII_CLASSES.index(char_class(chr(i))) for i in range(128)])
+
+
+def tally(texts, weights) -> pd.DataFrame:
+    """Class pairs (t = p) and characters (t = c) of texts by weight. A long value counts as much as one of USUAL characters, or
+    it would set the model by itself. ASCII texts are counted in arrays."""
+    pairs: dict[tuple[str, str], float] = {}
+    chars: dict[str, float] = {}
+    plain, plain_w = [], []
+    for t, p in zip(texts, weights):
+        p = p * min(1.0, USUAL / len(t)) if t else p
+        if t.isascii():
+            plain.append(t)
+            plain_w.append(p)
+            continue
+        before = "_"
+        for c in t + " ":
+            k = char_class(c)
+            pairs[before, k] = pairs.get((before, k), 0) + p
+            chars[c] = chars.get(c, 0) + p
+            before = k
+    if plain:
+        # every text ends with a blank, the class before the next one's first character
+        codes = np.frombuffer(" ".join([*plain, ""]).encode(), np.uint8)
+        w = np.repeat(np.array(plain_w, float), [len(t) + 1 for t in plain])
+        kind = _ASCII_CLASS[codes]
+        before = np.r_[_ASCII_CLASSES.index("_"), kind[:-1]]
+        n = len(_ASCII_CLASSES)
+        for i, x in enumerate(np.bincount(before * n + kind, w, n * n)):
+            if x:
+                key = (_ASCII_CLASSES[i // n], _ASCII_CLASSES[i % n])
+                pairs[key] = pairs.get(key, 0) + x
+        for i, x in enumerate(np.bincount(codes, w, 128)):
+            if x:
+                chars[chr(i)] = chars.get(chr(i), 0) + x
+    data = [("p", a, b, float(n)) for (a, b), n in pairs.items()] + [("c", a, "", float(n)) for a, n in chars.items()]
+    return pd.DataFrame(data, columns=["t", "a", "b", "n"])
 
 
 def readings(value: str, losses) -> list[tuple[str, str, bool]]:
@@ -392,15 +441,16 @@ def readings(value: str, losses) -> list[tuple[str, str, bool]]:
 
 def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], rounds: int = 3, threshold: float = 0.5) -> DataFrame:
     """entry_id, field_name, value, chain, repaired, readable, posterior: every value of ``fields`` that a wrong decoding has
-    changed, with the text before it where that can be had (``readable``), else the best reading.
+    changed, with the text before it where that can be had (``readable``), else null.
 
     Each distinct value is either clean or came out of one latent chain of misreadings; the chance of a chain is learned per
     (source, field), so many weak cases support one another. A reading's likelihood comes from word counts of the whole corpus
     (a value's own count excepted) and, for unknown words, from a character model. EM: the chances of the chains, the word
-    counts and the character model are re-estimated from the posteriors ``rounds`` times; then every record is judged and
-    repaired by the posterior. Lost characters ('?', U+FFFD, dropped bytes) are found by an equi-join of the corpus's own
-    words, as each loss would leave them, with the words at hand. All work is on distinct values; words and candidates meet by
-    equi-joins; only the class and character tables (bounded by Unicode) reach the driver.
+    counts and the character model are re-estimated from the posteriors ``rounds`` times, a value leaving the rounds once its
+    posterior is settled; then every record is judged and repaired by the posterior. Lost characters ('?', U+FFFD, dropped
+    bytes) are found by an equi-join of the corpus's own words, as each loss would leave them, with the words at hand. All work
+    is on distinct values; words and candidates meet by equi-joins; only the class and character tables (bounded by Unicode)
+    reach the driver. Readings far behind a value's best by characters alone (BEAM, SWAP_BEAM nats) are not followed.
 
     Defined cases: null and empty values, and plain ASCII ones without '?', are clean; a null source is a source of its own;
     repeated rows all come out; a value of any length is judged whole; a null id gives a row with a null id; an empty table
@@ -408,26 +458,26 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     spark = df.sparkSession
     stacked = df.select(
         F.col(id_col).alias("entry_id"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).cast("string").alias("value")) for c in fields])).alias("f"),
-    ).select("entry_id", "source", "f.field_name", "f.value")
+        F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("src"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("string").alias("value")) for i, c in enumerate(fields)])).alias("x"),
+    ).select("entry_id", "src", "x.f", "x.value")
     stacked = stacked.where("value <> ''")
     odd = F.col("value").rlike(r"[^\x00-\x7f]|\?")
-    # distinct values of a field; sources matter to the chances of chains only
-    counted = cut(stacked.select("field_name", "value").distinct())
+    # distinct values of a source and field: all that is counted comes from these
+    kinds = cut(stacked.select("src", "f", "value").distinct())
+    plain = kinds.where(~odd).select("f", "value").distinct()
     plain_words = cut(
-        counted.where(~odd).select(F.explode(F.split(F.lower("value"), " ")).alias("t"))
+        plain.select(F.explode(F.split(F.lower("value"), " ")).alias("t"))
         .select("t", F.regexp_extract("t", r"^[^\p{L}\p{N}_]*(.*?)[^\p{L}\p{N}_]*$", 1).alias("core"))
         .select(F.explode(F.when(F.col("core") == F.col("t"), F.array("core")).otherwise(F.array(F.col("core"), F.concat("t", F.lit("\n"))))).alias("word")).where("trim(word) <> ''")
         .groupBy(F.xxhash64("word").alias("word")).agg(F.count("*").cast("double").alias("w"))
     )
-    odd_values = cut(counted.where(odd).select("value").distinct().withColumn("vid", F.monotonically_increasing_id()))
+    odd_values = cut(kinds.where(odd).select("value").distinct().withColumn("vid", F.monotonically_increasing_id()))
     if odd_values.isEmpty():
         return spark.createDataFrame([], "entry_id long, field_name string, value string, chain string, repaired string, readable boolean, posterior double")
-    seen = cut(stacked.where(odd).select("source", "field_name", "value").distinct().join(odd_values, "value").select("source", "field_name", "vid"))
-    # chances are shares of distinct values (of plain ones an estimate within 2 % is enough): else one frequent value could raise
-    # the chance of a chain by itself
-    plain_n = cut(stacked.where(~odd).groupBy("source", "field_name").agg(F.approx_count_distinct("value", 0.02).cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s"))
+    seen = cut(kinds.where(odd).join(odd_values, "value").select("src", "f", "vid"))
+    # chances are shares of distinct values: else one frequent value could raise the chance of a chain by itself
+    settled_n = kinds.where(~odd).groupBy("src", "f").agg(F.count("*").cast("double").alias("s")).select("src", "f", F.lit(CLEAN).alias("chain"), "s")
 
     # words as each loss would leave them; matched with the words of suspicious values
     def lost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -456,36 +506,26 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     whole = whole.groupBy("kind", "left").agg(F.max_by("word", F.struct("count", "word")).alias("word")).where("left <> word")
     found = broken.join(whole, ["kind", "left"]).groupBy("vid").agg(F.collect_list(F.struct("kind", "left", "word")).alias("losses"))  # words of one value
 
-    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """``frames``: text, p. A long value counts as much as one of USUAL characters, or it would set the model by itself."""
-        pairs: dict[tuple[str, str], float] = {}
-        chars: dict[str, float] = {}
-        for f in frames:
-            for t, p in zip(f["text"], f["p"]):
-                before, p = "_", p * min(1.0, USUAL / len(t)) if t else p
-                for c in t + " ":
-                    k = char_class(c)
-                    pairs[before, k] = pairs.get((before, k), 0) + p
-                    chars[c] = chars.get(c, 0) + p
-                    before = k
-        data = [("p", a, b, n) for (a, b), n in pairs.items()] + [("c", a, "", n) for a, n in chars.items()]
-        yield pd.DataFrame(data, columns=["t", "a", "b", "n"])
-
     def tallied(rows: DataFrame) -> pd.DataFrame:
-        """Class pairs and characters, summed over all rows: at most as many as Unicode has."""
-        return rows.mapInPandas(tally, "t string, a string, b string, n double").groupBy("t", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+        """``rows``: text, p. Class pairs and characters, summed over all rows: at most as many as Unicode has."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield tally(f["text"], f["p"])
 
-    def model_of_rows(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return rows.mapInPandas(run, "t string, a string, b string, n double").groupBy("t", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+
+    def summed(parts: list[pd.DataFrame]) -> pd.DataFrame:
         return pd.concat(parts).groupby(["t", "a", "b"], as_index=False)["n"].sum()
 
     def model_of(parts: list[pd.DataFrame]) -> tuple[dict, dict]:
-        got = model_of_rows(parts)
+        got = summed(parts)
         p, c = got[got["t"] == "p"], got[got["t"] == "c"]
         return dict(zip(zip(p["a"], p["b"]), p["n"])), dict(zip(c["a"], c["n"]))
 
-    plain_chars = tallied(counted.where(~odd).select(F.col("value").alias("text"), F.lit(1.0).alias("p")))
+    plain_chars = tallied(plain.select(F.col("value").alias("text"), F.lit(1.0).alias("p")))
     # at first every value as it stands counts for the characters
-    model = model_of([plain_chars, tallied(counted.where(odd).select(F.col("value").alias("text"), F.lit(0.2).alias("p")))])
+    model = model_of([plain_chars, tallied(kinds.where(odd).select("f", "value").distinct().select(F.col("value").alias("text"), F.lit(0.2).alias("p")))])
 
     def first(frames: Iterator[pd.DataFrame], shared=spark.sparkContext.broadcast(model)) -> Iterator[pd.DataFrame]:
         """The readings within the beam, and where to start: a text that UTF-8 rules allow to be undone, or one with U+FFFD,
@@ -495,78 +535,111 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
             rows = []
             for v, x, losses in zip(f["vid"], f["value"], f["losses"]):
                 r = readings(x, losses)
-                strong = [(c.startswith("utf8>") or "replacement" in c) and not mixed_words(t) for c, t, _ in r]
+                mixed = [mixed_words(t) for _, t, _ in r]
+                strong = [(c.startswith("utf8>") or "replacement" in c) and not k for (c, _, _), k in zip(r, mixed)]
                 if len(r) > 1:
-                    score = [m.text(t) - NEVER_COST * bool(NEVER.search(t)) - MIXED_COST * mixed_words(t) for _, t, _ in r]
-                    keep = [i for i, (c, _, _) in enumerate(r) if c == CLEAN or strong[i] or score[i] > max(score) - (BEAM if c.startswith(("utf8", "lost")) else SWAP_BEAM)]
+                    score = [m.text(t) - NEVER_COST * bool(NEVER.search(t)) - MIXED_COST * k for (_, t, _), k in zip(r, mixed)]
+                    top = max(score)
+                    keep = [i for i, (c, _, _) in enumerate(r) if c == CLEAN or strong[i] or score[i] > top - (BEAM if c.startswith(("utf8", "lost")) else SWAP_BEAM)]
                     r, strong = [r[i] for i in keep], [strong[i] for i in keep]
                 n, k = len(r), sum(strong)
                 if k:
                     p = [0.99 / k if y else 0.01 / (n - k) for y in strong]
                 else:
                     p = [0.95 if c == CLEAN else 0.05 / (n - 1) for c, _, _ in r] if n > 1 else [1.0]
-                hashes = list({w[1] for _, t, _ in r for w in word_parts(t)})
-                rows.append((v, bool(k), [{"chain": c, "text": t, "ok": ok} for c, t, ok in r], p, hashes))
-            yield pd.DataFrame(rows, columns=["vid", "strong", "r", "p", "hashes"])
+                hashes = list({w[1] for _, t, _ in r for w in word_parts(t)}) if n > 1 else []
+                rows.append((v, bool(k), [c for c, _, _ in r], [t for _, t, _ in r], [ok for _, _, ok in r], [standing_cost(c, t) for c, t, _ in r], p, hashes))
+            yield pd.DataFrame(rows, columns=["vid", "strong", "chains", "texts", "oks", "standing", "p", "hashes"])
 
-    parts = spark.sparkContext.defaultParallelism * 2
-    cand = cut(odd_values.join(found, "vid", "left").repartition(parts, "vid").mapInPandas(first, "vid long, strong boolean, r array<struct<chain string, text string, ok boolean>>, p array<double>, hashes array<long>"))
+    parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shape = "vid long, strong boolean, chains array<string>, texts array<string>, oks array<boolean>, standing array<double>, p array<double>, hashes array<long>"
+    cand = cut(odd_values.join(found, "vid", "left").repartition(parts, "vid").mapInPandas(first, shape))
 
-    # a value with one reading is clean: its words and characters count like plain ones, and it needs no more rounds
-    settled = cand.where("size(r) = 1")
-    open_ = cand.where("size(r) > 1")
+    def support(rows: DataFrame) -> DataFrame:
+        """Word counts of rows of chains, texts and p, summed within each batch."""
 
-    def support(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got: dict[int, float] = {}
-            for strong, r, p in zip(f["strong"], f["r"], f["p"]):
-                for h, n in own_words(strong, r, p).items():
-                    got[h] = got.get(h, 0) + n
-            yield pd.DataFrame({"word": list(got), "w": list(got.values())}).astype({"word": "int64", "w": "float64"})
-
-    plain_words = cut(plain_words.unionByName(settled.mapInPandas(support, "word long, w double")).groupBy("word").agg(F.sum("w").alias("w")))
-    plain_chars = model_of_rows([plain_chars, tallied(settled.select(F.col("r")[0]["text"].alias("text"), F.lit(1.0).alias("p")))])
-    plain_n = cut(plain_n.unionByName(seen.join(settled.select("vid"), "vid", "left_semi").groupBy("source", "field_name").agg(F.count("*").cast("double").alias("s")).select("source", "field_name", F.lit(CLEAN).alias("chain"), "s")))
-    cand = open_
-    post = None
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                got: dict[int, float] = {}
+                for strong, c, t, p in zip(f["strong"], f["chains"], f["texts"], f["p"]):
+                    for h, n in own_words(strong, c, t, p).items():
+                        got[h] = got.get(h, 0) + n
+                yield pd.DataFrame({"word": list(got), "w": list(got.values())}).astype({"word": "int64", "w": "float64"})
+
+        return rows.select("strong", "chains", "texts", "p").mapInPandas(run, "word long, w double")
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        x = rows.select(F.explode(F.arrays_zip(F.col("texts").alias("text"), F.col("p").alias("p"))).alias("x"))
+        return x.select("x.*").toDF("text", "p").where("p > 0.001")
+
+    def chances(rows: DataFrame, value: str) -> DataFrame:
+        """Summed ``value`` (an array beside ``chains``) per source, field and chain."""
+        x = rows.select("src", "f", F.explode(F.arrays_zip(F.col("chains").alias("chain"), F.col(value).alias("s"))).alias("x")).select("src", "f", "x.*").toDF("src", "f", "chain", "s")
+        return x.groupBy("src", "f", "chain").agg(F.sum("s").alias("s"))
+
+    # a value with one reading is clean: its words and characters count like plain ones, and it needs no rounds
+    alone = cand.where("size(chains) = 1")
+    words = cut(plain_words.unionByName(support(alone)).groupBy("word").agg(F.sum("w").alias("w")))
+    chars = summed([plain_chars, tallied(weighed(alone))])
+    settled_n = cut(settled_n.unionByName(chances(seen.join(alone.select("vid", "chains", "p"), "vid"), "p")).groupBy("src", "f", "chain").agg(F.sum("s").alias("s")))
+    open_ = cand.where("size(chains) > 1")
+    judged = []
     for step in range(rounds):
-        odd_words = cand.mapInPandas(support, "word long, w double")
-        counts = cut(plain_words.unionByName(odd_words).groupBy("word").agg(F.sum("w").alias("w")))
+        counts = cut(words.unionByName(support(open_)).groupBy("word").agg(F.sum("w").alias("w")))
         # the mass of all words: one number
         mass = float(counts.agg(F.sum("w").alias("s")).first()["s"] or 1.0)
-        known = cand.select("vid", F.explode("hashes").alias("word")).join(counts, "word").groupBy("vid").agg(F.collect_list(F.struct("word", "w")).alias("known"))  # words of one value
+        known = open_.select("vid", F.explode("hashes").alias("word")).join(counts, "word").groupBy("vid").agg(F.collect_list(F.struct("word", "w")).alias("k"))  # words of one value
+        known = known.select("vid", F.col("k.word").alias("kw"), F.col("k.w").alias("kn"))
 
         def judge(frames: Iterator[pd.DataFrame], mass=mass, shared=spark.sparkContext.broadcast(model)) -> Iterator[pd.DataFrame]:
             m = CharModel(*shared.value)
             for f in frames:
-                rows = []
-                for v, strong, r, p, known in zip(f["vid"], f["strong"], f["r"], f["p"], f["known"]):
-                    seen_words = {k["word"]: k["w"] for k in known} if known is not None else {}
-                    mine = own_words(strong, r, p)
-                    for x in r:
-                        rows.append((v, x["chain"], likelihood(x["chain"], x["text"], m, seen_words, mine, mass)))
-                yield pd.DataFrame(rows, columns=["vid", "chain", "ll"])
-
-        like = cand.select("vid", "strong", "r", "p").join(known, "vid", "left").mapInPandas(judge, "vid long, chain string, ll double")
-        before = cand.select("vid", F.explode(F.arrays_zip(F.col("r.chain").alias("chain"), F.col("p").alias("p"))).alias("x")).select("vid", "x.*").toDF("vid", "chain", "p")
+                out = []
+                for strong, chains, texts, standing, p, kw, kn in zip(f["strong"], f["chains"], f["texts"], f["standing"], f["p"], f["kw"], f["kn"]):
+                    seen_words = dict(zip(kw.tolist(), kn.tolist())) if kw is not None else {}
+                    mine = own_words(strong, chains, texts, p)
+                    out.append([likelihood(c, t, x, m, seen_words, mine, mass) for c, t, x in zip(chains, texts, standing)])
+                yield pd.DataFrame({"vid": f["vid"], "chains": f["chains"], "ll": out})
+
+        like = open_.select("vid", "strong", "chains", "texts", "standing", "p").join(known, "vid", "left").mapInPandas(judge, "vid long, chains array<string>, ll array<double>")
         # the chances of chains per source and field, smoothed towards those over all
-        joint = cut(seen.join(like.join(before, ["vid", "chain"]), "vid"))
-        prior = joint.groupBy("source", "field_name", "chain").agg(F.sum("p").alias("s")).unionByName(plain_n).groupBy("source", "field_name", "chain").agg(F.sum("s").alias("s"))
-        prior = prior.withColumn("a", F.sum("s").over(Window.partitionBy("chain"))).withColumn("t", F.sum("s").over(Window.partitionBy("source", "field_name")))
+        prior = settled_n.unionByName(chances(seen.join(open_.select("vid", "chains", "p"), "vid"), "p")).groupBy("src", "f", "chain").agg(F.sum("s").alias("s"))
         prior = cut(prior)
         total = float(prior.agg(F.sum("s").alias("x")).first()["x"] or 1.0)
-        prior = prior.select("source", "field_name", "chain", F.log((F.col("s") + 20 * (F.col("a") + 0.1) / total) / (F.col("t") + 20)).alias("lpi"))
-        post = joint.join(prior, ["source", "field_name", "chain"]).withColumn("l", F.col("ll") + F.col("lpi"))
-        by_v = Window.partitionBy("source", "field_name", "vid")
-        post = post.withColumn("z", F.exp(F.col("l") - F.max("l").over(by_v))).withColumn("q", F.col("z") / F.sum("z").over(by_v))
-        post = cut(post.select("source", "field_name", "vid", "chain", "q"))
-        if step + 1 < rounds:
-            mean = post.groupBy("vid", "chain").agg(F.avg("q").alias("q")).groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("chain", "q"))).alias("q"))
-            cand = cut(cand.drop("p").join(mean, "vid").withColumn("p", F.transform("r", lambda x: F.element_at("q", x["chain"]))).select("vid", "strong", "r", "p", "hashes"))
-            texts = cand.select(F.explode(F.arrays_zip(F.col("r.text").alias("text"), F.col("p").alias("p"))).alias("x")).select("x.*").toDF("text", "p").where("p > 0.001")
-            model = model_of([plain_chars, tallied(texts)])
-    garbled = post.groupBy("source", "field_name", "vid").agg(F.sum(F.when(F.col("chain") != CLEAN, F.col("q")).otherwise(0.0)).alias("posterior"), F.max_by("chain", F.struct(F.when(F.col("chain") == CLEAN, -1.0).otherwise(F.col("q")), "chain")).alias("chain")).where(f"posterior > {threshold}")
-    texts = cand.select("vid", F.explode("r").alias("x")).select("vid", "x.chain", F.col("x.text").alias("repaired"), F.col("x.ok").alias("readable"))
-    garbled = garbled.join(texts, ["vid", "chain"]).join(odd_values, "vid").drop("vid")
-    garbled = cut(garbled)
-    return stacked.where(odd).join(garbled, ["source", "field_name", "value"]).select("entry_id", "field_name", "value", "chain", "repaired", "readable", "posterior")
+        over = prior.groupBy("chain").agg(F.sum("s").alias("a"))
+        here = prior.groupBy("src", "f").agg(F.sum("s").alias("t"))
+        prior = prior.join(over, "chain").join(here, ["src", "f"]).select("src", "f", "chain", F.log((F.col("s") + 20 * (F.col("a") + 0.1) / total) / (F.col("t") + 20)).alias("lpi"))
+        prior = prior.groupBy("src", "f").agg(F.map_from_entries(F.collect_list(F.struct("chain", "lpi"))).alias("lpi"))  # a row a source and field, as long as there are chains
+        l = F.zip_with("ll", F.transform("chains", lambda c: F.element_at("lpi", c)), lambda x, y: x + y)  # noqa: E741
+        post = seen.join(like, "vid").join(prior, ["src", "f"]).select("src", "f", "vid", "chains", l.alias("l")).withColumn("top", F.array_max("l"))
+        post = post.withColumn("z", F.transform("l", lambda x: F.exp(x - F.col("top")))).withColumn("sum", F.aggregate("z", F.lit(0.0), lambda a, x: a + x))
+        post = cut(post.select("src", "f", "vid", "chains", F.transform("z", lambda x: x / F.col("sum")).alias("q")))
+        if step + 1 == rounds:
+            judged.append(post.select("src", "f", "vid", "q"))
+            break
+        # a value's records are as many as sources and fields
+        mean = post.groupBy("vid").agg(F.min(F.array_max("q")).alias("sure"), F.count("*").alias("n"), F.collect_list("q").alias("qs"))
+        added = F.aggregate("qs", F.transform(F.col("qs")[0], lambda x: F.lit(0.0)), lambda a, q: F.zip_with(a, q, lambda x, y: x + y))
+        mean = mean.select("vid", "sure", F.transform(added, lambda x: x / F.col("n")).alias("p"))
+        nxt = cut(open_.drop("p", "sure").join(mean, "vid"))
+        done, open_ = nxt.where(F.col("sure") >= SETTLED), nxt.where(F.col("sure") < SETTLED)
+        gone = post.join(done.select("vid"), "vid", "left_semi")
+        judged.append(gone.select("src", "f", "vid", "q"))
+        words = cut(words.unionByName(support(done)).groupBy("word").agg(F.sum("w").alias("w")))
+        settled_n = cut(settled_n.unionByName(chances(gone, "q")).groupBy("src", "f", "chain").agg(F.sum("s").alias("s")))
+        chars = summed([chars, tallied(weighed(done))])
+        model = model_of([chars, tallied(weighed(open_))])
+    post = judged[0]
+    for more in judged[1:]:
+        post = post.unionByName(more)
+    texts = cand.select("vid", "chains", "texts", "oks")
+    g = post.join(texts, "vid")
+    # the clean reading is the first; of the others the likeliest, the one named last among equals
+    rank = F.array_max(F.slice(F.transform(F.arrays_zip("q", "chains"), lambda x, i: F.struct(x["q"].alias("q"), x["chains"].alias("chain"), i.alias("i"))), 2, 1_000_000))
+    g = g.withColumn("posterior", 1 - F.col("q")[0]).where(f"posterior > {threshold}").withColumn("best", rank)
+    ok = F.get("oks", F.col("best.i"))
+    garbled = cut(g.select("src", "f", F.col("texts")[0].alias("value"), F.col("best.chain").alias("chain"), F.when(ok, F.get("texts", F.col("best.i"))).alias("repaired"), ok.alias("readable"), "posterior"))
+    if garbled.count() <= BROADCAST_VALUES:
+        garbled = F.broadcast(garbled)
+    names = F.array(*[F.lit(c) for c in fields])
+    return stacked.where(odd).join(garbled, ["src", "f", "value"]).select("entry_id", F.get(names, F.col("f")).alias("field_name"), "value", "chain", "repaired", "readable", "posterior")
