@@ -6,6 +6,7 @@ import functools
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,10 +147,12 @@ def _undone_token(token: str) -> tuple[dict[str, str], dict[str, str]]:
         for name, t in level:
             for codec in READ_AS:
                 fixed = _undo_utf8(t, codec)
-                if fixed is not None and fixed not in seen:
-                    seen.add(fixed)
+                if fixed is not None and fixed != token:
+                    # another token of the text may need this very chain
                     found[f"{name}utf8>{codec};"] = fixed
-                    nxt.append((f"{name}utf8>{codec};", fixed))
+                    if fixed not in seen:
+                        seen.add(fixed)
+                        nxt.append((f"{name}utf8>{codec};", fixed))
         level = nxt
     whole: dict[str, str] = {}
     high = frozenset(c for c in token if c > "\x7f")
@@ -166,6 +169,11 @@ def _undone_token(token: str) -> tuple[dict[str, str], dict[str, str]]:
     return found, whole
 
 
+def _chain_order(chain: str) -> tuple[int, list[int]]:
+    """Short chains of UTF-8 misreadings first, then by the order of the encodings."""
+    return chain.count(";"), [READ_AS.index(x[5:]) for x in chain.split(";")[:-1]]
+
+
 def invertible(text: str) -> dict[str, str]:
     """chain name -> text before it, of all chains up to DEPTH misreadings that can be undone. A chain of UTF-8 misreadings
     mends the tokens it can; the others must hold for every high character of the text."""
@@ -188,7 +196,7 @@ def invertible(text: str) -> dict[str, str]:
             seen.add(joined)
             found[chain] = joined
 
-    for chain in sorted({c for i in odd for c in undone[i][0]}, key=lambda c: (c.count(";"), [READ_AS.index(x[5:]) for x in c.split(";")[:-1]])):
+    for chain in sorted({c for i in odd for c in undone[i][0]}, key=_chain_order):
         add(chain, 0)
     for codec in READ_AS[:2] if " " in text else []:
         fixed = _undo_utf8(text, codec, blank=True)
@@ -200,16 +208,119 @@ def invertible(text: str) -> dict[str, str]:
     return found
 
 
+_BLANK_AFTER = re.compile(r"[^\x00-\x7f] (?: |\Z)")
+
+
+class Beam:
+    """The readings of values that are not far behind the best by characters, token by token: tokens repeat, so each is undone
+    and scored once, and only the readings kept are put together."""
+
+    def __init__(self, m: CharModel):
+        self.m = m
+        self.tokens: dict[str, tuple] = {}
+        self.alone: dict[str, list[tuple[str, str, bool]]] = {}
+
+    def _weigh(self, token: str) -> tuple[str, float, int, bool]:
+        """(token, log chance by characters, words of several scripts, whether it holds what no clean text does)."""
+        return token, self.m.score(token + " "), int(_mixed(token)), bool(NEVER.search(token))
+
+    def _options(self, token: str) -> tuple:
+        got = self.tokens.get(token)
+        if got is None:
+            part, whole = _undone_token(token)
+            split = lambda t: self._weigh(t) if " " not in t else (t, sum(self.m.score(x + " ") for x in t.split(" ")), mixed_words(t), bool(NEVER.search(t)))
+            # many encodings give the same letters
+            weighed = {t: split(t) for t in {*part.values(), *whole.values()}}
+            if len(self.tokens) > 100_000:
+                self.tokens, self.alone = {}, {}
+            got = self.tokens[token] = (self._weigh(token), {c: weighed[t] for c, t in part.items()}, {c: weighed[t] for c, t in whole.items()})
+        return got
+
+    def readings(self, value: str, losses) -> tuple[list[tuple[str, str, bool]], list[bool]]:
+        """((chain, text, readable) of the readings kept, the clean one first; of each whether it is strong: undone by the rules
+        of UTF-8, or of U+FFFD)."""
+        tokens = value.split(" ")
+        odd = [i for i, t in enumerate(tokens) if not t.isascii()]
+        if len(odd) == 1 and losses is None and not _lossy_kinds(value) and not NEVER.search(value) and not _BLANK_AFTER.search(value):
+            # what is kept depends on the one token
+            i = odd[0]
+            kept = self.alone.get(tokens[i])
+            if kept is None:
+                found, strong = self._kept(tokens[i], [tokens[i]], [0], None)
+                kept = self.alone[tokens[i]] = [(*x, y) for x, y in zip(found, strong)]
+            a, b = " ".join([*tokens[:i], ""]), " ".join(["", *tokens[i + 1 :]])
+            return [(c, a + t + b, ok) for c, t, ok, _ in kept], [y for *_, y in kept]
+        return self._kept(value, tokens, odd, losses)
+
+    def _kept(self, value: str, tokens: list[str], odd: list[int], losses) -> tuple[list[tuple[str, str, bool]], list[bool]]:
+        opts = [self._options(tokens[i]) for i in odd]
+        clean = tuple(o[0] for o in opts)
+        # (chain, the odd tokens or the text, readable)
+        found: list[tuple[str, tuple | str, bool]] = [(CLEAN, clean, True)]
+        seen = {tuple(x[0] for x in clean)}
+
+        def add(chain: str, parts: tuple) -> None:
+            key = tuple(x[0] for x in parts)
+            if key not in seen:
+                seen.add(key)
+                found.append((chain, parts, True))
+
+        chains = opts[0][1] if len(opts) == 1 else sorted({c for o in opts for c in o[1]}, key=_chain_order)
+        for chain in chains:
+            add(chain, tuple(o[1].get(chain, o[0]) for o in opts))
+        if _BLANK_AFTER.search(value):
+            found += [(c, t, True) for c, t in invertible(value).items() if c.startswith("utf8~")]
+        for chain in opts[0][2] if opts else ():
+            parts = tuple(o[2].get(chain) for o in opts)
+            if None not in parts:
+                add(chain, parts)
+        found += lossy_readings(value, losses)
+        if len(found) == 1:
+            return [(CLEAN, value, True)], [False]
+        plain = None
+        scores, strong = [], []
+        for chain, parts, _ in found:
+            if isinstance(parts, str):
+                # as far as it differs from the clean reading
+                plain = self.m.text(value) - sum(x[1] for x in clean) if plain is None else plain
+                mixed, score = mixed_words(parts), self.m.text(parts) - plain - NEVER_COST * bool(NEVER.search(parts))
+            else:
+                mixed = sum(x[2] for x in parts)
+                score = sum(x[1] for x in parts) - NEVER_COST * any(x[3] for x in parts)
+            scores.append(score - MIXED_COST * mixed)
+            strong.append((chain.startswith("utf8>") or "replacement" in chain) and not mixed)
+        top = max(scores)
+        keep = [i for i, (c, _, _) in enumerate(found) if c == CLEAN or strong[i] or scores[i] > top - (BEAM if c.startswith(("utf8", "lost")) else SWAP_BEAM)]
+
+        def text(parts: tuple | str) -> str:
+            if isinstance(parts, str):
+                return parts
+            new = list(tokens)
+            for i, x in zip(odd, parts):
+                new[i] = x[0]
+            return " ".join(new)
+
+        return [(found[i][0], text(found[i][1]), found[i][2]) for i in keep], [strong[i] for i in keep]
+
+
 #: Nats off a reading for each word of several scripts, and for giving a lost part up.
 MIXED_COST, GIVEN_UP_COST = 12.0, 20.0
 #: Nats off a misread single-byte encoding none of whose mended words stands elsewhere: any bytes can be undone that way.
 UNBACKED_COST = 6.0
 
 
+@functools.lru_cache(maxsize=None)
+def _script(c: str) -> str:
+    """The script of a letter (kanji and kana are one), '' for other characters and for signs counted as letters."""
+    if unicodedata.category(c)[0] != "L":
+        return ""
+    name = unicodedata.name(c, "?").split(" ", 1)[0]
+    return "" if name in ("MICRO", "FEMININE", "MASCULINE", "MODIFIER") else "CJK" if name in ("HIRAGANA", "KATAKANA") else name
+
+
 @functools.lru_cache(maxsize=200_000)
 def _mixed(token: str) -> bool:
-    scripts = {unicodedata.name(c, "?").split(" ", 1)[0] for c in token if unicodedata.category(c)[0] == "L"} - {"MICRO", "FEMININE", "MASCULINE", "MODIFIER"}
-    return len({"CJK" if x in ("HIRAGANA", "KATAKANA") else x for x in scripts}) > 1
+    return len(set(map(_script, token)) - {""}) > 1
 
 
 def mixed_words(text: str) -> int:
@@ -262,18 +373,16 @@ class CharModel:
         for c, n in chars.items():
             k = char_class(c)
             self.in_class[k] = self.in_class.get(k, 0) + n
-        self.memo: dict[tuple[str, str], float] = {}
+        self.memo: dict[tuple[str, str], tuple[float, str]] = {}
         self.tokens: dict[str, float] = {}
         self.words: dict[tuple[bool, str, str, str], tuple[float, float]] = {}
 
-    def cost(self, before: str, c: str) -> float:
-        key = (before, c)
-        got = self.memo.get(key)
-        if got is None:
-            k = char_class(c)
-            move = (self.pairs.get((before, k), 0) + 0.02) / (self.from_class.get(before, 0) + 1)
-            pick = (self.chars.get(c, 0) + 0.02) / (self.in_class.get(k, 0) + 1)
-            got = self.memo[key] = math.log(move) + math.log(pick)
+    def cost(self, before: str, c: str) -> tuple[float, str]:
+        """(log chance of a character after one of class ``before``, its own class)."""
+        k = char_class(c)
+        move = (self.pairs.get((before, k), 0) + 0.02) / (self.from_class.get(before, 0) + 1)
+        pick = (self.chars.get(c, 0) + 0.02) / (self.in_class.get(k, 0) + 1)
+        got = self.memo[before, c] = math.log(move) + math.log(pick), k
         return got
 
     def move(self, before: str, c: str) -> float:
@@ -306,10 +415,11 @@ class CharModel:
         return s
 
     def score(self, text: str, before: str = "_") -> float:
-        s = 0.0
+        s, memo = 0.0, self.memo
         for c in text:
-            s += self.cost(before, c)
-            before = char_class(c)
+            got = memo.get((before, c)) or self.cost(before, c)
+            s += got[0]
+            before = got[1]
         return s
 
 
@@ -336,13 +446,13 @@ def word_parts(text: str) -> list[tuple[int, int, bool, str, str, str]]:
     return [(i, *w) for i, t in enumerate(x for x in text.split(" ") if x) for w in _token_words(t)]
 
 
-def own_words(strong: bool, chains, texts, p) -> dict[int, float]:
-    """What a value gives to the word counts: its readings' words by posterior. Words that only stand in the garbled look of an
-    undoable text don't support it."""
+def own_words(strong: bool, chains, parts, p) -> dict[int, float]:
+    """What a value gives to the word counts: its readings' words by posterior (``parts``: ``word_parts`` of each). Words that only
+    stand in the garbled look of an undoable text don't support it."""
     out: dict[int, float] = {}
-    for chain, text, q in zip(chains, texts, p):
+    for chain, words, q in zip(chains, parts, p):
         bare = strong and chain == CLEAN
-        for _, h, whole, a, core, b in word_parts(text):
+        for _, h, whole, a, core, b in words:
             if not bare or (a + core + b if whole else core).isascii():
                 out[h] = out.get(h, 0) + q
     return out
@@ -353,12 +463,12 @@ def standing_cost(chain: str, text: str) -> float:
     return NEVER_COST * bool(NEVER.search(text)) + MIXED_COST * mixed_words(text) + GIVEN_UP_COST * (chain == "lost:unknown")
 
 
-def likelihood(chain: str, text: str, standing: float, m: CharModel, known: dict[int, float], mine: dict[int, float], mass: float) -> float:
-    """Log likelihood of a reading: each token by the better of word counts and characters. A rare word leans on its
+def likelihood(chain: str, parts: list, standing: float, m: CharModel, known: dict[int, float], mine: dict[int, float], mass: float) -> float:
+    """Log likelihood of a reading of ``parts`` (``word_parts``): each token by the better of word counts and characters. A rare word leans on its
     characters too: else two rare forms, one garbled from the other, would support each other alike."""
     best: dict[int, float] = {}
     backed = False
-    for i, h, whole, a, core, b in word_parts(text):
+    for i, h, whole, a, core, b in parts:
         floor, off = m.word(whole, a, core, b)
         others = max(known.get(h, 0.0) - mine.get(h, 0.0), 1e-9)
         trust = others / (others + RARE)
@@ -408,10 +518,10 @@ def tally(texts, weights) -> pd.DataFrame:
     return pd.DataFrame(data, columns=["t", "a", "b", "n"])
 
 
-def readings(value: str, losses) -> list[tuple[str, str, bool]]:
-    """(chain, text, readable) of one value, the clean one first. ``losses``: words of the corpus that a loss could have left
-    as words of this value."""
-    out = [(CLEAN, value, True)] + [(c, t, True) for c, t in invertible(value).items()]
+def lossy_readings(value: str, losses) -> list[tuple[str, str, bool]]:
+    """(chain, text, readable) of a value that lost characters. ``losses``: words of the corpus that a loss could have left as
+    words of this value; where there is none, a lost letter is taken for a common accented one, and the text is not readable."""
+    out = []
     known: dict[str, dict[str, str]] = {}
     for x in losses if losses is not None else []:
         known.setdefault(x["kind"], {})[x["left"]] = x["word"]
@@ -426,7 +536,7 @@ def readings(value: str, losses) -> list[tuple[str, str, bool]]:
                 parts.append(t.replace(s, words[s]))
             elif kind == "dropped":
                 parts.append(t)
-            else:  # a lost letter is taken for a common accented one
+            else:
                 mark = "?" if kind.startswith("question") else "\ufffd"
                 new = t.replace(mark * 2, "é") if kind.endswith("bytes") else t
                 new = new.replace(mark, "é")
@@ -482,16 +592,10 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     # words as each loss would leave them; matched with the words of suspicious values
     def lost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for v in f["value"]:
-                if "\ufffd" in v:
-                    continue
-                for t in v.split(" "):
-                    t = t.strip(_TRIM)
-                    if t and not t.isascii() and "?" not in t:
-                        # a question mark after a word may stand for a lost letter, but not for other lost marks
-                        rows += [(k, f, t) for k in LOSSY if not ((f := lossy_form(t, k)).endswith("?") and not t[-1].isalpha())]
-            yield pd.DataFrame(rows, columns=["kind", "left", "word"])
+            words = Counter(t.strip(_TRIM) for v in f["value"] if "\ufffd" not in v for t in v.split(" ") if not t.isascii() and "?" not in t)
+            # a question mark after a word may stand for a lost letter, but not for other lost marks
+            rows = [(k, x, t, n) for t, n in words.items() if t and not t.isascii() for k in LOSSY if not ((x := lossy_form(t, k)).endswith("?") and not t[-1].isalpha())]
+            yield pd.DataFrame(rows, columns=["kind", "left", "word", "count"])
 
     def marred(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -502,8 +606,8 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
             yield pd.DataFrame(rows, columns=["vid", "kind", "left"])
 
     broken = odd_values.mapInPandas(marred, "vid long, kind string, left string").distinct()
-    whole = odd_values.mapInPandas(lost, "kind string, left string, word string").groupBy("kind", "left", "word").count()
-    whole = whole.groupBy("kind", "left").agg(F.max_by("word", F.struct("count", "word")).alias("word")).where("left <> word")
+    whole = odd_values.mapInPandas(lost, "kind string, left string, word string, count long").where("left <> word").groupBy("kind", "left", "word").agg(F.sum("count").alias("count"))
+    whole = whole.groupBy("kind", "left").agg(F.max_by("word", F.struct("count", "word")).alias("word"))
     found = broken.join(whole, ["kind", "left"]).groupBy("vid").agg(F.collect_list(F.struct("kind", "left", "word")).alias("losses"))  # words of one value
 
     def tallied(rows: DataFrame) -> pd.DataFrame:
@@ -530,18 +634,11 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
     def first(frames: Iterator[pd.DataFrame], shared=spark.sparkContext.broadcast(model)) -> Iterator[pd.DataFrame]:
         """The readings within the beam, and where to start: a text that UTF-8 rules allow to be undone, or one with U+FFFD,
         most likely is garbled."""
-        m = CharModel(*shared.value)
+        beam = Beam(CharModel(*shared.value))
         for f in frames:
             rows = []
             for v, x, losses in zip(f["vid"], f["value"], f["losses"]):
-                r = readings(x, losses)
-                mixed = [mixed_words(t) for _, t, _ in r]
-                strong = [(c.startswith("utf8>") or "replacement" in c) and not k for (c, _, _), k in zip(r, mixed)]
-                if len(r) > 1:
-                    score = [m.text(t) - NEVER_COST * bool(NEVER.search(t)) - MIXED_COST * k for (_, t, _), k in zip(r, mixed)]
-                    top = max(score)
-                    keep = [i for i, (c, _, _) in enumerate(r) if c == CLEAN or strong[i] or score[i] > top - (BEAM if c.startswith(("utf8", "lost")) else SWAP_BEAM)]
-                    r, strong = [r[i] for i in keep], [strong[i] for i in keep]
+                r, strong = beam.readings(x, losses)
                 n, k = len(r), sum(strong)
                 if k:
                     p = [0.99 / k if y else 0.01 / (n - k) for y in strong]
@@ -562,7 +659,7 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
             for f in frames:
                 got: dict[int, float] = {}
                 for strong, c, t, p in zip(f["strong"], f["chains"], f["texts"], f["p"]):
-                    for h, n in own_words(strong, c, t, p).items():
+                    for h, n in own_words(strong, c, map(word_parts, t), p).items():
                         got[h] = got.get(h, 0) + n
                 yield pd.DataFrame({"word": list(got), "w": list(got.values())}).astype({"word": "int64", "w": "float64"})
 
@@ -597,8 +694,9 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
                 out = []
                 for strong, chains, texts, standing, p, kw, kn in zip(f["strong"], f["chains"], f["texts"], f["standing"], f["p"], f["kw"], f["kn"]):
                     seen_words = dict(zip(kw.tolist(), kn.tolist())) if kw is not None else {}
-                    mine = own_words(strong, chains, texts, p)
-                    out.append([likelihood(c, t, x, m, seen_words, mine, mass) for c, t, x in zip(chains, texts, standing)])
+                    split = [word_parts(t) for t in texts]
+                    mine = own_words(strong, chains, split, p)
+                    out.append([likelihood(c, t, x, m, seen_words, mine, mass) for c, t, x in zip(chains, split, standing)])
                 yield pd.DataFrame({"vid": f["vid"], "chains": f["chains"], "ll": out})
 
         like = open_.select("vid", "strong", "chains", "texts", "standing", "p").join(known, "vid", "left").mapInPandas(judge, "vid long, chains array<string>, ll array<double>")
@@ -609,8 +707,10 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
         over = prior.groupBy("chain").agg(F.sum("s").alias("a"))
         here = prior.groupBy("src", "f").agg(F.sum("s").alias("t"))
         prior = prior.join(over, "chain").join(here, ["src", "f"]).select("src", "f", "chain", F.log((F.col("s") + 20 * (F.col("a") + 0.1) / total) / (F.col("t") + 20)).alias("lpi"))
-        prior = prior.groupBy("src", "f").agg(F.map_from_entries(F.collect_list(F.struct("chain", "lpi"))).alias("lpi"))  # a row a source and field, as long as there are chains
-        l = F.zip_with("ll", F.transform("chains", lambda c: F.element_at("lpi", c)), lambda x, y: x + y)  # noqa: E741
+        # a row a source and field, as long as there are chains; looked up by the hash of the chain, as maps are read entry by entry
+        prior = prior.groupBy("src", "f").agg(F.map_from_entries(F.collect_list(F.struct(F.xxhash64("chain"), "lpi"))).alias("lpi"))
+        like = like.withColumn("codes", F.transform("chains", lambda c: F.xxhash64(c)))
+        l = F.zip_with("ll", "codes", lambda x, c: x + F.element_at("lpi", c))  # noqa: E741
         post = seen.join(like, "vid").join(prior, ["src", "f"]).select("src", "f", "vid", "chains", l.alias("l")).withColumn("top", F.array_max("l"))
         post = post.withColumn("z", F.transform("l", lambda x: F.exp(x - F.col("top")))).withColumn("sum", F.aggregate("z", F.lit(0.0), lambda a, x: a + x))
         post = cut(post.select("src", "f", "vid", "chains", F.transform("z", lambda x: x / F.col("sum")).alias("q")))
