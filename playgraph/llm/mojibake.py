@@ -20,6 +20,7 @@ from playgraph.session import cut
 #: Encodings in which UTF-8 bytes, or one another's bytes, are misread.
 MULTI_BYTE = ["shift_jis", "gbk", "euc_kr"]
 READ_AS = ["cp1252", "latin_1", "cp1250", "cp1251", "cp437", "mac_roman", "iso8859_2"]
+OTHER_SCRIPTS = ["cp1251", "cp1253", "koi8_r", "cp866"]
 WRITTEN_AS = ["cp1252", "cp1250", "cp1251", "cp1253", "mac_roman", "koi8_r", "cp866"]
 #: Misreadings that lose characters: each lost character or byte as '?' or U+FFFD, or control characters dropped.
 LOSSY = ["question", "question_bytes", "replacement", "replacement_bytes", "dropped"]
@@ -39,6 +40,7 @@ BROADCAST_VALUES = 200_000
 NEVER = re.compile("[\x80-\x9f\ufffd]")
 NEVER_COST = 40.0
 
+_LATIN = re.compile("[A-Za-z]")
 _TWO_HIGH = re.compile(r"[^\x00-\x7f]{2}")
 _EDGE = re.compile(r"\A(\W*)(.*?)(\W*)\Z", re.S)
 _TRIM = "\"'()[]{},.;:!*/-_+&"
@@ -155,12 +157,14 @@ def _undone_token(token: str) -> tuple[dict[str, str], dict[str, str]]:
                         nxt.append((f"{name}utf8>{codec};", fixed))
         level = nxt
     whole: dict[str, str] = {}
+    # a word with Latin letters is not undone into one of two scripts unless it holds two as it stands
+    latin = _LATIN.search(token) is not None and not _mixed(token)
     high = frozenset(c for c in token if c > "\x7f")
     for read in READ_AS:
         if read == "latin_1":
             continue
         for written in WRITTEN_AS:
-            if written != read and (fixed := _undo_swap(token, high, read, written)) is not None:
+            if written != read and not (latin and written in OTHER_SCRIPTS) and (fixed := _undo_swap(token, high, read, written)) is not None:
                 whole[f"{written}>{read};"] = fixed
     for read in ("latin_1", "cp1252") if _TWO_HIGH.search(token) or "\x80" <= max(token) <= "\x9f" else ():
         for written in MULTI_BYTE:
@@ -236,9 +240,9 @@ class Beam:
             got = self.tokens[token] = (self._weigh(token), {c: weighed[t] for c, t in part.items()}, {c: weighed[t] for c, t in whole.items()})
         return got
 
-    def readings(self, value: str, losses) -> tuple[list[tuple[str, str, bool]], list[bool]]:
-        """((chain, text, readable) of the readings kept, the clean one first; of each whether it is strong: undone by the rules
-        of UTF-8, or of U+FFFD)."""
+    def readings(self, value: str, losses) -> list[tuple[str, str, bool, bool, float]]:
+        """(chain, text, readable, strong, standing cost) of the readings kept, the clean one first; strong is what was undone by
+        the rules of UTF-8, or of U+FFFD."""
         tokens = value.split(" ")
         odd = [i for i, t in enumerate(tokens) if not t.isascii()]
         if len(odd) == 1 and losses is None and not _lossy_kinds(value) and not NEVER.search(value) and not _BLANK_AFTER.search(value):
@@ -246,13 +250,12 @@ class Beam:
             i = odd[0]
             kept = self.alone.get(tokens[i])
             if kept is None:
-                found, strong = self._kept(tokens[i], [tokens[i]], [0], None)
-                kept = self.alone[tokens[i]] = [(*x, y) for x, y in zip(found, strong)]
+                kept = self.alone[tokens[i]] = self._kept(tokens[i], [tokens[i]], [0], None)
             a, b = " ".join([*tokens[:i], ""]), " ".join(["", *tokens[i + 1 :]])
-            return [(c, a + t + b, ok) for c, t, ok, _ in kept], [y for *_, y in kept]
+            return [(c, a + t + b, *rest) for c, t, *rest in kept]
         return self._kept(value, tokens, odd, losses)
 
-    def _kept(self, value: str, tokens: list[str], odd: list[int], losses) -> tuple[list[tuple[str, str, bool]], list[bool]]:
+    def _kept(self, value: str, tokens: list[str], odd: list[int], losses) -> list[tuple[str, str, bool, bool, float]]:
         opts = [self._options(tokens[i]) for i in odd]
         clean = tuple(o[0] for o in opts)
         # (chain, the odd tokens or the text, readable)
@@ -276,18 +279,21 @@ class Beam:
                 add(chain, parts)
         found += lossy_readings(value, losses)
         if len(found) == 1:
-            return [(CLEAN, value, True)], [False]
+            return [(CLEAN, value, True, False, standing_cost(CLEAN, value))]
         plain = None
-        scores, strong = [], []
+        scores, strong, standing = [], [], []
         for chain, parts, _ in found:
             if isinstance(parts, str):
                 # as far as it differs from the clean reading
                 plain = self.m.text(value) - sum(x[1] for x in clean) if plain is None else plain
-                mixed, score = mixed_words(parts), self.m.text(parts) - plain - NEVER_COST * bool(NEVER.search(parts))
+                mixed, never, score = mixed_words(parts), bool(NEVER.search(parts)), self.m.text(parts) - plain
             else:
-                mixed = sum(x[2] for x in parts)
-                score = sum(x[1] for x in parts) - NEVER_COST * any(x[3] for x in parts)
-            scores.append(score - MIXED_COST * mixed)
+                mixed, never, score = 0, False, 0.0
+                for _, x, y, z in parts:
+                    score, mixed, never = score + x, mixed + y, never or z
+            off = NEVER_COST * never + MIXED_COST * mixed
+            scores.append(score - off)
+            standing.append(off + GIVEN_UP_COST * (chain == "lost:unknown"))
             strong.append((chain.startswith("utf8>") or "replacement" in chain) and not mixed)
         top = max(scores)
         keep = [i for i, (c, _, _) in enumerate(found) if c == CLEAN or strong[i] or scores[i] > top - (BEAM if c.startswith(("utf8", "lost")) else SWAP_BEAM)]
@@ -300,7 +306,7 @@ class Beam:
                 new[i] = x[0]
             return " ".join(new)
 
-        return [(found[i][0], text(found[i][1]), found[i][2]) for i in keep], [strong[i] for i in keep]
+        return [(found[i][0], text(found[i][1]), found[i][2], strong[i], standing[i]) for i in keep]
 
 
 #: Nats off a reading for each word of several scripts, and for giving a lost part up.
@@ -638,14 +644,14 @@ def detect(df: DataFrame, id_col: str, source_col: str, fields: list[str], round
         for f in frames:
             rows = []
             for v, x, losses in zip(f["vid"], f["value"], f["losses"]):
-                r, strong = beam.readings(x, losses)
-                n, k = len(r), sum(strong)
+                chains, texts, oks, strong, standing = zip(*beam.readings(x, losses))
+                n, k = len(chains), sum(strong)
                 if k:
                     p = [0.99 / k if y else 0.01 / (n - k) for y in strong]
                 else:
-                    p = [0.95 if c == CLEAN else 0.05 / (n - 1) for c, _, _ in r] if n > 1 else [1.0]
-                hashes = list({w[1] for _, t, _ in r for w in word_parts(t)}) if n > 1 else []
-                rows.append((v, bool(k), [c for c, _, _ in r], [t for _, t, _ in r], [ok for _, _, ok in r], [standing_cost(c, t) for c, t, _ in r], p, hashes))
+                    p = [0.95] + [0.05 / (n - 1)] * (n - 1) if n > 1 else [1.0]
+                hashes = list({w[1] for t in texts for w in word_parts(t)}) if n > 1 else []
+                rows.append((v, bool(k), chains, texts, oks, standing, p, hashes))
             yield pd.DataFrame(rows, columns=["vid", "strong", "chains", "texts", "oks", "standing", "p", "hashes"])
 
     parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
