@@ -70,3 +70,21 @@ def test_touched_scores_and_other_column_names(spark, tmp_path):
     t = PairTable(spark, f"file://{tmp_path}/t").apply(d, basket="b", item="i", pos="p")
     got = t.scores(touched=spark.createDataFrame([(3,)], "item long"))
     assert rows(got, "a", "b") == [(1, 3), (2, 3)]
+
+
+def test_a_table_goes_on_where_another_left_it(spark, tmp_path):
+    first, extra = draw(4), [(b, 100 + i, i) for b in (50, 51) for i in range(3)]
+    path = f"file://{tmp_path}/t"
+    PairTable(spark, path, window=2, buckets=64).apply(spark.createDataFrame(first, SCHEMA))
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "pairs").rglob("*.parquet")}
+    t = PairTable(spark, path)
+    assert (t.window, t.buckets, t.version) == (2, 64, 1) and scored(t) == expected(first, 2)
+    t.apply(spark.createDataFrame(extra, SCHEMA))
+    assert scored(PairTable(spark, path)) == expected(first + extra, 2)
+    # three new pairs touch at most three buckets: the other buckets' files are the same, and still in use
+    kept = [p for p in t.at["pairs"].values() if p.startswith("pairs/v1-")]
+    assert len(kept) >= len({p.parent for p in files}) - 3 and all(p.stat().st_mtime_ns == at for p, at in files.items())
+    assert all(p.startswith(("pairs/v1-", "pairs/v2-")) for p in t.at["pairs"].values())
+    for _ in range(3):
+        t.apply(spark.createDataFrame(extra[:3], SCHEMA), old=spark.createDataFrame(extra[:3], SCHEMA))
+    assert len(t._manifests()) == 2 and scored(PairTable(spark, path)) == expected(first + extra, 2)
