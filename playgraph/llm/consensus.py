@@ -33,17 +33,19 @@ def latest_labels(df: DataFrame, item: str, labeler: str, value: str, at: str, c
     return d.select("item", "labeler", *[F.col(f"v{i}").alias(n) for i, n in enumerate(["value", *(extra or [])])])
 
 
-def consensus(labels: DataFrame, classes: list[str], max_iter: int = 20, tol: float = 1e-3, smooth: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def consensus(labels: DataFrame, classes: list[str], max_iter: int = 100, tol: float = 1e-3, smooth: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """``labels``: item, labeler, value, one row per edge. Returns (verdicts, labelers).
 
-    verdicts: item, value, belief, n_labels, agreement (share of labels equal to the verdict).
+    verdicts: item, value, belief, n_labels, agreement (share of labels equal to the verdict), kappa (how much more often two
+    of the item's labels agree than two labels of all items would by chance, 1 at most; null for a single label), rounds and
+    moved (how many rounds the messages took, and the largest change of a belief in the last one).
     labelers: labeler, value, n_labels, hit (of items believed to be ``value``, the share labelled so), false_hit (of the
     others), reliability (expected share of the labeler's labels that are right).
 
     Each class is judged against the rest on the bipartite label graph. An annotator-to-item message is the log-likelihood
     ratio of the annotator's label under hit and false-hit rates estimated from all OTHER items; an item-to-annotator message
     is the belief from all OTHER annotators' messages plus the class's prior. Messages run until no belief moves by more than
-    ``tol``, at most ``max_iter`` rounds. Sums per item and annotator are partial aggregates, so an annotator or item with a
+    ``tol``; should that take more than ``max_iter`` rounds, ``moved`` shows it. Sums per item and annotator are partial aggregates, so an annotator or item with a
     third of all edges is never gathered in one task; an edge's own share is taken off the sum.
 
     Ties between classes fall to the class named first. No labels give empty results. Repeated edges must be removed before
@@ -54,17 +56,17 @@ def consensus(labels: DataFrame, classes: list[str], max_iter: int = 20, tol: fl
     # start: the leave-one-out vote share
     votes = edges.groupBy("item", "k").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
     state = cut(edges.join(votes, ["item", "k"]).select("item", "labeler", "k", "x", ((F.col("s") - F.col("x") + 1 / len(classes)) / F.col("n")).alias("b")))
-    for _ in range(max_iter):
+    rounds, moved = 0, None
+    for rounds in range(1, max_iter + 1):
         sums = state.groupBy("labeler", "k").agg(
             F.sum("b").alias("pos"), F.sum(F.col("b") * F.col("x")).alias("pos_x"), F.sum(1 - F.col("b")).alias("neg"), F.sum((1 - F.col("b")) * F.col("x")).alias("neg_x")
         )
-        # means over all annotators: the smoothing prior of an annotator, and the class's share of items
-        whole = Window.partitionBy("k")
-        sums = sums.withColumns({
-            "hit0": (F.sum("pos_x").over(whole) + 2 * HIT) / (F.sum("pos").over(whole) + 2),
-            "false0": (F.sum("neg_x").over(whole) + 2 * FALSE_HIT) / (F.sum("neg").over(whole) + 2),
-            "share": F.sum("pos").over(whole) / F.greatest(F.sum(F.col("pos") + F.col("neg")).over(whole), F.lit(1e-9)),
-        })
+        # means over all annotators: the smoothing prior of an annotator, and the class's share of items; a row a class
+        pos, neg = F.sum("pos"), F.sum("neg")
+        means = sums.groupBy("k").agg(
+            ((F.sum("pos_x") + 2 * HIT) / (pos + 2)).alias("hit0"), ((F.sum("neg_x") + 2 * FALSE_HIT) / (neg + 2)).alias("false0"), (pos / F.greatest(pos + neg, F.lit(1e-9))).alias("share")
+        )
+        sums = sums.join(F.broadcast(means), "k")
         clip = lambda c: F.least(F.greatest(c, F.lit(0.02)), F.lit(0.98))
         b, x = F.col("b"), F.col("x")
         hit = clip((F.col("pos_x") - b * x + smooth * F.col("hit0")) / (F.col("pos") - b + smooth))
@@ -83,10 +85,15 @@ def consensus(labels: DataFrame, classes: list[str], max_iter: int = 20, tol: fl
     per = state.groupBy("item", "k").agg(F.max("all").alias("all"), F.count("*").alias("n"), F.sum("x").alias("votes"))
     top = F.max(F.struct(F.round("all", 9).alias("all"), (-F.col("k")).alias("nk"), "n", "votes")).alias("t")
     norm = F.sum(F.exp(F.col("all") - F.col("top"))).alias("z")
-    best = per.withColumn("top", F.max("all").over(Window.partitionBy("item"))).groupBy("item").agg(top, norm)
+    # agreement of two labels of an item against that of two labels at large: one row
+    shares = per.groupBy("k").agg(F.sum("votes").alias("v"))
+    chance = shares.agg((F.sum(F.col("v") * F.col("v")) / (F.sum("v") * F.sum("v"))).alias("chance"))
+    pairwise = F.sum(F.col("votes") * (F.col("votes") - 1)) / (F.max("n") * (F.max("n") - 1))
+    best = per.withColumn("top", F.max("all").over(Window.partitionBy("item"))).groupBy("item").agg(top, norm, F.when(F.max("n") > 1, pairwise).alias("same")).crossJoin(F.broadcast(chance))
     verdicts = best.select(
-        "item", F.element_at(names, 1 - F.col("t.nk")).alias("value"), (1 / F.col("z")).alias("belief"), F.col("t.n").alias("n_labels"), (F.col("t.votes") / F.col("t.n")).alias("agreement")
-    )
+        "item", F.element_at(names, 1 - F.col("t.nk")).alias("value"), (1 / F.col("z")).alias("belief"), F.col("t.n").alias("n_labels"), (F.col("t.votes") / F.col("t.n")).alias("agreement"),
+        F.when(F.col("chance") < 1, (F.col("same") - F.col("chance")) / (1 - F.col("chance"))).otherwise(F.col("same")).alias("kappa"), F.lit(rounds).alias("rounds"), F.lit(moved).cast("double").alias("moved"),
+    )
     full = state.withColumn("p", 1 / (1 + F.exp(-F.col("all"))))
     labelers = full.groupBy("labeler", "k").agg(
         F.count("*").alias("n_labels"),

@@ -79,7 +79,7 @@ def p7_reliability(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_agreement(spark: SparkSession, d: str) -> DataFrame:
     _, severity, _, _, _ = _verdicts(spark, d)
-    return severity.select(F.col("item").alias("row_id"), F.col("value").alias("severity"), "n_labels", F.round("belief", 6).alias("belief"), F.round("agreement", 6).alias("agreement"))
+    return severity.select(F.col("item").alias("row_id"), F.col("value").alias("severity"), "n_labels", F.round("belief", 6).alias("belief"), F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"), "rounds", F.round("moved", 6).alias("moved"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

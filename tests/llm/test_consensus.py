@@ -34,6 +34,15 @@ def test_better_than_majority_and_labelers_in_order(spark):
     assert min(rel[w] for w in skill if skill[w] > 0.75) > max(rel[w] for w in skill if skill[w] < 0.5)
 
 
+def test_chance_corrected_agreement_and_convergence(spark):
+    edges = [("x", "a", "minor"), ("x", "b", "minor"), ("y", "a", "severe"), ("y", "b", "minor"), ("z", "c", "severe")]
+    v, _ = cons.consensus(spark.createDataFrame(edges, "item string, labeler string, value string"), cons.SEVERITIES)
+    got = {r["item"]: r for r in v.collect()}
+    chance = (2 / 5) ** 2 + (3 / 5) ** 2
+    assert abs(got["x"]["kappa"] - 1) < 1e-9 and abs(got["y"]["kappa"] + chance / (1 - chance)) < 1e-9 and got["z"]["kappa"] is None
+    assert all(r["rounds"] < 100 and r["moved"] <= 1e-3 for r in got.values())
+
+
 def test_latest_label_spellings_and_nulls(spark):
     data = [
         ("r", " A ", "Not-Wrong ", "", "2025-01-02 00:00:00"), ("r", "a", "severe", "other", "2025-01-01 00:00:00"),
