@@ -74,7 +74,9 @@ def pack(docs: DataFrame, id_col: str, size_col: str, capacities: DataFrame, nam
     start = (F.col("piece").cast("long") * F.col("capacity")).alias("start")
     cut = cut.select("container", "capacity", "doc_id", "piece", start, F.least(F.col("capacity").cast("long"), F.col("n") - F.col("piece").cast("long") * F.col("capacity")).alias("size"))
     none = each.where("n <= 0").select("container", "capacity", "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("bin"))
-    filled = cut.where("size = capacity").withColumn("bin", F.concat_ws("-", F.lit("full"), "doc_id", "piece", F.hex(F.monotonically_increasing_id())))
+    # pieces of equal ids are numbered, so that names do not depend on how rows are spread
+    full = cut.where("size = capacity").groupBy(*cut.columns).agg(F.count("*").alias("c")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    filled = full.select(*cut.columns, F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece", "k").alias("bin"))
     rest = cut.where("size < capacity")
     shards = max(1, -(-base.where("n > 0").count() // pieces_per_shard))
 
