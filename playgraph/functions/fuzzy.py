@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -49,35 +48,39 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 class Candidates:
     """A catalogue for many similarity searches at one threshold. Bounds cut candidates without loss: with an equal prefix of p
-    letters a similarity of t needs a Jaro value of (t - p/10) / (1 - p/10), hence enough letters in common, hence a length."""
+    letters a similarity of t needs a Jaro value of (t - p/10) / (1 - p/10), hence enough letters in common. The bounds of all
+    names are array operations; letters are counted by their place in a table, which never gives less in common."""
+
+    PLACES = 64
 
     def __init__(self, names: list[str]):
         self.names = sorted(set(names))
-        self.bags = [Counter(n) for n in self.names]
-        self.by_length: dict[int, list[int]] = {}
+        self.size = np.array([len(n) for n in self.names], float)
+        self.letters = np.zeros((len(self.names), self.PLACES), np.int16)
+        self.first = np.full((len(self.names), 4), -1, np.int32)
         for i, n in enumerate(self.names):
-            self.by_length.setdefault(len(n), []).append(i)
+            for c in n[:30_000]:
+                self.letters[i, ord(c) % self.PLACES] += 1
+            self.first[i, : min(4, len(n))] = [ord(c) for c in n[:4]]
+        # names longer than the counts hold are always compared
+        self.long = self.size > 30_000
 
     def search(self, q: str, threshold: float, top: int = 2) -> list[tuple[str, float]]:
         """The best ``top`` names at or above the threshold, ties in name order."""
-        bag = Counter(q)
-        found = []
-        least = (threshold - 0.4) / 0.6
-        for size, idx in self.by_length.items():
-            # m <= min(lengths): J <= (m/|q| + m/|n| + 1) / 3
-            m = min(len(q), size)
-            if not q or not size or (m / len(q) + m / size + 1) / 3 < least:
-                continue
-            for i in idx:
-                n = self.names[i]
-                p = 0
-                while p < min(4, len(q), size) and q[p] == n[p]:
-                    p += 1
-                need = (threshold - 0.1 * p) / (1 - 0.1 * p)
-                common = sum(min(c, self.bags[i][x]) for x, c in bag.items())
-                if (common / len(q) + common / size + 1) / 3 < need:
-                    continue
-                s = jaro_winkler(q, n)
-                if s >= threshold:
-                    found.append((n, s))
+        if not q or not self.names:
+            return []
+        bag = np.zeros(self.PLACES, np.int64)
+        for c in q:
+            bag[ord(c) % self.PLACES] += 1
+        head = np.full(4, -2, np.int32)
+        head[: min(4, len(q))] = [ord(c) for c in q[:4]]
+        prefix = np.cumprod(self.first == head, axis=1).sum(axis=1)
+        need = (threshold - 0.1 * prefix) / (1 - 0.1 * prefix)
+        size = np.maximum(self.size, 1)
+        # the lengths alone first
+        least = np.minimum(len(q), self.size)
+        near = np.flatnonzero(((least / len(q) + least / size + 1) / 3 >= need - 1e-9) & (self.size > 0))
+        common = np.minimum(self.letters[near], bag).sum(axis=1)
+        near = near[((common / len(q) + common / size[near] + 1) / 3 >= need[near] - 1e-9) | self.long[near]]
+        found = [(self.names[i], s) for i in near if (s := jaro_winkler(q, self.names[i])) >= threshold]
         return sorted(found, key=lambda x: (-x[1], x[0]))[:top]

@@ -28,13 +28,14 @@ def adjacent_strict(df: DataFrame, session: str, seq: str, item: str, center_kee
 
 
 def session_cooccurrence(df: DataFrame, session: str, seq: str, item: str) -> DataFrame:
-    """JN-08: unordered item pairs in one session that are not neighbours there, with the number of such sessions. Sessions
-    are given keys of bounded length (a show's plays); the item-set pairs are built from distinct items."""
-    d = df.select(F.col(session).alias("s"), F.col(item).alias("i")).distinct()
+    """JN-08: unordered item pairs in one session that are not neighbours there, with the number of such sessions. Pairs are
+    built from distinct items; a long session is joined by pairs of salts (``sharing.key_pairs``), so it is spread over many
+    tasks."""
+    from playgraph.operators.sharing import key_pairs
+
     near = adjacent_strict(df, session, seq, item)
-    near = near.select(F.col("session").alias("s"), F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    pairs = d.select("s", F.col("i").alias("a")).join(d.select("s", F.col("i").alias("b")), "s").where("a < b")
-    return pairs.join(near, ["s", "a", "b"], "left_anti").groupBy("a", "b").agg(F.countDistinct("s").alias("sessions"))
+    near = near.select(F.col("session").alias("key"), F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    return key_pairs(df, item, session).join(near, ["key", "a", "b"], "left_anti").groupBy("a", "b").agg(F.count("*").alias("sessions"))
 
 
 def infer_sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:

@@ -35,6 +35,11 @@ def _pairs(shared: DataFrame) -> DataFrame:
     return left.join(right, ["key", "p", "q"]).where("a < b").select("key", "a", "b")
 
 
+def key_pairs(facts: DataFrame, node: str, key: str) -> DataFrame:
+    """(key, a, b), a < b: the pairs of distinct nodes of each key, hub keys salted."""
+    return _pairs(_facts(facts, node, key, None)[1])
+
+
 def _meet(na: np.ndarray, ka: np.ndarray, wa: np.ndarray, nb: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, ...]:
     """Nodes of two blocks, their numbers of keys, and as matrices the number and the summed weight of common keys. Keys that
     many nodes of both blocks have are matrix products, the others are expanded pair by pair."""

@@ -171,9 +171,7 @@ def long_edges(spark, d):
     return relations(spark, d).groupBy("type").agg(F.count("*").alias("edges"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query(
-    "affinity",
-    f"""with {RELATIONS_SQL}, {TRANSITIONS_SQL}, ct as (select id as center from artist where id % {CENTERS} = 0),
+AFFINITY_SQL = f"""{RELATIONS_SQL}, {TRANSITIONS_SQL}, ct as (select id as center from artist where id % {CENTERS} = 0),
 bt as (select source_id as center, target_id as neighbor, raw_count, pmi, 0 as way from t union all select target_id, source_id, raw_count, pmi, 1 from t) ,
 tt as (select *, row_number() over (partition by center, way order by raw_count desc, neighbor) as k from bt where center in (select center from ct) and center <> neighbor),
 t1 as (select center, neighbor, arg_max(raw_count, way) as raw_count, arg_max(pmi, way) as pmi from tt where k <= 100 group by 1, 2),
@@ -185,9 +183,10 @@ r1 as (select center, neighbor, type, arg_min(score, way * 1000000000 - score) a
 ev as (select * from t2 union all select * from r1),
 pt as (select center, neighbor, (case type when 'transition' then 3.0 when 'personnel' then 1.5 else 1.0 end) * score / (case when max(score) over (partition by center, type) = 0 then 1 else max(score) over (partition by center, type) end) as part from ev),
 sm as (select center, neighbor, round(sum(part), 3) as affinity from pt group by 1, 2),
-kk as (select *, row_number() over (partition by center order by affinity desc, neighbor)::int as rank from sm)
-select center, neighbor, affinity, rank from kk where rank <= 20""",
-)
+kk as (select *, row_number() over (partition by center order by affinity desc, neighbor)::int as rank from sm)"""
+
+
+@query("affinity", f"with {AFFINITY_SQL} select center, neighbor, affinity, rank from kk where rank <= 20")
 def affinity(spark, d):
     return graph.affinity(transitions(spark, d), relations(spark, d), centers(spark, d))
 

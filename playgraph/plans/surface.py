@@ -34,24 +34,18 @@ def node_detail(spark, d):
     return ops.node_detail(table(spark, d, "artist").select("id", "canonical_name", "genre"), pl.centers(spark, d).withColumnRenamed("center", "id"), audio=audio)
 
 
-def _ranked(spark, d):
-    t = ed.transitions(spark, d).where("pmi > 0 and source_id <> target_id")
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("source_id").orderBy(F.desc("pmi"), "target_id")
-    return t.withColumn("rank", F.row_number().over(w)).where("rank <= 40").select(F.col("source_id").alias("center"), F.col("target_id").alias("neighbor"), F.col("pmi").alias("weight"), "rank")
-
-
 def _by_key_sql(key: str) -> str:
-    return f"""with {ed.TRANSITIONS_SQL}, rk as (select source_id as center, target_id as neighbor, pmi as weight, row_number() over (partition by source_id order by pmi desc, target_id) as rank from t where pmi > 0 and source_id <> target_id),
+    return f"""with {ed.AFFINITY_SQL},
 one as (select {key} as k, min(id) as center from artist where {key} is not null group by 1 having count(*) = 1), q as (select distinct {key} as k from artist where {key} is not null and id % 20 = 0),
-nr as (select rk.center, a.{key} as nk, weight, row_number() over (partition by rk.center order by rank, neighbor)::int as place from rk join artist a on a.id = rk.neighbor and a.{key} is not null where rank <= 40)
+nr as (select kk.center, a.{key} as nk, affinity as weight, row_number() over (partition by kk.center order by rank, neighbor)::int as place from kk join artist a on a.id = kk.neighbor and a.{key} is not null where rank <= 40)
 select q.k as {key}, nr.nk as neighbor_key, nr.weight, nr.place from q left join one on one.k = q.k left join nr on nr.center = one.center and nr.place <= 20"""
 
 
 def _by_key(spark, d, key: str):
+    """Neighbours by affinity: twice as many as asked for are ranked, as those without a key are passed over."""
     a = table(spark, d, "artist")
-    return ops.neighbors_by_key(a.where(f"{key} is not null and id % 20 = 0"), key, a, _ranked(spark, d), 20)
+    ranked = graph.affinity(ed.transitions(spark, d), ed.relations(spark, d), pl.centers(spark, d), limit=40).withColumnRenamed("affinity", "weight")
+    return ops.neighbors_by_key(a.where(f"{key} is not null and id % 20 = 0"), key, a, ranked, 20)
 
 
 @query("library_neighbors", _by_key_sql("wxyc_library_code_id"))
@@ -74,7 +68,19 @@ def generated_bio(spark, d):
     return ops.generated_bio(table(spark, d, "artist"))
 
 
-@query("narrative_input")
+@query(
+    "narrative_input",
+    f"""with {ed.RELATIONS_SQL}, {ed.SYM_SQL}, {ed.CENTER_PAIRS_SQL},
+al as (select src, dst, type from rel union all select source_id, target_id, 'transition' from t),
+ex as (select distinct x, y, type from (select x, y, type from al join pr on src = x and dst = y union all select x, y, type from al join pr on src = y and dst = x)),
+re as (select x, y, count(*) as relations from ex group by 1, 2),
+qa as (select x, y, shared, round(1 / ln(degree), 3) as term from sn join dg on node = shared where degree >= 2),
+wa as (select *, round(sum(term) over (partition by x, y), 3) as aa from qa),
+ra as (select *, row_number() over (partition by x, y order by term desc, shared) as rank from wa where aa >= 0.8),
+sh as (select x, y, count(*) as shared_neighbors, max(aa) as aa from ra where rank <= 5 group by 1, 2)
+select x, y, a.canonical_name as x_name, a.genre as x_genre, a.total_plays as x_plays, b.canonical_name as y_name, b.genre as y_genre, b.total_plays as y_plays, coalesce(relations, 0) as relations, coalesce(shared_neighbors, 0) as shared_neighbors, aa,
+  coalesce(relations, 0) > 0 or coalesce(aa, 0) >= 0.8 as enough from pr join artist a on a.id = x join artist b on b.id = y left join re using (x, y) left join sh using (x, y)""",
+)
 def narrative_input(spark, d):
     t = ed.transitions(spark, d)
     pairs = ed.center_pairs(spark, d)
@@ -116,3 +122,18 @@ m as (select a.artist_id as f, b.artist_id as s, count(*) as n from play a join
 select x, y, (coalesce((select sum(n) from m where f = x and s = y), 0) + coalesce((select sum(n) from m where f = y and s = x), 0))::bigint as n from pr""")
 def faceted_pair_counts(spark, d):
     return ops.facet_pair_count(table(spark, d, "play"), ed.center_pairs(spark, d), month=3)
+
+
+@query(
+    "neighbors_by_type",
+    f"""with {ed.RELATIONS_SQL}, {ed.TRANSITIONS_SQL}, ct as (select id as center from artist where id % 20 = 0),
+e as (select src, dst, type, score from rel union all select source_id, target_id, 'member', raw_count::double from t where raw_count >= 3),
+b as (select src as center, dst as neighbor, type, score from e union all select dst, src, type, score from e where type <> 'member'),
+r as (select *, row_number() over (partition by type, center order by score desc, neighbor)::int as rank from b where center in (select center from ct) and center <> neighbor)
+select type, center, neighbor, round(score, 6) as score, rank from r where rank <= 20""",
+)
+def neighbors_by_type(spark, d):
+    """API-07, API-08: every type of edge for a batch of centers: symmetric ones both ways, directed ones from the center."""
+    member = ed.transitions(spark, d).where("raw_count >= 3").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.lit("member").alias("type"), F.col("raw_count").cast("double").alias("score"))
+    edges = ed.relations(spark, d).select("src", "dst", "type", "score").unionByName(member)
+    return ops.neighbors_by_type(edges, pl.centers(spark, d), ["member"], 20).withColumn("score", F.round("score", 6))

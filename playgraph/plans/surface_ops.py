@@ -59,6 +59,17 @@ def neighbors_by_key(requests: DataFrame, key: str, nodes: DataFrame, ranked: Da
     return asked.join(near, "center", "left").select(key, "neighbor_key", "weight", "place")
 
 
+def neighbors_by_type(edges: DataFrame, centers: DataFrame, directed: list[str], limit: int = 20) -> DataFrame:
+    """API-07, API-08: type, center, neighbor, score, rank: of each center (column ``center``; one or many) and type of edge
+    the ``limit`` best neighbours by score, then id. ``edges``: src, dst, type, score; types named in ``directed`` count from
+    their source only, the others both ways; self edges go."""
+    ways = edges.select(F.col("src").alias("center"), F.col("dst").alias("neighbor"), "type", "score")
+    back = edges.where(~F.col("type").isin(directed)).select(F.col("dst").alias("center"), F.col("src").alias("neighbor"), "type", "score")
+    b = ways.unionByName(back).where("center <> neighbor").join(centers.select("center").distinct(), "center", "left_semi")
+    w = Window.partitionBy("type", "center").orderBy(F.desc("score"), "neighbor")
+    return b.withColumn("rank", F.row_number().over(w)).where(f"rank <= {limit}").select("type", "center", "neighbor", "score", "rank")
+
+
 def alias_group(nodes: DataFrame, entity: str) -> DataFrame:
     """API-12: the nodes of each entity that has several, most played first."""
     n = F.count("*").over(Window.partitionBy(entity))
