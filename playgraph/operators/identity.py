@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playgraph.session import cut
+
+#: Names of one unit of ``influence_edges``.
+UNIT_NAMES = 1000
+
 
 def code_xrefs(xrefs: DataFrame, codes: DataFrame) -> DataFrame:
     """GRF-04: code -> code references by name; unresolved and self references go, a null comment is ''."""
@@ -30,11 +35,23 @@ def import_xrefs(edges: DataFrame, nodes: DataFrame, existing: DataFrame) -> Dat
 
 
 def influence_edges(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """GRF-05, JN-19: influences by name; both ends known, no self pairs, the first per name pair, by external ids."""
-    s = names.select(F.col("qid").alias("source_qid"), F.col("name").alias("source"))
-    t = names.select(F.col("qid").alias("target_qid"), F.col("name").alias("target"))
-    j = pairs.join(s, "source_qid").join(t, "target_qid").where("source <> target")
-    return j.groupBy("source", "target").agg(F.min(F.struct("source_qid", "target_qid")).alias("q")).select("source", "target", "q.source_qid", "q.target_qid")
+    """GRF-05, JN-19: influences by name; both ends known, no self pairs, the first per name pair, by the text of its external
+    ids ('source>target').
+
+    Names with the same external ids are one unit (at most about UNIT_NAMES of them). The first ids are found per pair of units,
+    and as a name is in one unit, the name pairs made of units are distinct as they come: they are never shuffled."""
+    known = names.select("qid", "name").where("qid is not null and name is not null").groupBy("name").agg(F.sort_array(F.collect_set("qid")).alias("qids"))
+    sizes = known.groupBy("qids").agg(F.ceil(F.count("*") / UNIT_NAMES).alias("parts"))
+    unit = known.join(sizes, "qids").groupBy("qids", F.pmod(F.xxhash64("name"), F.col("parts")).alias("part")).agg(F.collect_list("name").alias("members"))
+    unit = cut(unit.select(F.monotonically_increasing_id().alias("unit"), "qids", "members"))
+    of = unit.select("unit", F.explode("qids").alias("qid"))
+    s = of.select(F.col("qid").alias("source_qid"), F.col("unit").alias("s"))
+    t = of.select(F.col("qid").alias("target_qid"), F.col("unit").alias("t"))
+    text = F.concat_ws(">", "source_qid", "target_qid")
+    met = pairs.select("source_qid", "target_qid").distinct().join(s, "source_qid").join(t, "target_qid").groupBy("s", "t").agg(F.min(F.struct(text.alias("text"), "source_qid", "target_qid")).alias("q"))
+    met = met.join(unit.select(F.col("unit").alias("s"), F.col("members").alias("sources")), "s").join(unit.select(F.col("unit").alias("t"), F.col("members").alias("targets")), "t")
+    each = met.select("targets", "q", F.explode("sources").alias("source")).select("source", F.explode("targets").alias("target"), "q.source_qid", "q.target_qid")
+    return each.where("source <> target")
 
 
 def label_hierarchy(labels: DataFrame, links: DataFrame) -> DataFrame:
