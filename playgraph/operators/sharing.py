@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from playgraph.session import cut
 
@@ -40,16 +41,18 @@ def key_pairs(facts: DataFrame, node: str, key: str) -> DataFrame:
     return _pairs(_facts(facts, node, key, None)[1])
 
 
-def _meet(na: np.ndarray, ka: np.ndarray, wa: np.ndarray, nb: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Nodes of two blocks, their numbers of keys, and as matrices the number and the summed weight of common keys. Keys that
-    many nodes of both blocks have are matrix products, the others are expanded pair by pair."""
+def _meet(na: np.ndarray, ka: np.ndarray, wa: np.ndarray | None, nb: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nodes of two blocks, their numbers of keys, and as matrices the number and the summed weight of common keys (the number
+    again, if there are no weights). Keys that many nodes of both blocks have are matrix products, the others are expanded pair
+    by pair."""
     xa, ia, sa = np.unique(na, return_inverse=True, return_counts=True)
     xb, ib, sb = np.unique(nb, return_inverse=True, return_counts=True)
     keys, inv = np.unique(np.concatenate([ka, kb]), return_inverse=True)
     ja, jb = inv[: len(ka)], inv[len(ka) :]
     ca, cb = np.bincount(ja, minlength=len(keys)), np.bincount(jb, minlength=len(keys))
     n, m = len(xa), len(xb)
-    count, total = np.zeros(n * m), np.zeros(n * m)
+    count = np.zeros(n * m)
+    total = count if wa is None else np.zeros(n * m)
     dense = ca * cb >= max(64, n * m // 256)
     heavy = np.flatnonzero(dense)
     for at in range(0, len(heavy), 512):
@@ -57,12 +60,13 @@ def _meet(na: np.ndarray, ka: np.ndarray, wa: np.ndarray, nb: np.ndarray, kb: np
         place = np.full(len(keys), -1)
         place[part] = np.arange(len(part))
         fa, fb = place[ja] >= 0, place[jb] >= 0
-        one, weight, right = np.zeros((n, len(part))), np.zeros((n, len(part))), np.zeros((m, len(part)))
+        one, right = np.zeros((n, len(part))), np.zeros((m, len(part)))
         one[ia[fa], place[ja[fa]]] = 1
-        weight[ia[fa], place[ja[fa]]] = wa[fa]
         right[ib[fb], place[jb[fb]]] = 1
         count += (one @ right.T).ravel()
-        total += (weight @ right.T).ravel()
+        if wa is not None:
+            one[ia[fa], place[ja[fa]]] = wa[fa]
+            total += (one @ right.T).ravel()
     order = np.argsort(jb, kind="stable")
     start = np.concatenate([[0], np.cumsum(cb)])[:-1]
     light = np.flatnonzero(~dense[ja] & (cb[ja] > 0))
@@ -74,7 +78,8 @@ def _meet(na: np.ndarray, ka: np.ndarray, wa: np.ndarray, nb: np.ndarray, kb: np
         off = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         code = np.repeat(ia[f], times) * m + ib[order[np.repeat(start[ja[f]], times) + off]]
         count += np.bincount(code, minlength=n * m)
-        total += np.bincount(code, np.repeat(wa[f], times), n * m)
+        if wa is not None:
+            total += np.bincount(code, np.repeat(wa[f], times), n * m)
     return xa, sa, xb, sb, count.reshape(n, m), total.reshape(n, m)
 
 
@@ -128,6 +133,87 @@ def jaccard(facts: DataFrame, node: str, key: str, max_df: int | None, min_jacca
     return p.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
+def _ahead(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best rows of each class."""
+    d = found.sort_values(["c", "place", "other"], ascending=[True, False, True])
+    return d[d.groupby("c").cumcount() < k]
+
+
+def jaccard_topk(facts: DataFrame, node: str, key: str, max_df: int | None, min_jaccard: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, all): of the edges of ``jaccard`` those that are among the ``k`` best of either end by jaccard rounded to 9
+    decimals, ties to the smaller other end, as (a, b, shared, jaccard); and one row with the number of all edges, ``before``.
+
+    Nodes with the same keys form a class, named by its smallest node. Blocks of classes are compared, each pair in one task,
+    which counts the edges and finds each class's k best others: of equally good classes those with the smallest names have the
+    smallest nodes. Edges that aren't kept never leave the task; k rows a class and task are shuffled."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    kept, _ = _facts(facts, node, key, max_df)
+    sets = cut(kept.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")))
+    cls = cut(sets.groupBy("keys").agg(F.min("node").alias("c"), F.count("*").alias("m")))
+    of = cut(sets.join(cls, "keys").select("node", "c"))
+    blocks = max(1, -(-cls.count() // BLOCK))
+    packed = cls.select("c", F.explode("keys").alias("key"), "m", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("block")).groupBy("block")
+    packed = packed.agg(F.collect_list("c").alias("n"), F.collect_list("key").alias("k"), F.collect_list("m").alias("w"))
+    packed = cut(packed.repartition(min(blocks, 128), "block"))
+    left, right = (packed.select(*[F.col(c).alias(f"{c}{s}") for c in packed.columns]) for s in "ab")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, pd.DataFrame] = {}  # by left block, k rows a class
+        before = within = 0
+        for f in frames:
+            for r in f.itertuples(index=False):
+                xa, sa, xb, sb, shared, _ = _meet(r.na, r.ka, None, r.nb, r.kb)
+                ma, mb = (np.asarray(w)[np.unique(n, return_index=True)[1]].astype(np.float64) for n, w in ((r.na, r.wa), (r.nb, r.wb)))
+                floor, parts = np.full(len(xa), -1.0), []
+                if (done := best.get(r.blocka)) is not None:
+                    worst = done.groupby("c")["place"].agg(["size", "min"])
+                    worst = worst[worst["size"] >= k]
+                    floor[np.searchsorted(xa, worst.index.to_numpy())] = worst["min"].to_numpy()
+                    parts.append(done)
+                for at in range(0, len(xa), 256):
+                    z = slice(at, at + 256)
+                    c = shared[z]
+                    j = c / (sa[z, None] + sb[None, :] - c)
+                    hit = (c > 0) & (j >= min_jaccard)
+                    if r.blocka == r.blockb:
+                        hit[np.arange(len(c)), at + np.arange(len(c))] = False
+                        within += int(ma[z] @ hit @ mb)
+                    elif r.blocka < r.blockb:
+                        before += int(ma[z] @ hit @ mb)
+                    place = np.where(hit, np.floor(j * 1e9 + 0.5), -1.0)
+                    if len(xb) > k and hit.sum() > 4 * k * len(c):
+                        floor[z] = np.maximum(floor[z], np.partition(place, len(xb) - k, axis=1)[:, len(xb) - k])
+                    x, y = np.nonzero(hit & (place >= floor[z, None]))
+                    parts.append(pd.DataFrame({"c": xa[at + x], "place": place[x, y].astype(np.int64), "other": xb[y], "shared": c[x, y].astype(np.int64), "jaccard": j[x, y]}))
+                best[r.blocka] = _ahead(pd.concat(parts), k)
+        for d in best.values():
+            yield d.assign(before=0)
+        # pairs of two classes of one block were met from both sides
+        yield pd.DataFrame({"c": [None], "place": [0], "other": [None], "shared": [0], "jaccard": [0.0], "before": [before + within // 2]})
+
+    kind = facts.select(node).schema[0].dataType.simpleString()
+    # one task holds a left block and a run of right ones
+    pairs = left.crossJoin(right.coalesce(1 + blocks // 64).hint("shuffle_replicate_nl"))
+    found = cut(pairs.mapInPandas(compare, f"c {kind}, place long, other {kind}, shared long, jaccard double, before long"))
+    same = F.expr("m * (m - 1) div 2") if min_jaccard <= 1 else F.lit(0)
+    before = found.agg(F.coalesce(F.sum("before"), F.lit(0)).alias("x")).crossJoin(cls.agg(F.coalesce(F.sum(same), F.lit(0)).alias("y"))).select((F.col("x") + F.col("y")).alias("before"))
+
+    def first(df: DataFrame, by: str, end: str, n: int) -> DataFrame:
+        order = [F.desc("place"), end] if "place" in df.columns else [end]
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(f"_r <= {n}").drop("_r")
+
+    some = first(of, "c", "node", k + 1)
+    others = first(found.where("c is not null"), "c", "other", k).join(some.select(F.col("c").alias("other"), F.col("node").alias("end")), "other")
+    cols = ["c", "end", "place", "shared", "jaccard"]
+    own = some.join(cls.where("m > 1").select("c", F.size("keys").cast("long").alias("shared")), "c")
+    own = own.select("c", F.col("node").alias("end"), F.lit(1_000_000_000).cast("long").alias("place"), "shared", F.lit(1.0).alias("jaccard")).where(F.lit(min_jaccard <= 1))
+    # a node is not among its own ends, so a class needs one more
+    near = of.join(first(others.select(*cols).unionByName(own), "c", "end", k + 1), "c").where("node <> end")
+    edges = first(near, "node", "end", k).groupBy(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+    return edges.agg(F.max("shared").alias("shared"), F.max("jaccard").alias("jaccard")), before
+
+
 def coappearance(credits: DataFrame, release: str, artist: str, titles: DataFrame | None = None, max_df: int | None = None) -> DataFrame:
     """AGG-10: artists on one compilation: number of releases and, given ``titles`` (release, title), the sorted titles that
     aren't null."""
@@ -162,8 +248,6 @@ def enrichment(styles: DataFrame, personnel: DataFrame, labels: DataFrame) -> Da
 
 def capped_sorted(facts: DataFrame, node: str, value: str, n: int = 5) -> DataFrame:
     """TOP-09: the alphabetically first ``n`` distinct values of each node."""
-    from pyspark.sql.window import Window
-
     d = facts.select(node, value).where(F.col(value).isNotNull()).distinct()
     r = d.withColumn("_r", F.row_number().over(Window.partitionBy(node).orderBy(value))).where(f"_r <= {n}")
     return r.groupBy(node).agg(F.array_sort(F.collect_list(value)).alias("values"))

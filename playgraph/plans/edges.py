@@ -118,7 +118,7 @@ keep as (select distinct least(node, other) as a, greatest(node, other) as b fro
 
 @query("prune_topk", f"with {PRUNE_SQL} select j.a, j.b, shared, round(jaccard, 6) as jaccard from j join keep using (a, b)")
 def prune_topk(spark, d):
-    return graph.prune_topk(style_edges(spark, d), "a", "b", F.round("jaccard", 9), 5).withColumn("jaccard", F.round("jaccard", 6))
+    return sharing.jaccard_topk(artist_djs(spark, d), "artist_id", "dj_id", None, 0.2, 5)[0].withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("prune_report", f"with {PRUNE_SQL} select (select count(*) from j) as before, (select count(*) from keep) as after")
