@@ -123,9 +123,8 @@ def prune_topk(spark, d):
 
 @query("prune_report", f"with {PRUNE_SQL} select (select count(*) from j) as before, (select count(*) from keep) as after")
 def prune_report(spark, d):
-    e = style_edges(spark, d)
-    n = e.agg(F.count("*").alias("before"))
-    return n.crossJoin(graph.prune_topk(e, "a", "b", F.round("jaccard", 9), 5).agg(F.count("*").alias("after")))
+    kept, before = sharing.jaccard_topk(artist_djs(spark, d), "artist_id", "dj_id", None, 0.2, 5)
+    return before.crossJoin(kept.agg(F.count("*").alias("after")))
 
 
 @query(
