@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from playgraph.operators.pmi import heat_blend
 from playgraph.operators.sharing import block_pairs
 from playgraph.session import cut
 
+#: Links (both ways counted) up to which ``betweenness`` sends the graph to its tasks.
+LOCAL_LINKS = 5_000_000
+
 
 def symmetrize(edges: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
     """JN-09, SET-01: each edge from both ends as (node, other, ...); self edges once."""
@@ -239,9 +245,10 @@ def modularity(edges: DataFrame, a: str, b: str, weight: str, label: DataFrame)
 
 def betweenness(edges: DataFrame, a: str, b: str, sources: int = 2000, seed: int = 42, batch: int = 500) -> DataFrame:
     """GRF-10: node, betweenness (undirected, unweighted, normalised) from ``sources`` seeded sources, exact from all nodes if
-    there are no more. Brandes' method level by level for ``batch`` sources at once, as joins: (source, node, depth, paths) going
-    out until no node is new, then dependencies coming back. State is a batch of sources x reached nodes, spread over the
-    cluster; no adjacency is broadcast."""
+    there are no more. Brandes' method: a graph of up to LOCAL_LINKS counted links is broadcast and each task takes some sources;
+    a larger one is gone through level by level for ``batch`` sources at once, as joins: (source, node, depth, paths) going out
+    until no node is new, then dependencies coming back, spread over the cluster."""
+    spark = edges.sparkSession
     e = cut(symmetrize(canonical_pair(edges.select(a, b), a, b).distinct(), a, b))
     nodes = cut(e.select("node").distinct())
     n = nodes.count()
@@ -249,16 +256,67 @@ def betweenness(edges: DataFrame, a: str, b: str, sources: int = 2000, seed: int
         return nodes.withColumn("betweenness", F.lit(0.0))
     k = min(sources, n)
     src = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k).select(F.col("node").alias("s"))
-    src = cut(src.withColumn("part", F.floor((F.row_number().over(Window.orderBy("s")) - 1) / batch)))
-    sums = None
-    for p in range(-(-k // batch)):
-        got = cut(_dependencies(e, src.where(f"part = {p}").select("s")).where("s <> node").groupBy("node").agg(F.sum("dep").alias("dep")))
-        sums = got if sums is None else sums.unionByName(got)
     scale = 1.0 / ((n - 1) * (n - 2)) * (n / k)
+    if e.count() <= LOCAL_LINKS:
+        links = e.toArrow()
+        names, at = np.unique(links["node"].to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        ptr = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))])
+        shared = spark.sparkContext.broadcast((names, ptr, np.searchsorted(names, links["other"].to_numpy()[order]).astype(np.int32)))
+        del links, at, order
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, ptr, other = shared.value
+            total = np.zeros(len(names))
+            for f in frames:
+                for s in np.searchsorted(names, f["s"].to_numpy()):
+                    total += _from_source(ptr, other, int(s))
+            hit = total > 0
+            yield pd.DataFrame({"node": names[hit], "dep": total[hit]})
+
+        parts = min(k, spark.sparkContext.defaultParallelism * 4)
+        sums = src.repartition(parts, "s").mapInPandas(run, f"node {e.schema['node'].dataType.simpleString()}, dep double")
+    else:
+        src = cut(src.withColumn("part", F.floor((F.row_number().over(Window.orderBy("s")) - 1) / batch)))
+        sums = None
+        for p in range(-(-k // batch)):
+            got = cut(_dependencies(e, src.where(f"part = {p}").select("s")).where("s <> node").groupBy("node").agg(F.sum("dep").alias("dep")))
+            sums = got if sums is None else sums.unionByName(got)
     sums = sums.groupBy("node").agg(F.sum("dep").alias("dep"))
     return nodes.join(sums, "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def _from_source(ptr: np.ndarray, other: np.ndarray, s: int) -> np.ndarray:
+    """The dependency of source ``s`` on each node; the neighbours of node i are other[ptr[i] : ptr[i + 1]]. Work is in
+    proportion to the links reached, whatever the number of levels."""
+    n = len(ptr) - 1
+    depth, paths, dep = np.full(n, -1, np.int32), np.zeros(n), np.zeros(n)
+    depth[s], paths[s] = 0, 1.0
+    level, steps = np.array([s]), []
+
+    def add(into: np.ndarray, at: np.ndarray, what: np.ndarray) -> None:
+        if len(at) * 8 > n:
+            into += np.bincount(at, what, n)
+        else:
+            np.add.at(into, at, what)
+
+    while len(level):
+        size = ptr[level + 1] - ptr[level]
+        to = other[np.arange(size.sum()) + np.repeat(ptr[level] - (np.cumsum(size) - size), size)]
+        new = depth[to] < 0
+        fro, to = np.repeat(level, size)[new], to[new]
+        if not len(to):
+            break
+        steps.append((fro, to))
+        depth[to] = len(steps)
+        add(paths, to, paths[fro])
+        level = np.flatnonzero(depth == len(steps)) if len(to) * 8 > n else np.unique(to)
+    for fro, to in reversed(steps):
+        add(dep, fro, (1 + dep[to]) / paths[to] * paths[fro])
+    dep[s] = 0
+    return dep
+
+
 def _dependencies(e: DataFrame, src: DataFrame) -> DataFrame:
     """s, node, dep: the dependency of each source on each node it reaches; e has (node, other) both ways."""
     seen = level = cut(src.select("s", F.col("s").alias("node"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
