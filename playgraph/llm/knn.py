@@ -20,6 +20,8 @@ PER_CLUSTER, MAX_CLUSTERS = 200, 4096
 TILE_ROWS = 4096
 #: Clusters of the first pass, which gives each vector an upper bound for the distance of its k-th neighbour.
 PROBES = 2
+#: Vectors of which all values are whole numbers of 1 / SCALE are moved as 2-byte integers, which loses nothing.
+SCALE = 10_000
 _SLACK = 2e-9  # similarities are compared after rounding to 9 decimals
 
 
@@ -50,8 +52,14 @@ def _nearest(x: np.ndarray, c: np.ndarray, probes: int = 1) -> tuple[np.ndarray,
     return np.take_along_axis(idx, order, 1), np.take_along_axis(at, order, 1)
 
 
-def _unit(col: pd.Series) -> np.ndarray:
-    m = np.array(col.tolist(), dtype=np.float64)
+def _unit(f: pd.DataFrame) -> np.ndarray:
+    """Unit vectors of columns ``q`` (values times SCALE as small integers) and, where that is null, ``v``."""
+    short = f["q"].notna().to_numpy()
+    m = np.empty((len(f), len(f["q"].iloc[0] if short[0] else f["v"].iloc[0]) if len(f) else 0))
+    if short.any():
+        m[short] = np.stack(f["q"][short].to_list()).astype(np.float64) / SCALE
+    if not short.all():
+        m[~short] = np.stack(f["v"][~short].to_list())
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -127,25 +135,27 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
     # size is never gathered. -0.0 counts as 0.0
     plain = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
     keyed = rows.select("id", plain.alias("v")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.reverse("v"), F.lit(1)))
-    found = cut(keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "v")).alias("m")).select("h1", "h2", F.col("m.id").alias("id"), "m.v"))
+    whole = F.forall("v", lambda x: (F.abs(x) <= 3) & (F.rint(x * SCALE) / SCALE == x))
+    keyed = keyed.withColumn("q", F.when(whole, F.transform("v", lambda x: F.rint(x * SCALE).cast("short")))).withColumn("v", F.when(F.col("q").isNull(), F.col("v")))
+    found = cut(keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "q", "v")).alias("m")).select("h1", "h2", F.col("m.id").alias("id"), "m.q", "m.v"))
     copies = cut(keyed.select("id", "h1", "h2").join(found.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep"))
     first = cut(copies.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(f"r <= {k + 1}").select("rep", "id"))
-    reps = found.select("id", "v")
+    reps = found.select("id", "q", "v")
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], "vector_id long, neighbor_id long, similarity double, rank int")
     clusters = int(min(MAX_CLUSTERS, max(1, n // PER_CLUSTER)))
     # a bounded, documented sample: the FIT_ROWS smallest hashes of the ids
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()
-    centroids = fit_centroids(_unit(sample["v"]), clusters)
+    sample = reps.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("q", "v").toPandas()
+    centroids = fit_centroids(_unit(sample), clusters)
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _slices(frames):
-            near, d = _nearest(_unit(f["v"]), shared.value, PROBES)
-            yield pd.DataFrame({"id": f["id"], "v": f["v"], "own": near[:, 0], "d": d[:, 0], "near": near.tolist()})
+            near, d = _nearest(_unit(f), shared.value, PROBES)
+            yield pd.DataFrame({"id": f["id"], "q": f["q"], "v": f["v"], "own": near[:, 0], "d": d[:, 0], "near": near.tolist()})
 
-    placed = cut(reps.mapInPandas(assign, "id long, v array<double>, own int, d double, near array<int>"))
+    placed = cut(reps.mapInPandas(assign, "id long, q array<short>, v array<double>, own int, d double, near array<int>"))
     # at most MAX_CLUSTERS rows: size, and the ring of distances that a cluster's members fill
     rings = placed.groupBy("own").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).toPandas()
     size = np.zeros(len(centroids), int)
@@ -153,10 +163,10 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
     size[rings["own"]], lo[rings["own"]], hi[rings["own"]] = rings["n"], rings["lo"], rings["hi"]
     tiles = np.maximum(1, -(-size // TILE_ROWS))
     tiles_of = F.element_at(F.array(*[F.lit(int(x)) for x in tiles]), F.col("cluster") + 1) if tiles.max() > 1 else F.lit(1)
-    base = placed.select(F.col("own").alias("cluster"), "id", "v").withColumn("tile", F.pmod(F.xxhash64("id"), tiles_of).cast("int"))
+    base = placed.select(F.col("own").alias("cluster"), "id", "q", "v").withColumn("tile", F.pmod(F.xxhash64("id"), tiles_of).cast("int"))
 
     def join(visits: DataFrame) -> DataFrame:
-        """visits: id, v, cluster. Every visit meets all tiles of its cluster; queries of a tile are cut by a salt too."""
+        """visits: id, q, v, cluster. Every visit meets all tiles of its cluster; queries of a tile are cut by a salt too."""
         load = {r["cluster"]: -(-r["n"] // TILE_ROWS) for r in visits.groupBy("cluster").agg(F.count("*").alias("n")).where(f"n > {TILE_ROWS}").collect()}
         salts = np.ones(len(centroids), int)
         for c, s in load.items():
@@ -169,7 +179,7 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
         def pair(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"id": [], "other": [], "sim": []}).astype({"id": "int64", "other": "int64", "sim": "float64"})
-            return tile_top(left["id"].to_numpy(), _unit(left["v"]), right["id"].to_numpy(), _unit(right["v"]), shared.value[key[0]], k)
+            return tile_top(left["id"].to_numpy(), _unit(left), right["id"].to_numpy(), _unit(right), shared.value[key[0]], k)
 
         keys = ["cluster", "tile", "salt"]
         return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(pair, "id long, other long, sim double")
@@ -179,13 +189,13 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("r", F.row_number().over(by_id)).where(f"r <= {k}").select("id", "other", "sim", "r")
 
-    one = cut(best(join(placed.select("id", "v", F.explode("near").alias("cluster")))).select("id", "other", "sim"))
+    one = cut(best(join(placed.select("id", "q", "v", F.explode("near").alias("cluster")))).select("id", "other", "sim"))
     kth = one.groupBy("id").agg(F.count("*").alias("c"), F.min("sim").alias("s")).select("id", F.when(F.col("c") >= k, F.col("s")).otherwise(-1.0).alias("kth"))
 
     def more(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filled = size > 0
         for f in _slices(frames):
-            d = _distances(_unit(f["v"]), shared.value)
+            d = _distances(_unit(f), shared.value)
             reach = np.sqrt(np.maximum(0, 2 - 2 * (f["kth"].to_numpy() - _SLACK)))[:, None] + 1e-7
             visit = filled & (d - hi <= reach) & (lo - d <= reach)
             # a cluster's members lie on its side of the bisector with the vector's nearest centroid
@@ -194,10 +204,10 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, d
             visit &= (d**2 - d[np.arange(len(f)), a][:, None] ** 2) / (2 * gap) <= reach
             visit[np.arange(len(f))[:, None], np.array(f["near"].tolist(), int)] = False
             i, c = np.nonzero(visit)
-            yield pd.DataFrame({"id": f["id"].to_numpy()[i], "v": f["v"].to_numpy()[i], "cluster": c})
+            yield pd.DataFrame({"id": f["id"].to_numpy()[i], "q": f["q"].to_numpy()[i], "v": f["v"].to_numpy()[i], "cluster": c})
 
-    left = placed.select("id", "v", "near").join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
-    two = join(cut(left.mapInPandas(more, "id long, v array<double>, cluster int")))
+    left = placed.select("id", "q", "v", "near").join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
+    two = join(cut(left.mapInPandas(more, "id long, q array<short>, v array<double>, cluster int")))
     top = best(one.unionByName(two))
     # representatives back to ids: a neighbour group gives its smallest ids, an own group its other copies at similarity 1
     many = copies
