@@ -95,3 +95,37 @@ def test_bounds_before_the_tree_lose_nothing():
             within = np.array([any(nm.distance(x, s, k) <= k for s in held) for x in q])
             kept = m._one_off(kind, q) if k == 1 else m._near(kind, q, np.full(len(q), k))
             assert not (within & ~kept).any()
+
+
+def test_pairs_are_measured_as_the_tree_would():
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randrange(1, 12)))
+    q, tree = [*(word() for _ in range(80)), "z" * 230 + "ab"], canon.BkTree([*(word() for _ in range(120)), "z" * 230 + "a", "y" * 201])
+    radius = np.array([r.randrange(1, 5) for _ in q])
+    every = np.repeat(np.arange(len(q)), len(tree.strings)), np.tile(np.arange(len(tree.strings)), len(q))
+    assert sorted(zip(*tree.measure(q, *every, radius))) == sorted(zip(*tree.search(q, radius)))
+    assert [len(x) for x in tree.measure(q, every[0][:0], every[1][:0], radius)] == [0, 0, 0]
+
+
+def test_pairs_of_the_bounds_hold_every_near_string():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 10)))
+    m = canon.Matcher([(i, word()) for i in range(200)] + [(300 + n, "k" * n) for n in (199, 200, 201)], nm.Habits())
+    held = m.trees["full"].strings
+    for q in ([word() for _ in range(100)] + ["k" * n for n in (198, 199, 200, 201, 202)], ["k" * 300], []):
+        within = {(i, j) for i, x in enumerate(q) for j, s in enumerate(held) if nm.distance(x, s, 1) <= 1}
+        assert within <= set(zip(*(x.tolist() for x in m._one_off_pairs("full", q))))
+        assert within <= set(zip(*(x.tolist() for x in m._near_pairs("full", q, np.full(len(q), 1)))))
+
+
+def test_strings_with_few_pairs_do_not_walk_the_tree(monkeypatch):
+    m, walked = canon.Matcher(REF, nm.Habits.of([n for _, n in REF])), []
+    typed = ["Talno Berjorhum", "kunja debrimi orchesrta", "Morbin Keldafr", "Dihi and the Lorpunwa"]
+    own = canon.BkTree._distances
+    monkeypatch.setattr(canon.BkTree, "_distances", lambda *a: walked.append(1) or own(*a))
+    few = m.match(typed)
+    assert not walked and dict(zip(few["name"], few["entry"])) == dict(zip([typed[0], typed[1], typed[3]], (6, 7, 3)))
+    # strings with more pairs are searched in the tree, with the same result
+    monkeypatch.setattr(canon, "MANY", 0)
+    many = m.match(typed)
+    assert walked and sorted(many.itertuples(index=False)) == sorted(few.itertuples(index=False))
