@@ -42,3 +42,38 @@ def test_empty_tables_long_values_repeats_and_null_ids(spark):
     df = spark.createDataFrame(corpus() + [(1, "a", long), (2, "a", g), (2, "a", g), (None, "a", g)], SCHEMA)
     got = sorted((str(r["entry_id"]), r["repaired"][:10]) for r in mj.detect(df, "id", "src", ["title"]).collect())
     assert got == [("1", "Café Café "), ("2", "Señal Rain"), ("2", "Señal Rain"), ("None", "Señal Rain")]
+
+
+def test_single_byte_misreadings_are_undone_in_order():
+    for token in ("Ïðèâåò", "Ã©tÃ©", "naïve", "Señal‰", "ночь", "Œuvre"):
+        high = frozenset(c for c in token if c > "\x7f")
+        for latin in (False, True):
+            want = []
+            for read in mj.READ_AS:
+                for written in mj.WRITTEN_AS:
+                    known, change = mj._swap(read, written)
+                    if read not in ("latin_1", written) and not (latin and written in mj.OTHER_SCRIPTS) and high <= known and token.translate(change) != token:
+                        want.append((f"{written}>{read};", token.translate(change)))
+            ways, chains = mj._swaps(high, latin)
+            assert [(c, token.translate(ways[i])) for c, i in chains] == want
+            assert len({token.translate(w) for w in ways}) == len(ways)
+
+
+def test_tokens_that_readings_share_are_weighed_once():
+    got = mj.tally(["Café Rain", "Over Stone"], [1.0, 1.0])
+    p, c = got[got["t"] == "p"], got[got["t"] == "c"]
+    m, asked = mj.CharModel(dict(zip(zip(p["a"], p["b"]), p["n"])), dict(zip(c["a"], c["n"]))), []
+    own = m.word
+    m.word = lambda whole, a, core, b: asked.append(core) or own(whole, a, core, b)
+    texts, done = ["CafÃ© Rain", "Café Rain"], {}
+    got = [mj.likelihood(mj.CLEAN, mj.word_parts(t), 0.0, m, {}, {}, 9.0, done) for t in texts]
+    assert asked.count("Rain") == 1 and {"Café", "CafÃ"} < set(asked)
+    assert got == [mj.likelihood(mj.CLEAN, mj.word_parts(t), 0.0, m, {}, {}, 9.0, {}) for t in texts]
+
+
+def test_rows_with_plain_values_only_are_left_out_before_fields_become_rows(spark):
+    df = spark.createDataFrame(corpus() + [(1001, "a", garble("Café Rain", "cp1252")), (1001, "b", garble("Café Rain", "cp1252")), (1002, "a", "")], SCHEMA)
+    found = mj.detect(df, "id", "src", ["title"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.rindex("octet_length") > plan.rindex("Generate")
+    assert sorted((r["entry_id"], r["field_name"], r["repaired"]) for r in found.collect()) == [(1001, "title", "Café Rain")] * 2
