@@ -77,3 +77,39 @@ def test_rows_with_plain_values_only_are_left_out_before_fields_become_rows(spar
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan and plan.rindex("octet_length") > plan.rindex("Generate")
     assert sorted((r["entry_id"], r["field_name"], r["repaired"]) for r in found.collect()) == [(1001, "title", "Café Rain")] * 2
+
+
+def test_a_unit_counts_for_each_of_its_values():
+    def of(n, uid):
+        texts = ("CafÃ©", "Café")
+        return (uid, [7, 8], n, True, (mj.CLEAN, "utf8>cp1252;"), texts, (True, True), (0.0, 0.0), [0.25, 0.75]), [mj.word_parts(t) for t in texts]
+
+    one, each = mj.Sums(), mj.Sums()
+    unit, parts = of(3.0, 1)
+    one.add(unit, parts, [[0.25, 0.75]] * 2)
+    for i in range(3):
+        each.add(of(1.0, i)[0], parts, [[0.25, 0.75]] * 2)
+    assert sorted(one.rows(), key=str) == sorted(each.rows(), key=str)
+    assert one.words == {mj._hash("café"): 2.25} and one.chances[8, "utf8>cp1252;"] == 2.25
+    rows = mj.packed(5, [unit], [], one, mj.Sums("!"))
+    assert set(rows["pid"]) == {5} and set(rows.loc[rows["what"] == "at", "b"]) == {7, 8} and (rows["what"] == "state").sum() == 1
+
+
+def test_texts_are_passed_over_only_where_nothing_can_be_undone():
+    for text in ("Café", "CafÃ©", "cafã©", "Ð\x9dÐ¾Ñ‡ÑŒ", "ñ", "Ñ ", "Ôé", "├®", "√©", "naïve’s"):
+        for codec in mj.READ_AS:
+            plain, raised = mj._as_bytes(codec)
+            read = text.translate(plain)
+            up = text.translate(raised) if text == text.lower() else read
+            either = "".join(u if "\xc2" <= u <= "\xdf" and not "\x80" <= r <= "\xbf" else r for u, r in zip(up, read))
+            assert mj._pair(codec).search(text) or not (mj._UTF8.search(read) or mj._UTF8.search(either)), (text, codec)
+
+
+def test_groups_do_not_change_what_is_found_and_tokens_go_back_where_they_stood(spark, monkeypatch):
+    bad = {1001: (garble("Café", "cp1252") + "  Rain (" + garble("Señal", "cp1252") + ") Over", "Café  Rain (Señal) Over"), 1002: ("Over " + garble("Corazón", "cp1252"), "Over Corazón"), 1003: ("Rain " + garble("Corazón", "cp1252"), "Rain Corazón"), 1004: ("Se?al Over", "Señal Over")}
+    data = corpus() + [(i, "a", g) for i, (g, _) in bad.items()] + [(1005, "b", bad[1002][0])]
+    got = {k[0]: v for k, v in detect(spark, data).items()}
+    assert {i: r["repaired"] for i, r in got.items()} == {i: t for i, (_, t) in bad.items()} | {1005: "Over Corazón"}
+    monkeypatch.setattr(mj, "GROUP_UNITS", 3)
+    many = {k[0]: v for k, v in detect(spark, data).items()}
+    assert set(many) == set(got) and all(many[i]["chain"] == r["chain"] and abs(many[i]["posterior"] - r["posterior"]) < 1e-6 for i, r in got.items())
